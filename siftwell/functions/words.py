@@ -3,30 +3,41 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORD = r"[\p{L}\p{N}]+"
+_LETTER = r"[\p{L}\p{N}]"
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"))
+def _whole(pattern: str) -> str:
+    return f"(?<!{_LETTER})({pattern})(?!{_LETTER})"
 
 
 def found_words(text: Column, forbidden: list[str]) -> Column:
     """The forbidden entries that occur in the text as whole words, in list order.
 
-    An entry of several words matches when its words follow one another.
+    An entry of several words matches when its words follow one another. Texts
+    are first searched for the plain words, which costs little; the pattern
+    that looks at word borders runs on those that contain one.
     """
-    entries = [re.findall(r"[^\W_]+", entry.lower()) for entry in forbidden]
-    single = list(dict.fromkeys(e[0] for e in entries if len(e) == 1))
-    phrases = list(dict.fromkeys(" ".join(e) for e in entries if len(e) > 1))
-    words = words_of(F.coalesce(text, F.lit("")))
-    no_words = F.array().cast("array<string>")
-    found = F.array_intersect(F.array(*map(F.lit, single)), words) if single else no_words
+    nothing = F.array().cast("array<string>")
+    entries = list(dict.fromkeys(tuple(re.findall(r"[^\W_]+", entry.lower())) for entry in forbidden))
+    single = [e[0] for e in entries if len(e) == 1]
+    phrases = [e for e in entries if len(e) > 1]
+    if not single and not phrases:
+        return nothing
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    found = nothing
+    if single:
+        seen = F.regexp_extract_all(lower, F.lit(_whole("|".join(single))))
+        found = F.array_intersect(F.array(*map(F.lit, single)), seen)
     if phrases:
-        line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-        hits = [F.when(F.contains(line, F.lit(f" {p} ")), F.lit(p)) for p in phrases]
+        pattern = {p: _whole(r"[^\p{L}\p{N}]+".join(p)) for p in phrases}
+        hits = [F.when(lower.rlike(pattern[p]), F.lit(" ".join(p))) for p in phrases]
         found = F.concat(found, F.array_compact(F.array(*hits)))
-    return found
+    firsts = list(dict.fromkeys(e[0] for e in entries if e))
+    candidate = reduce(or_, [F.contains(lower, F.lit(w)) for w in firsts])
+    return F.when(candidate, found).otherwise(nothing)

@@ -57,9 +57,12 @@ def parse_responses(responses: DataFrame, criteria_hash: str | None = None) -> D
         .when(~F.col("is_verdict"), "bad_verdict")
     )
     stage = F.when(F.col("submit_error").isNotNull(), "submit").when(F.col("fail_reason").isNotNull(), "parse")
+    # Asking for the partition id changes no value, but it keeps a later filter on
+    # fail_reason above this point. Pushed below, it would parse every line again.
+    once = F.when(F.spark_partition_id() >= 0, reason)
     good = F.col("fail_reason").isNull()
     value = lambda key: A.last_value(F.col("values"), key)
-    return lines.withColumn("fail_reason", reason).select(
+    return lines.withColumn("fail_reason", once).select(
         "item_id",
         "item_url",
         F.when(good, A.string_list(value("explicit_words"))).alias("explicit_words"),

@@ -28,6 +28,7 @@ class VerdictStore:
         self.path = path.rstrip("/")
         self._log = f"{self.path}/log"
         self._generations = f"{self.path}/generations"
+        self._generation: int | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> VerdictStore:
@@ -52,7 +53,14 @@ class VerdictStore:
 
     @property
     def generation(self) -> int:
-        return self._cleared()[0]
+        """The generation this handle works on, looked up once.
+
+        A run so sees one generation throughout; a clear by another job shows
+        when the store is opened again.
+        """
+        if self._generation is None:
+            self._generation = self._cleared()[0]
+        return self._generation
 
     def _folder(self, gen: int, run_id: str) -> str:
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
@@ -138,3 +146,4 @@ class VerdictStore:
     def _start_generation(self, gen: int, run_id: str) -> None:
         row = self.spark.createDataFrame([(gen, run_id)], GENERATIONS)
         row.coalesce(1).write.mode("append").parquet(self._generations)
+        self._generation = gen

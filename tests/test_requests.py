@@ -1,0 +1,51 @@
+import json
+
+from pyspark.sql import functions as F
+
+from siftwell.functions.prompts import prompt
+from siftwell.functions.urls import permalink
+from siftwell.operators.requests import render_requests, request_lines
+from siftwell.sinks.writers import write_requests
+from siftwell.spec import UrlSpec
+
+
+def test_prompt_holds_criteria_and_text(spark, spec):
+    text = 'This is "a test" with 50% {braces}'
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(prompt(F.col("t"), spec.criteria)).first()[0]
+    assert got.startswith('\n        Analyze this tweet and determine')
+    assert f'        Tweet: "{text}"\n\n        Criteria for flagging\n        Forbidden words: darn, heck\n' in got
+    assert "\nTopics to exclude: Old opinions, Quarrels\nTone requirements: Professional language only\n" in got
+    assert "Additional instructions: Flag 100% of what could harm a reputation\n\n        CRITICAL" in got
+    assert got.endswith("respond with ONLY the JSON object\n        ")
+
+
+def test_permalink_with_repeated_and_absent_id(spark):
+    df = spark.createDataFrame([("7",)], "i string")
+    twice = UrlSpec("me", "https://x.example/{id}/{user}?p={id}")
+    assert df.select(permalink(F.col("i"), twice)).first()[0] == "https://x.example/7/me?p=7"
+    never = UrlSpec("me", "https://x.example/{user}")
+    assert df.select(permalink(F.col("i"), never)).first()[0] == "https://x.example/me"
+
+
+def test_request_line_shape(posts, spec):
+    items = posts([("1", "tête"), (None, None)])
+    lines = [json.loads(r.line) for r in request_lines(render_requests(items, spec.criteria, spec.url)).collect()]
+    assert [set(x) for x in lines] == [{"key", "tweet_url", "request"}] * 2
+    assert lines[0]["key"] == "1" and lines[1]["key"] == "unknown"
+    assert lines[0]["tweet_url"] == "https://posts.example/someone/status/1"
+    assert 'Tweet: "tête"' in lines[0]["request"]["contents"][0]["parts"][0]["text"]
+    assert 'Tweet: ""' in lines[1]["request"]["contents"][0]["parts"][0]["text"]
+
+
+def test_request_files_per_chunk(posts, spec, tmp_path):
+    items = posts([(str(i), "é") for i in range(12)])
+    write_requests(render_requests(items, spec.criteria, spec.url), str(tmp_path / "r"), max_records=1)
+    sizes = {}
+    for folder in (tmp_path / "r").glob("chunk_id=*"):
+        files = list(folder.glob("part-*"))
+        lines = [json.loads(x) for f in files for x in f.read_text(encoding="utf-8").splitlines()]
+        assert len(files) == len(lines)
+        assert "é" in files[0].read_text(encoding="utf-8")
+        sizes[folder.name] = sorted(int(x["key"]) for x in lines)
+    assert sizes == {f"chunk_id={k}": list(range(k, 12, 5)) for k in range(5)}

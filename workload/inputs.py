@@ -23,6 +23,7 @@ from siftwell.spec import AuditSpec, Criteria, UrlSpec
 
 WORDS = ["license", "token", "apache", "mit"]
 CHUNKS = 5
+MANY_CHUNKS = 500
 PART_ROWS = 500
 KINDS = 20
 

@@ -7,7 +7,7 @@ document's kind, its text and its words; nothing here parses an answer.
 from __future__ import annotations
 
 from siftwell.fixed_values import PROMPT_TEMPLATE
-from workload.inputs import CHUNKS, KINDS, PART_ROWS, SPEC, WORDS
+from workload.inputs import CHUNKS, KINDS, MANY_CHUNKS, PART_ROWS, SPEC, WORDS
 
 
 def _text(value: str) -> str:
@@ -177,8 +177,8 @@ ORACLES = {
                ELSE '["' || array_to_string(found, '","') || '"]' END AS words_json,
           CASE WHEN kind = 13 THEN CAST(0.5 AS DOUBLE) END AS confidence FROM good""",
     "chunk_completeness": f"""
-        WITH {_DOCS} SELECT CAST(r.range AS INTEGER) AS chunk_id FROM range(50) r
-        WHERE r.range NOT IN (SELECT doc_id % 50 FROM posts WHERE flagged = 'DELETE')""",
+        WITH {_DOCS} SELECT CAST(r.range AS INTEGER) AS chunk_id FROM range({MANY_CHUNKS}) r
+        WHERE r.range NOT IN (SELECT doc_id % {MANY_CHUNKS} FROM posts WHERE flagged = 'DELETE')""",
     "coverage_stats": f"""
         WITH {_MIXED},
         all_posts AS (

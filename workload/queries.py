@@ -328,9 +328,9 @@ def report_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks, of fifty, in which the rule flags no post."""
-    verdicts = scoring.score_rules(I.items(spark, sf_dir, 50), CRITERIA, URL)
-    return stats.absent_chunks(spark, 50, verdicts.where(F.col("deletion") == "DELETE"))
+    """Chunks, of many, in which the rule flags no post."""
+    verdicts = scoring.score_rules(I.items(spark, sf_dir, I.MANY_CHUNKS), CRITERIA, URL)
+    return stats.absent_chunks(spark, I.MANY_CHUNKS, verdicts.where(F.col("deletion") == "DELETE"))
 
 
 # Jobs
