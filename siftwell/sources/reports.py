@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from siftwell.fixed_values import CHUNK_REPORT_GLOB
 
-_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "lineSep": "\n"}
+_OPTIONS = {"header": True, "multiLine": True, "escape": '"'}
 
 
 def _with_order(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -27,7 +27,8 @@ def scan_reports(spark: SparkSession, path: str, fields: list[str]) -> DataFrame
     """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     schema = schema.add("chunk_id", T.IntegerType())
-    return _with_order(spark.read.options(**_OPTIONS).schema(schema).csv(path), [*fields, "chunk_id"])
+    reader = spark.read.options(**_OPTIONS, lineSep="\n").schema(schema)
+    return _with_order(reader.csv(path), [*fields, "chunk_id"])
 
 
 def chunk_report_files(spark: SparkSession, path: str) -> list[str]:

@@ -1,0 +1,164 @@
+import csv
+import io
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from siftwell.operators.merge import merge_verdicts
+from siftwell.operators.report import report
+from siftwell.operators.responses import failed, good, parse_responses
+from siftwell.operators.stats import absent_chunks
+from siftwell.plans.merging import check_chunks, merge_report_files
+from siftwell.sinks.writers import write_failures, write_full_report, write_report
+from siftwell.sources.reports import scan_reports
+from tests.helpers import VERDICT, answer, envelope
+
+FIELDS = ["tweet_url", "deletion"]
+
+
+def verdicts(responses, pairs, chunk_id=0):
+    return good(parse_responses(responses([answer(k, deletion=d) for k, d in pairs], chunk_id)))
+
+
+def merged(new, stored, **kw):
+    return sorted((r.item_id, r.deletion) for r in merge_verdicts(new, stored, **kw).collect())
+
+
+def test_new_before_stored_and_first_before_later(responses):
+    new = verdicts(responses, [("a", "KEEP"), ("b", "KEEP"), ("a", "DELETE")])
+    stored = verdicts(responses, [("b", "DELETE"), ("c", "DELETE"), ("c", "KEEP")])
+    assert merged(new, stored) == [("a", "KEEP"), ("b", "KEEP"), ("c", "DELETE")]
+
+
+def test_rows_without_id_are_never_deduped(responses):
+    new = verdicts(responses, [("", "A"), ("", "A"), ("x", "B")])
+    stored = verdicts(responses, [("", "A"), ("x", "C")]).withColumn(
+        "item_id", F.when(F.col("item_id") != "", F.col("item_id"))
+    )
+    rows = merge_verdicts(new, stored).collect()
+    assert sorted((r.item_id or "", r.deletion) for r in rows) == [("", "A"), ("", "A"), ("", "A"), ("x", "B")]
+
+
+def test_null_key_is_deduped_as_text(responses):
+    lines = [answer(None, deletion="A"), answer(None, deletion="B")]
+    new = good(parse_responses(responses(lines)))
+    assert merged(new, new) == [("None", "A")]
+
+
+def test_scope_of_one_chunk(responses):
+    new = verdicts(responses, [("a", "KEEP")], 0).unionByName(verdicts(responses, [("a", "DELETE")], 1))
+    assert merged(new, new.limit(0), scope="chunk") == [("a", "DELETE"), ("a", "KEEP")]
+    assert len(merged(new, new.limit(0), scope="all")) == 1
+    with pytest.raises(ValueError):
+        merge_verdicts(new, new, scope="file")
+
+
+def test_report_filter(responses):
+    lines = [answer("a", deletion="N/A"), answer("b", deletion=None), answer("c", deletion="KEEP")]
+    lines.append(envelope("d", json.dumps(VERDICT), url=""))
+    lines.append(envelope("e", json.dumps(VERDICT), url=None))
+    rows = report(good(parse_responses(responses(lines))), ["deletion", "tweet_url", "else"]).collect()
+    assert sorted((r.deletion or "", r.tweet_url, r["else"]) for r in rows) == [
+        ("", "https://posts.example/u/status/1", None),
+        ("KEEP", "https://posts.example/u/status/1", None),
+    ]
+
+
+ODD = ['say "hi"', "a,b", "two\nlines", "", None, " blanks ", "back\\slash", 'ends with "', "é😀"]
+
+
+def test_csv_keeps_odd_values(spark, responses, tmp_path):
+    lines = [answer(str(k), deletion=v) for k, v in enumerate(ODD)]
+    lines = [x.replace("status/1", f"status/{k}") for k, x in enumerate(lines)]
+    path = str(tmp_path / "r")
+    write_report(good(parse_responses(responses(lines))), FIELDS, path)
+    back = {r.tweet_url: r.deletion for r in scan_reports(spark, path, FIELDS).collect()}
+    assert back == {f"https://posts.example/u/status/{k}": (v or None) for k, v in enumerate(ODD)}
+    (file,) = (tmp_path / "r" / "chunk_id=0").glob("*.csv")
+    by_python = list(csv.DictReader(io.StringIO(file.read_text(encoding="utf-8"), newline="")))
+    assert {r["tweet_url"]: r["deletion"] for r in by_python} == {
+        f"https://posts.example/u/status/{k}": (v or "") for k, v in enumerate(ODD)
+    }
+
+
+def test_report_without_rows_has_a_header(responses, tmp_path):
+    nothing = good(parse_responses(responses(["junk"])))
+    write_report(nothing, FIELDS, str(tmp_path / "r"), per_chunk=False)
+    (file,) = (tmp_path / "r").glob("*.csv")
+    assert file.read_text() == "tweet_url,deletion\n"
+
+
+def test_full_report_keeps_the_answer_as_it_was(responses, tmp_path):
+    data = {**VERDICT, "score": 0.5, "explicit_words": "none", "note": {"x": [1, None]}, "tweet_id": "own"}
+    lines = [envelope("7", json.dumps(data, indent=2)), envelope("8", json.dumps({**VERDICT, "deletion": "N/A"}), url="")]
+    write_full_report(good(parse_responses(responses(lines))), str(tmp_path / "f"))
+    rows = [json.loads(x) for f in (tmp_path / "f").glob("*/part-*") for x in f.read_text().splitlines()]
+    assert sorted(rows, key=lambda r: r["tweet_id"]) == [
+        {**data, "tweet_id": "7", "tweet_url": "https://posts.example/u/status/1"},
+        {**VERDICT, "deletion": "N/A", "tweet_id": "8", "tweet_url": ""},
+    ]
+
+
+def test_failed_ids_are_written_per_chunk(spark, responses, tmp_path):
+    parsed = parse_responses(responses(["junk", envelope("a", "no")], 3))
+    write_failures(failed(parsed), str(tmp_path / "f"))
+    rows = spark.read.json(str(tmp_path / "f" / "chunk_id=3")).collect()
+    assert sorted((r.item_id or "", r.fail_reason, r.line) for r in rows) == [
+        ("", "bad_line", "junk"),
+        ("a", "bad_verdict", envelope("a", "no")),
+    ]
+
+
+def chunk_file(folder, k, rows, header=("tweet_url", "deletion")):
+    with open(folder / f"report_chunk_{k}.csv", "w", newline="", encoding="utf-8") as f:
+        writer = csv.writer(f)
+        writer.writerow(header)
+        writer.writerows(rows)
+
+
+def test_merges_five_chunk_files(spark, tmp_path):
+    rows = [[f"https://x.example/{i}", "DELETE" if i % 2 == 0 else "KEEP"] for i in range(50)]
+    for k in range(5):
+        chunk_file(tmp_path, k, rows)
+    (tmp_path / "merged_report.csv").write_text("tweet_url,deletion\nold,KEEP\n")
+    got = merge_report_files(spark, str(tmp_path), 5, ordered=True).collect()
+    assert [(r.tweet_url, r.deletion) for r in got] == [tuple(r) for r in rows] * 5
+
+
+def test_file_order_is_by_name(spark, tmp_path):
+    for k in (0, 2, 10):
+        chunk_file(tmp_path, k, [[f"u{k}", "x\ny"]])
+    got = merge_report_files(spark, str(tmp_path), 3, ordered=True).collect()
+    assert [(r.tweet_url, r.deletion) for r in got] == [("u0", "x\ny"), ("u10", "x\ny"), ("u2", "x\ny")]
+
+
+def test_first_header_rules(spark, tmp_path):
+    chunk_file(tmp_path, 0, [["a", "KEEP"]])
+    chunk_file(tmp_path, 1, [["DELETE", "b", "extra"]], header=("deletion", "tweet_url", "more"))
+    chunk_file(tmp_path, 2, [["c"]], header=("tweet_url",))
+    chunk_file(tmp_path, 3, [])
+    got = merge_report_files(spark, str(tmp_path), 4, ordered=True)
+    assert got.columns == FIELDS
+    assert [tuple(r) for r in got.collect()] == [("a", "KEEP"), ("b", "DELETE"), ("c", None)]
+
+
+def test_wrong_number_of_files(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        merge_report_files(spark, str(tmp_path), 5)
+    with pytest.raises(FileNotFoundError):
+        merge_report_files(spark, str(tmp_path / "absent"), 5)
+    for k in range(3):
+        chunk_file(tmp_path, k, [])
+    with pytest.raises(ValueError, match="Expected 5 chunks, found 3"):
+        merge_report_files(spark, str(tmp_path), 5)
+
+
+def test_absent_chunks_are_named(spark):
+    stats = spark.createDataFrame([(0,), (2,), (2,)], "chunk_id int")
+    assert sorted(r.chunk_id for r in absent_chunks(spark, 4, stats).collect()) == [1, 3]
+    with pytest.raises(ValueError, match="absent: 1, 3"):
+        check_chunks(spark, 4, stats)
+    with pytest.raises(FileNotFoundError):
+        check_chunks(spark, 4, stats.limit(0))
+    check_chunks(spark, 1, stats)
