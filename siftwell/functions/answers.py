@@ -50,14 +50,23 @@ def answer_text(parsed: Column, line: Column) -> Column:
 
 
 def without_fences(text: Column) -> Column:
+    """Every fence removed, also inside values; most answers have none to remove."""
+    stripped = text
     for fence in CODE_FENCES:
-        text = F.replace(text, F.lit(fence), F.lit(""))
-    return text
+        stripped = F.replace(stripped, F.lit(fence), F.lit(""))
+    shortest = min(CODE_FENCES, key=len)
+    return F.when(F.contains(text, F.lit(shortest)), stripped).otherwise(text)
 
 
 def object_text(text: Column) -> Column:
-    """From the first opening to the last closing brace; empty if there is none."""
-    return F.regexp_extract(without_fences(text), ANSWER_OBJECT_PATTERN, 0)
+    """From the first opening to the last closing brace; empty if there is none.
+
+    A text that starts and ends with its braces is taken as it stands, without
+    running the pattern over it.
+    """
+    bare = without_fences(text)
+    whole = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}"))
+    return F.when(whole, bare).otherwise(F.regexp_extract(bare, ANSWER_OBJECT_PATTERN, 0))
 
 
 def object_map(text: Column) -> Column:
@@ -84,7 +93,8 @@ def other_keys(values: Column) -> Column:
     """Map of the keys beyond the required ones."""
     wanted = F.array(*[F.lit(k) for k in REQUIRED_KEYS])
     keys = F.array_except(F.map_keys(values), wanted)
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: last_value(values, k)))
+    found = F.map_from_arrays(keys, F.transform(keys, lambda k: last_value(values, k)))
+    return F.when(F.size(keys) > 0, found).otherwise(F.create_map().cast("map<string, string>"))
 
 
 def string_list(text: Column) -> Column:

@@ -34,11 +34,6 @@ def merge_reports(
 def merge_report_files(spark: SparkSession, path: str, n: int, ordered: bool = False) -> DataFrame:
     """The same for a folder with one CSV file per chunk."""
     check_chunk_count(n)
-    files = chunk_report_files(spark, path)
-    if not files:
-        raise FileNotFoundError("No chunk reports to merge")
-    if len(files) != n:
-        raise ValueError(f"Expected {n} chunks, found {len(files)}")
-    rows = scan_report_files(spark, files)
+    rows = scan_report_files(spark, chunk_report_files(spark, path, n))
     rows = rows.orderBy("src_file", "row") if ordered else rows
     return rows.drop("src_file", "row")

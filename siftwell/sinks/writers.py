@@ -1,7 +1,9 @@
 """Requests, answers of a client run, reports and failed ids.
 
-Per-chunk outputs are folders chunk_id=K. The rows are not shuffled for it:
-every task writes its share of each chunk.
+Per-chunk outputs are folders chunk_id=K. Wide rows (requests, full verdicts)
+are not shuffled for it: every task writes its share of each chunk. Narrow rows
+(report, failures) are rebalanced by chunk, so that their files come out near
+the session's advisory size: one per chunk for little data, many for much.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ _CSV = {
 }
 
 
+def _by_chunk(rows: DataFrame) -> DataFrame:
+    return rows.hint("rebalance", F.col("chunk_id"))
+
+
 def write_requests(requests: DataFrame, path: str, max_records: int = 0) -> None:
     """Request lines per chunk; max_records bounds the size of one file."""
     (
@@ -44,15 +50,11 @@ def write_report(verdicts: DataFrame, fields: list[str], path: str, per_chunk: b
     """
     rows = report(verdicts, fields)
     if per_chunk:
-        rows.write.mode("overwrite").options(**_CSV).partitionBy("chunk_id").csv(path)
+        _by_chunk(rows).write.mode("overwrite").options(**_CSV).partitionBy("chunk_id").csv(path)
     else:
         rows.drop("chunk_id").write.mode("overwrite").options(**_CSV).csv(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").options(**_CSV).csv(path)
-
-
 def write_full_report(verdicts: DataFrame, path: str) -> None:
     """All verdicts, unfiltered, as JSON lines per chunk."""
     full_report_lines(verdicts).write.mode("overwrite").partitionBy("chunk_id").text(path)
@@ -60,4 +62,4 @@ def write_full_report(verdicts: DataFrame, path: str) -> None:
 
 def write_failures(failures: DataFrame, path: str) -> None:
     """Failed ids with stage, reason and line, per chunk."""
-    failures.write.mode("overwrite").partitionBy("chunk_id").json(path)
+    _by_chunk(failures).write.mode("overwrite").partitionBy("chunk_id").json(path)

@@ -31,11 +31,11 @@ def scan_reports(spark: SparkSession, path: str, fields: list[str]) -> DataFrame
     return _with_order(reader.csv(path), [*fields, "chunk_id"])
 
 
-def chunk_report_files(spark: SparkSession, path: str) -> list[str]:
-    """Paths of single-file chunk reports in a folder, by name.
+def chunk_report_files(spark: SparkSession, path: str, n: int) -> list[str]:
+    """Paths of the n single-file chunk reports in a folder, by name.
 
-    One per chunk, so the list is as short as the number of chunks. Taken from
-    the listing, hence files with just a header count too.
+    Taken from the listing, hence files with just a header count too. They are
+    counted first; only when there are n of them do their names come here.
     """
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", CHUNK_REPORT_GLOB).load(path)
@@ -43,7 +43,13 @@ def chunk_report_files(spark: SparkSession, path: str) -> list[str]:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"No chunk reports to merge in {path}") from e
         raise
-    return [r["path"] for r in files.select("path").orderBy("path").collect()]
+    paths = files.select("path")
+    found = paths.count()
+    if not found:
+        raise FileNotFoundError(f"No chunk reports to merge in {path}")
+    if found != n:
+        raise ValueError(f"Expected {n} chunks, found {found}")
+    return [r["path"] for r in paths.orderBy("path").collect()]
 
 
 def scan_report_files(spark: SparkSession, files: list[str]) -> DataFrame:
