@@ -30,23 +30,36 @@ def envelope(line: Column) -> Column:
     return _strict(line, _ENVELOPE)
 
 
+def _only_part(parsed: Column) -> Column:
+    """Text of an answer with one candidate of one part; null for other shapes."""
+    candidates = parsed["response"]["candidates"]
+    parts = F.get(candidates, F.lit(0))["content"]["parts"]
+    single = (F.size(candidates) == 1) & (F.size(parts) == 1)
+    return F.when(single, F.get(parts, F.lit(0))["text"])
+
+
 def has_key(parsed: Column, line: Column) -> Column:
-    """Whether the line carries a key; a key that is null counts as carried."""
-    null_key = F.map_contains_key(_strict(line, "array<map<string, string>>"), "key")
+    """Whether the line is a JSON object with a key; a null key counts as one.
+
+    A damaged field can come back as null without spoiling its line. So a line
+    is only taken as sound at once when nothing that is read from it is null;
+    the others are parsed again into a map, which takes all or nothing.
+    """
+    sound = parsed["key"].isNotNull() & parsed["tweet_url"].isNotNull() & _only_part(parsed).isNotNull()
+    checked = F.map_contains_key(_strict(line, "array<map<string, string>>"), "key")
     return F.when(parsed.isNull(), F.lit(False)).otherwise(
-        F.when(parsed["key"].isNotNull(), F.lit(True)).otherwise(F.coalesce(null_key, F.lit(False)))
+        F.when(F.coalesce(sound, F.lit(False)), F.lit(True)).otherwise(F.coalesce(checked, F.lit(False)))
     )
 
 
 def answer_text(parsed: Column, line: Column) -> Column:
     """Text of the first part of the first candidate.
 
-    A malformed later candidate nulls the typed array although the first one is
-    fine; only then is the path looked up in the line itself.
+    With more than one candidate or part, or an odd one, the path is looked up
+    in the line itself.
     """
-    typed = F.get(F.get(parsed["response"]["candidates"], F.lit(0))["content"]["parts"], F.lit(0))
-    untyped = F.when(parsed["response"].isNotNull(), F.get_json_object(line, _TEXT_PATH))
-    return F.coalesce(typed["text"], untyped)
+    looked_up = F.when(parsed["response"].isNotNull(), F.get_json_object(line, _TEXT_PATH))
+    return F.coalesce(_only_part(parsed), looked_up)
 
 
 def without_fences(text: Column) -> Column:

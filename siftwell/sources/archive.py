@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.fixed_values import ARCHIVE_ARRAY_PATTERN, ARCHIVE_GLOB, ARCHIVE_SUFFIX
@@ -12,7 +12,7 @@ _POSTS = "array<array<struct<tweet: struct<id_str: string, id: string, full_text
 
 # An array behind a prefix has no line structure to split at, so a file is one
 # row of one task. Archives come in parts far below this bound.
-MAX_FILE_BYTES = 1 << 30
+MAX_FILE_BYTES = 1 << 28
 
 
 def _files(spark: SparkSession, path: str, max_file_bytes: int) -> None:
@@ -33,6 +33,28 @@ def _files(spark: SparkSession, path: str, max_file_bytes: int) -> None:
         raise ValueError(f"{path} holds a file of {largest} bytes; export it in parts of at most {max_file_bytes}")
 
 
+def _strict(text: Column, schema: str) -> Column:
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit(",[]]")), schema, {"allowSingleQuotes": "false"})
+    return F.when(F.size(parsed) == 2, F.get(parsed, F.lit(0)))
+
+
+def decode_posts(text: Column) -> Column:
+    """Array of posts, null unless the text is one valid JSON array of objects.
+
+    A damaged field can come back as null without spoiling the array. So if any
+    field that is read here is null, the text is parsed again into maps, which
+    take all or nothing.
+    """
+    posts = _strict(text, _POSTS)
+    full = F.forall(
+        posts,
+        lambda p: p["tweet"]["id_str"].isNotNull() & p["tweet"]["id"].isNotNull() & p["tweet"]["full_text"].isNotNull(),
+    )
+    maps = _strict(text, "array<array<map<string, string>>>")
+    valid = maps.isNotNull() & F.forall(maps, lambda m: m.isNotNull())
+    return F.when(F.coalesce(full, F.lit(False)) | F.coalesce(valid, F.lit(False)), posts)
+
+
 def scan_archive(spark: SparkSession, path: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Posts of an archive: src_file, pos, id_str, id, item_text.
 
@@ -45,20 +67,17 @@ def scan_archive(spark: SparkSession, path: str, max_file_bytes: int = MAX_FILE_
     reader = spark.read
     if not path.rstrip("/").lower().endswith(ARCHIVE_SUFFIX):
         reader = reader.option("pathGlobFilter", ARCHIVE_GLOB)
-    found = F.regexp_extract("value", ARCHIVE_ARRAY_PATTERN, 0)
-    parsed = F.from_json(
-        F.concat(F.lit("["), F.col("found"), F.lit(",[]]")), _POSTS, {"allowSingleQuotes": "false"}
-    )
-    sound = (F.size("parsed") == 2) & F.get("parsed", F.lit(0)).isNotNull()
+    complaint = F.when(F.col("found") == "", "No JSON array found in ").otherwise("Not valid JSON in ")
     # The error sits in the generator itself: it decides the row count, so no
     # column pruning can take it away.
-    posts = F.when(F.col("found") == "", F.raise_error(F.concat(F.lit("No JSON array found in "), "src_file"))).when(
-        F.coalesce(sound, F.lit(False)), F.get("parsed", F.lit(0))
-    ).otherwise(F.raise_error(F.concat(F.lit("Not valid JSON in "), "src_file")))
+    posts = F.coalesce("posts", F.raise_error(F.concat(complaint, "src_file")))
     return (
         reader.text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("src_file"), found.alias("found"))
-        .withColumn("parsed", parsed)
+        .select(
+            F.col("_metadata.file_path").alias("src_file"),
+            F.regexp_extract("value", ARCHIVE_ARRAY_PATTERN, 0).alias("found"),
+        )
+        .withColumn("posts", decode_posts(F.col("found")))
         .select("src_file", F.posexplode(posts).alias("pos", "post"))
         .select("src_file", "pos", "post.tweet.id_str", "post.tweet.id", F.col("post.tweet.full_text").alias("item_text"))
     )

@@ -1,9 +1,12 @@
 import json
+import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.operators.items import resolve_ids
-from siftwell.sources.archive import import_archive, scan_archive
+from siftwell.sources.archive import decode_posts, import_archive, scan_archive
 
 
 def wrapped(posts, prefix="window.posts.part0 = "):
@@ -93,3 +96,51 @@ def test_oversized_file_is_refused(spark, tmp_path):
     file.write_text(wrapped(sample(50)))
     with pytest.raises(ValueError, match="parts"):
         scan_archive(spark, str(file), max_file_bytes=100)
+
+
+def decoded(text):
+    """Ids and texts of the posts, or None where the plain decoder fails."""
+    try:
+        data = json.loads(text)
+    except json.JSONDecodeError:
+        return None
+    if not isinstance(data, list) or not all(isinstance(p, dict) for p in data):
+        return None
+    posts = [p.get("tweet") for p in data]
+    posts = [p if isinstance(p, dict) else {} for p in posts]
+    as_text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+    return [(as_text(p.get("id_str")), as_text(p.get("full_text"))) for p in posts]
+
+
+@pytest.mark.parametrize("with_id", [True, False])
+def test_damaged_archives_are_judged_as_in_python(spark, with_id):
+    rng = random.Random(11)
+    texts = []
+    for k in range(3000):
+        posts = [
+            {"tweet": {"id_str": f"{k}{n}", "full_text": f"t {n}", "tags": [1, {"a": None}], **({"id": "9"} if with_id else {})}}
+            for n in range(rng.choice([1, 2, 5]))
+        ]
+        chars = list(json.dumps(posts))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            at = rng.randrange(len(chars))
+            if rng.random() < 0.5:
+                chars[at : at + rng.choice([1, 2, 8])] = []
+            else:
+                chars.insert(at, rng.choice('{}[]",:\\ -0N'))
+        found = re.search(r"\[\s*{.*}\s*\]", "".join(chars), re.DOTALL)
+        if found:
+            texts.append(found.group(0))
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", decode_posts(F.col("t")).alias("p"))
+    for row in df.orderBy("k").collect():
+        got = row.p and [(p.tweet and p.tweet.id_str, p.tweet and p.tweet.full_text) for p in row.p]
+        want = decoded(texts[row.k])
+        assert (got is None) == (want is None), texts[row.k]
+        if want is not None and all("{" not in (t or "") and "[" not in (t or "") for pair in want for t in pair):
+            assert got == want, texts[row.k]
+
+
+def test_large_file_in_one_piece(spark, tmp_path):
+    file = tmp_path / "p.js"
+    file.write_text(wrapped([{"tweet": {"id_str": str(i), "id": str(i), "full_text": "word " * 40}} for i in range(100_000)]))
+    assert scan_archive(spark, str(file)).agg(F.max("pos"), F.countDistinct("id_str")).first() == (99_999, 100_000)

@@ -1,6 +1,7 @@
 """Answers read by Spark against the same rules in plain Python."""
 
 import json
+import random
 import re
 
 import pytest
@@ -190,3 +191,48 @@ def test_usual_shapes(responses, text):
     shaped = {"plain": OK, "fenced": f"\n```json\n{OK}\n```\n", "prose": f"Look:\n{OK}\nDone."}[text]
     row = good(parse_responses(responses([envelope("1", shaped)]))).first()
     assert (row.item_id, row.deletion, row.topics, row.reason) == ("1", "KEEP", ["news"], "fine")
+
+
+def mutated(rng, line):
+    """A line with a few characters dropped, doubled, swapped or put in."""
+    chars = list(line)
+    for _ in range(rng.choice([0, 1, 1, 1, 2, 4])):
+        at = rng.randrange(len(chars))
+        kind = rng.random()
+        if kind < 0.35:
+            chars[at : at + rng.choice([1, 1, 2, 9])] = []
+        elif kind < 0.6:
+            chars.insert(at, rng.choice('{}[]",:\\ \t01-.eNn`'))
+        elif kind < 0.8:
+            other = rng.randrange(len(chars))
+            chars[at], chars[other] = chars[other], chars[at]
+        else:
+            piece = chars[at : at + rng.choice([3, 10, 40])]
+            chars[at:at] = piece
+        if not chars:
+            break
+    return "".join(chars)
+
+
+def test_damaged_lines_are_judged_as_in_python(spark, responses):
+    """Lines, damaged in the envelope or in the answer's text."""
+    rng = random.Random(7)
+    lines = []
+    for k in range(12000):
+        text = rng.choice(TEXTS)
+        line = mutated(rng, envelope(f"m{k}", text)) if k % 2 else envelope(f"m{k}", mutated(rng, text or "{}"))
+        if line and "\n" not in line:
+            lines.append(line)
+    rows = sorted(parse_responses(responses(lines)).collect(), key=lambda r: r.ord.row)
+    assert len(rows) == len(lines)
+    wrong = []
+    for row, line in zip(rows, lines):
+        try:
+            expected = plain(line)
+        except (AttributeError, TypeError):
+            # An answer that is no text ends the run in the plain version; here
+            # it may only become a failure or, if it is an object, a verdict.
+            continue
+        if (row.fail_reason, row.item_id) != expected[:2]:
+            wrong.append((line, expected[:2], (row.fail_reason, row.item_id)))
+    assert not wrong, "\n".join(str(w) for w in wrong)

@@ -191,7 +191,8 @@ def bent_scorer(pending: DataFrame, folder: str) -> DataFrame:
 def archive(spark: SparkSession, sf_dir: str) -> str:
     """The documents as archive files of at most PART_ROWS posts each."""
     path = f"{new_folder(spark, 'archive')}.js"
-    post = F.to_json(F.struct(F.struct(F.col("id_str"), F.col("item_text").alias("full_text")).alias("tweet")))
+    tweet = F.struct("id_str", F.col("id_str").alias("id"), F.col("item_text").alias("full_text"))
+    post = F.to_json(F.struct(tweet.alias("tweet")))
     part = F.floor(F.col("pos") / PART_ROWS)
     inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "post"))), lambda s: s["post"]), ",\n")
     (
