@@ -12,22 +12,27 @@ from pyspark.sql import functions as F
 
 from siftwell.fixed_values import ANSWER_OBJECT_PATTERN, CODE_FENCES, REQUIRED_KEYS
 
-_OPTIONS = {"allowSingleQuotes": "false"}
-_ENVELOPE = (
-    "array<struct<key: string, tweet_url: string, response: struct<candidates: "
-    "array<struct<content: struct<parts: array<struct<text: string>>>>>>>>"
+ENVELOPE = (
+    "struct<key: string, tweet_url: string, response: struct<candidates: "
+    "array<struct<content: struct<parts: array<struct<text: string>>>>>>>"
 )
+OBJECT = "map<string, string>"
+_OPTIONS = {"allowSingleQuotes": "false"}
 _TEXT_PATH = "$.response.candidates[0].content.parts[0].text"
 
 
-def _strict(text: Column, schema: str) -> Column:
-    parsed = F.from_json(F.concat(F.lit("["), text, F.lit(",{}]")), schema, _OPTIONS)
-    return F.when(F.size(parsed) == 2, F.get(parsed, F.lit(0)))
+def elements(text: Column, schema: str) -> Column:
+    """The text and an empty object as the elements of one array."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit(",{}]")), f"array<{schema}>", _OPTIONS)
+
 
+def sole(found: Column) -> Column:
+    """The text's own value if nothing else came back with it, else null.
 
-def envelope(line: Column) -> Column:
-    """Struct (key, tweet_url, response) of one answer line, null if malformed."""
-    return _strict(line, _ENVELOPE)
+    Refers to its argument twice: pass a column, not the parse itself, or it is
+    parsed twice.
+    """
+    return F.when(F.size(found) == 2, F.get(found, F.lit(0)))
 
 
 def _only_part(parsed: Column) -> Column:
@@ -46,7 +51,7 @@ def has_key(parsed: Column, line: Column) -> Column:
     the others are parsed again into a map, which takes all or nothing.
     """
     sound = parsed["key"].isNotNull() & parsed["tweet_url"].isNotNull() & _only_part(parsed).isNotNull()
-    checked = F.map_contains_key(_strict(line, "array<map<string, string>>"), "key")
+    checked = F.map_contains_key(sole(elements(line, OBJECT)), "key")
     return F.when(parsed.isNull(), F.lit(False)).otherwise(
         F.when(F.coalesce(sound, F.lit(False)), F.lit(True)).otherwise(F.coalesce(checked, F.lit(False)))
     )
@@ -71,22 +76,16 @@ def without_fences(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(shortest)), stripped).otherwise(text)
 
 
-def object_text(text: Column) -> Column:
+def object_text(bare: Column) -> Column:
     """From the first opening to the last closing brace; empty if there is none.
 
     A text that starts and ends with its braces is taken as it stands, without
     running the pattern over it.
     """
-    bare = without_fences(text)
     whole = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}"))
     return F.when(whole, bare).otherwise(F.regexp_extract(bare, ANSWER_OBJECT_PATTERN, 0))
 
 
-def object_map(text: Column) -> Column:
-    """Key to value text of a JSON object; null when the text is anything else."""
-    return _strict(text, "array<map<string, string>>")
-
-
 def last_value(values: Column, key: str | Column) -> Column:
     """Value of the last entry with this key, since the parsed map keeps repeats."""
     key = F.lit(key) if isinstance(key, str) else key

@@ -16,9 +16,14 @@ def _whole(pattern: str) -> str:
     return f"(?<!{_LETTER})({pattern})(?!{_LETTER})"
 
 
-def found_words(text: Column, forbidden: list[str]) -> Column:
-    """The forbidden entries that occur in the text as whole words, in list order.
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
 
+
+def found_words(lower: Column, forbidden: list[str]) -> Column:
+    """The forbidden entries that occur in a text as whole words, in list order.
+
+    Takes the lowered text as a column, since it is looked at several times.
     An entry of several words matches when its words follow one another. Texts
     are first searched for the plain words, which costs little; the pattern
     that looks at word borders runs on those that contain one.
@@ -29,7 +34,6 @@ def found_words(text: Column, forbidden: list[str]) -> Column:
     phrases = [e for e in entries if len(e) > 1]
     if not single and not phrases:
         return nothing
-    lower = F.lower(F.coalesce(text, F.lit("")))
     found = nothing
     if single:
         seen = F.regexp_extract_all(lower, F.lit(_whole("|".join(single))))

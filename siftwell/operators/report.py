@@ -27,6 +27,7 @@ def full_report_lines(verdicts: DataFrame) -> DataFrame:
     raw line break can only be white space in valid JSON and becomes a blank.
     """
     own = F.to_json(F.struct(F.col("item_id").alias("tweet_id"), F.col("item_url").alias("tweet_url")))
-    body = F.translate("raw", "\r\n", "  ")
-    line = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(","), F.substring(own, 2, 1 << 30))
-    return verdicts.select("chunk_id", line.alias("value"))
+    parts = verdicts.select("chunk_id", F.translate("raw", "\r\n", "  ").alias("body"), own.alias("own"))
+    opened = F.substring("body", F.lit(1), F.length("body") - 1)
+    line = F.concat(opened, F.lit(","), F.substring("own", F.lit(2), F.length("own")))
+    return parts.select("chunk_id", line.alias("value"))

@@ -17,7 +17,9 @@ def answer_lines(responses: DataFrame) -> DataFrame:
     """
     lines = responses.where(F.col("submit_error").isNotNull() | (F.col("line") != ""))
     return (
-        lines.withColumn("parsed", A.envelope(F.col("line")))
+        lines.withColumn("elements", A.elements(F.col("line"), A.ENVELOPE))
+        .withColumn("parsed", A.sole(F.col("elements")))
+        .drop("elements")
         .withColumn("carries_key", F.coalesce(A.has_key(F.col("parsed"), F.col("line")), F.lit(False)))
         .withColumn(
             "item_id",
@@ -37,8 +39,11 @@ def with_answer_text(lines: DataFrame) -> DataFrame:
 def with_verdict(lines: DataFrame) -> DataFrame:
     """Adds raw (the answer's JSON object), its key map, and whether it is valid."""
     return (
-        lines.withColumn("raw", A.object_text(F.col("answer")))
-        .withColumn("values", A.object_map(F.col("raw")))
+        lines.withColumn("bare", A.without_fences(F.col("answer")))
+        .withColumn("raw", A.object_text(F.col("bare")))
+        .withColumn("elements", A.elements(F.col("raw"), A.OBJECT))
+        .withColumn("values", A.sole(F.col("elements")))
+        .drop("bare", "elements")
         .withColumn("is_verdict", A.has_required_keys(F.col("values")))
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell.fixed_values import DELETE, KEEP, RATE_LIMIT_MARKERS
 from siftwell.functions.urls import permalink
-from siftwell.functions.words import found_words
+from siftwell.functions.words import found_words, lowered
 from siftwell.operators.requests import request_lines
 from siftwell.schemas import ANSWERS, SCORED
 from siftwell.spec import Criteria, UrlSpec
@@ -96,7 +96,7 @@ def score_rules(items: DataFrame, criteria: Criteria, url: UrlSpec) -> DataFrame
 
     A stand-in where no model is attached; topics and tone are a model's task.
     """
-    found = found_words(F.col("item_text"), criteria.forbidden_words)
+    found = found_words(F.col("lower"), criteria.forbidden_words)
     hit = F.size("explicit_words") > 0
     verdict = F.struct(
         "explicit_words",
@@ -106,7 +106,8 @@ def score_rules(items: DataFrame, criteria: Criteria, url: UrlSpec) -> DataFrame
     )
     null = lambda name: F.lit(None).cast(ANSWERS[name].dataType).alias(name)
     return (
-        items.select("item_id", "chunk_id", "src_file", "pos", found.alias("explicit_words"))
+        items.select("item_id", "chunk_id", "src_file", "pos", lowered(F.col("item_text")).alias("lower"))
+        .select("item_id", "chunk_id", "src_file", "pos", found.alias("explicit_words"))
         .withColumn("reason", F.when(hit, "Contains forbidden words").otherwise("No forbidden words"))
         .withColumn("topics", F.array().cast("array<string>"))
         .withColumn("deletion", F.when(hit, DELETE).otherwise(KEEP))

@@ -33,26 +33,34 @@ def _files(spark: SparkSession, path: str, max_file_bytes: int) -> None:
         raise ValueError(f"{path} holds a file of {largest} bytes; export it in parts of at most {max_file_bytes}")
 
 
-def _strict(text: Column, schema: str) -> Column:
-    parsed = F.from_json(F.concat(F.lit("["), text, F.lit(",[]]")), schema, {"allowSingleQuotes": "false"})
-    return F.when(F.size(parsed) == 2, F.get(parsed, F.lit(0)))
+def _elements(text: Column, schema: str) -> Column:
+    """The text and an empty array as the elements of one array."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit(",[]]")), schema, {"allowSingleQuotes": "false"})
 
 
-def decode_posts(text: Column) -> Column:
-    """Array of posts, null unless the text is one valid JSON array of objects.
+def decode_posts(texts: DataFrame) -> DataFrame:
+    """Adds posts, null unless found is one valid JSON array of objects.
 
     A damaged field can come back as null without spoiling the array. So if any
     field that is read here is null, the text is parsed again into maps, which
-    take all or nothing.
+    take all or nothing. Parses are columns of their own, each is done once.
     """
-    posts = _strict(text, _POSTS)
+    first = lambda name: F.when(F.size(name) == 2, F.get(name, F.lit(0)))
     full = F.forall(
-        posts,
+        "posts",
         lambda p: p["tweet"]["id_str"].isNotNull() & p["tweet"]["id"].isNotNull() & p["tweet"]["full_text"].isNotNull(),
     )
-    maps = _strict(text, "array<array<map<string, string>>>")
-    valid = maps.isNotNull() & F.forall(maps, lambda m: m.isNotNull())
-    return F.when(F.coalesce(full, F.lit(False)) | F.coalesce(valid, F.lit(False)), posts)
+    again = F.when(~F.col("full"), _elements(F.col("found"), "array<array<map<string, string>>>"))
+    sound = F.col("full") | F.coalesce(F.forall("maps", lambda m: m.isNotNull()), F.lit(False))
+    return (
+        texts.withColumn("elements", _elements(F.col("found"), _POSTS))
+        .withColumn("posts", first("elements"))
+        .withColumn("full", F.coalesce(full, F.lit(False)))
+        .withColumn("again", again)
+        .withColumn("maps", first("again"))
+        .withColumn("posts", F.when(sound, F.col("posts")))
+        .drop("elements", "full", "again", "maps")
+    )
 
 
 def scan_archive(spark: SparkSession, path: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
@@ -71,13 +79,12 @@ def scan_archive(spark: SparkSession, path: str, max_file_bytes: int = MAX_FILE_
     # The error sits in the generator itself: it decides the row count, so no
     # column pruning can take it away.
     posts = F.coalesce("posts", F.raise_error(F.concat(complaint, "src_file")))
+    texts = reader.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("src_file"),
+        F.regexp_extract("value", ARCHIVE_ARRAY_PATTERN, 0).alias("found"),
+    )
     return (
-        reader.text(path, wholetext=True)
-        .select(
-            F.col("_metadata.file_path").alias("src_file"),
-            F.regexp_extract("value", ARCHIVE_ARRAY_PATTERN, 0).alias("found"),
-        )
-        .withColumn("posts", decode_posts(F.col("found")))
+        decode_posts(texts)
         .select("src_file", F.posexplode(posts).alias("pos", "post"))
         .select("src_file", "pos", "post.tweet.id_str", "post.tweet.id", F.col("post.tweet.full_text").alias("item_text"))
     )

@@ -131,7 +131,8 @@ def test_damaged_archives_are_judged_as_in_python(spark, with_id):
         found = re.search(r"\[\s*{.*}\s*\]", "".join(chars), re.DOTALL)
         if found:
             texts.append(found.group(0))
-    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", decode_posts(F.col("t")).alias("p"))
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, found string")
+    df = decode_posts(df).select("k", F.col("posts").alias("p"))
     for row in df.orderBy("k").collect():
         got = row.p and [(p.tweet and p.tweet.id_str, p.tweet and p.tweet.full_text) for p in row.p]
         want = decoded(texts[row.k])

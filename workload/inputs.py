@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.urls import permalink
-from siftwell.functions.words import found_words
+from siftwell.functions.words import found_words, lowered
 from siftwell.operators.items import assign_chunks, resolve_ids
 from siftwell.operators.responses import parse_responses
 from siftwell.schemas import ANSWERS
@@ -163,7 +163,8 @@ def bent_answers(items: DataFrame) -> DataFrame:
         .when(kind == 12, F.concat(_envelope(key, url, answer), F.lit("\n"), _envelope(key, url, verdict(opposite))))
         .otherwise(_envelope(key, url, answer))
     )
-    worded = items.withColumn("words", found_words(F.col("item_text"), WORDS))
+    low = items.withColumn("lower", lowered(F.col("item_text")))
+    worded = low.withColumn("words", found_words(F.col("lower"), WORDS))
     return worded.withColumn("answer", bent).select("chunk_id", line.alias("value"))
 
 
