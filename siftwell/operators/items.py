@@ -38,16 +38,22 @@ def select_chunk(df: DataFrame, chunk_id: int, n: int) -> DataFrame:
 
 
 def drop_invalid_ids(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items with a usable id, and the rest as failures of stage "id"."""
+    """Items with a usable id, and the rest as failures of stage "id".
+
+    A dropped post is told by its file and position; its text is left where it
+    is, so that finding these few posts reads the id columns only.
+    """
     valid = F.coalesce(is_valid_id(F.col("item_id")), F.lit(False))
     dropped = items.where(~valid).select(
         "item_id",
         F.lit("id").alias("stage"),
         F.lit("no_id").alias("fail_reason"),
-        F.col("item_text").alias("line"),
+        F.lit(None).cast("string").alias("line"),
         "chunk_id",
         F.struct(
-            F.col("src_file").alias("file"), F.lit(0).cast("long").alias("block"), F.col("pos").cast("long").alias("row")
+            F.col("src_file").alias("file"),
+            F.lit(0).cast("long").alias("block"),
+            F.col("pos").cast("long").alias("row"),
         ).alias("ord"),
     )
     return items.where(valid), dropped.select(FAILURE_COLUMNS)

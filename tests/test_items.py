@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions.ids import resolve_id, store_key
-from siftwell.operators.items import assign_chunks, drop_invalid_ids, select_chunk
+from siftwell.operators.items import assign_chunks, drop_invalid_ids, resolve_ids, select_chunk
 from siftwell.spec import AuditSpec, Criteria, UrlSpec
 
 
@@ -56,13 +56,21 @@ def test_invalid_ids_become_failures(posts):
     kept, dropped = drop_invalid_ids(posts([("a", "t"), (None, "u"), ("unknown", "v"), ("", "w"), ("b", "x")]))
     assert sorted(r.item_id for r in kept.collect()) == ["a", "b"]
     rows = sorted(dropped.collect(), key=lambda r: r.ord.row)
-    assert [(r.item_id, r.stage, r.fail_reason, r.line) for r in rows] == [
-        (None, "id", "no_id", "u"),
-        ("unknown", "id", "no_id", "v"),
-        (None, "id", "no_id", "w"),
+    assert [(r.item_id, r.stage, r.fail_reason, r.ord.file, r.ord.row) for r in rows] == [
+        (None, "id", "no_id", "src", 1),
+        ("unknown", "id", "no_id", "src", 2),
+        (None, "id", "no_id", "src", 3),
     ]
 
 
 def test_no_posts(posts, spark):
     empty = posts([("a", "t")]).limit(0)
     assert select_chunk(empty, 0, 5).collect() == []
+
+
+def test_dropped_posts_are_found_without_reading_texts(spark, posts, tmp_path):
+    posts([("a", "t"), (None, "u")]).drop("item_id", "store_key").write.parquet(str(tmp_path / "p"))
+    _, dropped = drop_invalid_ids(resolve_ids(spark.read.parquet(str(tmp_path / "p"))))
+    plan = dropped._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "item_text" not in plan
+    assert dropped.count() == 1
