@@ -37,7 +37,7 @@ from siftwell.llm.word_arrays import buffer_of, mix, words
 ROUNDS = 4
 STEPS = 16
 SAMPLES = 7
-STRIDE = 8
+STRIDE = 4
 FEW_WORDS = 8
 MAX_SHARE = 0.2
 BLOCK_CHARS = 8_000_000
