@@ -16,7 +16,8 @@ are then found without ever listing the pairs of a bucket:
    across components, those are verified whose sizes allow a link and whose one-bit
    minhashes differ in at most most_bits() of BITS places. At similarity 0.8 they differ
    in 51 on average, standard deviation 6.8, and 73 are allowed, three deviations more;
-   below 0.65 hardly a pair is left. There is no cap on the pairs.
+   below 0.65 hardly a pair is left. There is no cap on the pairs, and a pair is
+   listed in one of its tables only, the first in which its subkeys agree.
 
 Words are runs outside x20 and x09 to x0D, A-Z read as a-z. Shingles and words are
 64-bit hashes. Defined results: a text without words has no shingles, is a component
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.frames import arrow_schema, mapped, only, record_batch, written
@@ -218,19 +219,19 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     # Equal sets have equal subkeys, so any will do; the first minimum is as good as any.
     classes = written(sketch.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")).filter("rep is not null"), "classes")
     table = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, j, x, y))))
-    keys = classes.select("rep", "n", F.explode(table).alias("key"))
+    keys = classes.select("rep", "n", F.posexplode(table).alias("t", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     buckets = written(keys.join(shared, "key", "left_semi"), "buckets")
     meeting = buckets.select("rep").distinct().join(classes.select("rep", "s1"), "rep")
     words_ = [f"w{k}" for k in range(BITS // 64)]
-    schema = "rep long, n long, shingles binary, a array<long>, b array<long>, " + ", ".join(f"{w} long" for w in words_)
+    schema = "rep long, n long, shingles binary, a array<long>, b array<long>, x array<smallint>, y array<smallint>, " + ", ".join(f"{w} long" for w in words_)
 
     def full(batch: pa.RecordBatch) -> Iterator[dict]:
         sets = shingle_sets(batch.column("text"), size)
         own = [i for i, (got, named) in enumerate(zip(_sums(sets, 3), batch.column("s1").to_pylist(), strict=True)) if got == named]
         sets, reps = [sets[i] for i in own], batch.column("rep").to_pylist()
         a, b = subkeys(sets)
-        yield {"rep": [reps[i] for i in own], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets], "a": list(a), "b": list(b)} | dict(zip(words_, one_bits(sets).T, strict=True))
+        yield {"rep": [reps[i] for i in own], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets], "a": list(a), "b": list(b), "x": list((a >> 48).astype(np.int16)), "y": list((b >> 48).astype(np.int16))} | dict(zip(words_, one_bits(sets).T, strict=True))
 
     found = rows.join(meeting, F.col("doc_id") == F.col("rep")).select("rep", "s1", "text")
     sets = written(mapped(found, full, schema), "sets")
@@ -250,13 +251,20 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
 def _far_links(buckets: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified links between members of one bucket that lie in different components."""
-    placed = buckets.join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key")
+    placed = buckets.join(first, F.col("rep") == F.col("node"), "left").select("key", "t", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
     named = [f"w{k}" for k in range(BITS // 64)]
-    left = placed.join(mixed, "key", "left_semi").join(sets.select("rep", *named), "rep")
-    right = left.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), *[F.col(w).alias(f"{w}_2") for w in named])
+    left = placed.join(mixed, "key", "left_semi").join(sets.select("rep", "x", "y", *named), "rep")
+    right = left.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), *[F.col(w).alias(f"{w}_2") for w in ("x", "y", *named)])
+
+    def first_same(one: str) -> Column:
+        """The first place where the upper 16 bits of the subkeys agree: the table in which a pair is listed."""
+        at = F.filter(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda k: F.get(one, k) == F.get(f"{one}_2", k))
+        return F.get(at, 0)
+
+    here = (F.floor(F.col("t") / SIDE) == first_same("x")) & (F.col("t") % SIDE == first_same("y"))
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_2"))) for w in named[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("w0_2"))))
-    alike = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("c") < F.col("c2")) & (apart <= most_bits(percent))
+    alike = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("c") < F.col("c2")) & (apart <= most_bits(percent)) & here
     pairs = left.join(right, "key").filter(alike).select("rep", "rep2").distinct()
     held = pairs.join(sets.select("rep", F.col("shingles").alias("s")), "rep").join(sets.select(F.col("rep").alias("rep2"), F.col("shingles").alias("s2")), "rep2")
 
