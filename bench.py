@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -42,6 +43,7 @@ def session() -> SparkSession:
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
         "spark.sql.shuffle.partitions": CPUS,
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="siftwell-bench-"),
     }
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -1,17 +1,22 @@
 """Reading the model's answers: strict JSON with built-in expressions only.
 
 from_json alone is too lenient: it ignores whatever follows the first complete
-value. So a text is put into an array together with an empty object and only
-counts when exactly these two elements come back.
+value. So a text is put into an array together with a closing object that holds a
+random mark, and only counts when exactly these two elements come back. A text that
+closes the array itself can't know the mark.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwell.fixed_values import ANSWER_OBJECT_PATTERN, CODE_FENCES, REQUIRED_KEYS
 
+#: Drawn anew by every process that plans a parse; texts can't contain it but by chance.
+MARK = uuid.uuid4().hex
 ENVELOPE = (
     "struct<key: string, tweet_url: string, response: struct<candidates: "
     "array<struct<content: struct<parts: array<struct<text: string>>>>>>>"
@@ -22,17 +27,18 @@ _TEXT_PATH = "$.response.candidates[0].content.parts[0].text"
 
 
 def elements(text: Column, schema: str) -> Column:
-    """The text and an empty object as the elements of one array."""
-    return F.from_json(F.concat(F.lit("["), text, F.lit(",{}]")), f"array<{schema}>", _OPTIONS)
+    """The text and an object with the mark as the elements of one array."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit(f',{{"key":"{MARK}"}}]')), f"array<{schema}>", _OPTIONS)
 
 
 def sole(found: Column) -> Column:
     """The text's own value if nothing else came back with it, else null.
 
-    Refers to its argument twice: pass a column, not the parse itself, or it is
-    parsed twice.
+    Refers to its argument several times: pass a column, not the parse itself, or it is
+    parsed as often.
     """
-    return F.when(F.size(found) == 2, F.get(found, F.lit(0)))
+    ends = (F.size(found) == 2) & (F.get(found, F.lit(1))["key"] == MARK)
+    return F.when(ends, F.get(found, F.lit(0)))
 
 
 def _only_part(parsed: Column) -> Column:

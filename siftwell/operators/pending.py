@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.ids import store_key
+
 _KEYS = ["store_key", "key_hash"]
 
 
@@ -56,8 +58,7 @@ def cached_lookup(items: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def missing_items(items: DataFrame, merged: DataFrame) -> DataFrame:
-    """Ids of posts that ended up without a verdict, each once."""
-    expected = items.select("item_id", "chunk_id").distinct()
-    have = merged.select("item_id").distinct()
-    salted = lambda df: df.withColumn("key_hash", F.xxhash64("item_id"))
-    return salted(expected).join(salted(have), ["item_id", "key_hash"], "left_anti").drop("key_hash")
+    """Ids of posts that ended up without a verdict, each once. Ids are compared as the store does."""
+    expected = items.select("item_id", "chunk_id", store_key(F.col("item_id")).alias("store_key")).distinct()
+    have = merged.select(store_key(F.col("item_id")).alias("store_key")).distinct()
+    return _hashed(expected).join(_hashed(have), _KEYS, "left_anti").select("item_id", "chunk_id")

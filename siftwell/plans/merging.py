@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftwell.operators.stats import absent_chunks
 from siftwell.sources.reports import chunk_report_files, scan_report_files, scan_reports
@@ -14,6 +16,9 @@ def check_chunks(spark: SparkSession, n: int, stats: DataFrame) -> None:
     absent = [str(r["chunk_id"]) for r in absent_chunks(spark, n, stats).orderBy("chunk_id").collect()]
     if len(absent) == n:
         raise FileNotFoundError("No chunk reports to merge")
+    beyond = [str(r["chunk_id"]) for r in stats.filter(~F.col("chunk_id").between(0, n - 1)).select("chunk_id").distinct().limit(20).collect()]
+    if beyond:
+        raise ValueError(f"Expected {n} chunks, found more: {', '.join(sorted(beyond, key=int))}")
     if absent:
         raise ValueError(f"Expected {n} chunks, found {n - len(absent)}; absent: {', '.join(absent)}")
 
@@ -25,7 +30,13 @@ def merge_reports(
 
     Sorting the whole report is left to those who ask for it.
     """
-    check_chunks(spark, n, spark.read.parquet(f"{out_dir}/stats"))
+    try:
+        stats = spark.read.parquet(f"{out_dir}/stats")
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise FileNotFoundError(f"No chunk reports to merge in {out_dir}") from e
+        raise
+    check_chunks(spark, n, stats)
     rows = scan_reports(spark, f"{out_dir}/report", fields)
     rows = rows.orderBy("src_file", "row") if ordered else rows
     return rows.select(*fields)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,18 +28,10 @@ def build_session(app_name: str = "siftwell", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as named by spark.checkpoint.dir.
-
-    Only a local session, where driver and executors are one process, may
-    fall back to a temporary folder of this machine.
-    """
+    """The folder all executors see, as named by spark.checkpoint.dir."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        named = tempfile.mkdtemp(prefix="siftwell-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        return named
     raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 

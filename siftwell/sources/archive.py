@@ -7,15 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.fixed_values import ARCHIVE_ARRAY_PATTERN, ARCHIVE_GLOB, ARCHIVE_SUFFIX
+from siftwell.functions.answers import MARK
 
-_POSTS = "array<array<struct<tweet: struct<id_str: string, id: string, full_text: string>>>>"
+_POSTS = "array<array<struct<tweet: struct<id_str: string, id: string, full_text: string>, mark: string>>>"
 
-# An array behind a prefix has no line structure to split at, so a file is one
-# row of one task. Archives come in parts far below this bound.
-MAX_FILE_BYTES = 1 << 28
 
-
-def _files(spark: SparkSession, path: str, max_file_bytes: int) -> None:
+def _files(spark: SparkSession, path: str, max_file_bytes: int | None) -> None:
     """Checks name, presence and size from the listing alone."""
     listing = spark.read.format("binaryFile")
     if not path.rstrip("/").lower().endswith(ARCHIVE_SUFFIX):
@@ -29,13 +26,14 @@ def _files(spark: SparkSession, path: str, max_file_bytes: int) -> None:
     count, largest = files.agg(F.count("*"), F.max("length")).first()
     if not count:
         raise ValueError(f"{path} holds no file with a '{ARCHIVE_SUFFIX}' extension")
-    if largest > max_file_bytes:
+    if max_file_bytes is not None and largest > max_file_bytes:
         raise ValueError(f"{path} holds a file of {largest} bytes; export it in parts of at most {max_file_bytes}")
 
 
 def _elements(text: Column, schema: str) -> Column:
-    """The text and an empty array as the elements of one array."""
-    return F.from_json(F.concat(F.lit("["), text, F.lit(",[]]")), schema, {"allowSingleQuotes": "false"})
+    """The text and an array with a random mark as the elements of one array; a text can't supply the mark."""
+    end = F.lit(f',[{{"mark":"{MARK}"}}]]')
+    return F.from_json(F.concat(F.lit("["), text, end), schema, {"allowSingleQuotes": "false"})
 
 
 def decode_posts(texts: DataFrame) -> DataFrame:
@@ -45,7 +43,8 @@ def decode_posts(texts: DataFrame) -> DataFrame:
     field that is read here is null, the text is parsed again into maps, which
     take all or nothing. Parses are columns of their own, each is done once.
     """
-    first = lambda name: F.when(F.size(name) == 2, F.get(name, F.lit(0)))
+    mark = lambda name: F.get(F.get(name, F.lit(1)), F.lit(0))["mark"]
+    first = lambda name: F.when((F.size(name) == 2) & (mark(name) == MARK), F.get(name, F.lit(0)))
     full = F.forall(
         "posts",
         lambda p: p["tweet"]["id_str"].isNotNull() & p["tweet"]["id"].isNotNull() & p["tweet"]["full_text"].isNotNull(),
@@ -63,13 +62,15 @@ def decode_posts(texts: DataFrame) -> DataFrame:
     )
 
 
-def scan_archive(spark: SparkSession, path: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def scan_archive(spark: SparkSession, path: str, max_file_bytes: int | None = None) -> DataFrame:
     """Posts of an archive: src_file, pos, id_str, id, item_text.
 
     path is a ".js" file, a ".js" folder of part files as Spark writes them, or
     a folder or pattern of which the ".js" files are taken. A missing path or a
     wrong name fails at once; a file without a valid array fails the job that
-    reads it. Parsing is strict: nothing may follow the array's end.
+    reads it. Parsing is strict: nothing may follow the array's end. An array behind
+    a prefix has no line structure to split at, so a file is one row of one task;
+    max_file_bytes refuses larger files beforehand when it is given.
     """
     _files(spark, path, max_file_bytes)
     reader = spark.read

@@ -9,9 +9,8 @@ from siftwell.schemas import SCORED
 
 
 def _chunk_of_path(path: Column) -> Column:
-    """Chunk number from a folder chunk_id=3 or a file name with chunk_3."""
-    number = F.regexp_extract(path, r"chunk_(?:id=)?(\d+)", 1)
-    return F.nullif(number, F.lit("")).cast("int")
+    """Chunk number from a folder chunk_id=3 or a file name with chunk_3, the last of them in the path; null if it is no int."""
+    return F.regexp_extract(path, r"^.*chunk_(?:id=)?(\d+)", 1).try_cast("int")
 
 
 def file_lines(lines: DataFrame) -> DataFrame:

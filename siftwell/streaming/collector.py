@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,10 +23,12 @@ def collect_responses(
 ) -> StreamingQuery:
     """Parses the answer files that have landed since the last call, then stops.
 
-    Each batch goes to a run id of its own, made of name and batch number. A
-    batch that is replayed after a failure replaces what it wrote before, so
-    every answer is stored once. There is no shuffle and no state.
+    Each batch goes to a run id of its own, made of name, checkpoint and batch
+    number. A batch that is replayed after a failure replaces what it wrote before,
+    so every answer is stored once, and collections with checkpoints of their own
+    never write over each other. There is no shuffle and no state.
     """
+    stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
     lines = (
         spark.readStream.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
@@ -34,7 +38,7 @@ def collect_responses(
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         answers = parse_responses(as_responses(batch), criteria_hash)
-        store.append(answers, f"{name}-{batch_id}")
+        store.append(answers, f"{name}-{stream}-{batch_id}")
 
     return (
         file_lines(lines)

@@ -145,3 +145,10 @@ def test_large_file_in_one_piece(spark, tmp_path):
     file = tmp_path / "p.js"
     file.write_text(wrapped([{"tweet": {"id_str": str(i), "id": str(i), "full_text": "word " * 40}} for i in range(100_000)]))
     assert scan_archive(spark, str(file)).agg(F.max("pos"), F.countDistinct("id_str")).first() == (99_999, 100_000)
+
+
+def test_array_that_closes_early_is_refused(spark, tmp_path):
+    file = tmp_path / "posts.js"
+    file.write_text('window.posts.part0 = [{"tweet":{"id_str":"1","id":"1","full_text":"a"}}],[]] junk [{"tweet":{"id_str":"2","id":"2","full_text":"b"}}]')
+    with pytest.raises(Exception, match="Not valid JSON"):
+        scan_archive(spark, str(file)).collect()

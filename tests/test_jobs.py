@@ -196,18 +196,31 @@ def test_collector_takes_each_file_once(spark, store, tmp_path):
     (inbox / "answers_chunk_1.jsonl").write_text(answer("b", deletion="DELETE"))
     run()
     assert {r.item_id: r.deletion for r in store.latest().collect()} == {"a": "KEEP", "b": "DELETE"}
-    assert sorted(r.run_id for r in store.verdicts().select("run_id").distinct().collect()) == ["collect-0", "collect-1"]
+    runs = sorted(r.run_id for r in store.verdicts().select("run_id").distinct().collect())
+    assert [r.split("-")[0] + "-" + r.split("-")[2] for r in runs] == ["collect-0", "collect-1"] and len({r.split("-")[1] for r in runs}) == 1
 
 
 def test_replayed_batch_leaves_one_copy(spark, store, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
     (inbox / "answers_chunk_0.jsonl").write_text(answer("a") + "\n" + answer("b"))
-    for attempt in range(2):  # a fresh checkpoint replays batch 0
-        collect_responses(spark, str(inbox), store, str(tmp_path / f"cp{attempt}")).awaitTermination()
+    checkpoint = tmp_path / "cp"
+    collect_responses(spark, str(inbox), store, str(checkpoint)).awaitTermination()
+    for commit in (checkpoint / "commits").glob("*0*"):  # batch 0 was stored but never committed
+        commit.unlink()
+    collect_responses(spark, str(inbox), store, str(checkpoint)).awaitTermination()
     assert store.verdicts().count() == 2
 
 
+def test_collections_of_two_folders_are_both_kept(spark, store, tmp_path):
+    for name, ids in (("x", "ab"), ("y", "cd")):
+        inbox = tmp_path / name
+        inbox.mkdir()
+        (inbox / "answers_chunk_0.jsonl").write_text("\n".join(answer(i) for i in ids))
+        collect_responses(spark, str(inbox), store, str(tmp_path / f"cp-{name}")).awaitTermination()
+    assert sorted(r.item_id for r in store.verdicts().collect()) == ["a", "b", "c", "d"]
+
+
 def settings(tmp_path, **changes):
     raw = {
         "criteria": {

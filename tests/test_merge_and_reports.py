@@ -161,4 +161,6 @@ def test_absent_chunks_are_named(spark):
         check_chunks(spark, 4, stats)
     with pytest.raises(FileNotFoundError):
         check_chunks(spark, 4, stats.limit(0))
-    check_chunks(spark, 1, stats)
+    with pytest.raises(ValueError, match="found more: 2"):
+        check_chunks(spark, 1, stats)
+    check_chunks(spark, 3, stats.unionAll(spark.createDataFrame([(1,)], "chunk_id int")))

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.operators.responses import failed, good, parse_responses
 from siftwell.operators.stats import failures_by_reason, response_stats
@@ -236,3 +237,20 @@ def test_damaged_lines_are_judged_as_in_python(spark, responses):
         if (row.fail_reason, row.item_id) != expected[:2]:
             wrong.append((line, expected[:2], (row.fail_reason, row.item_id)))
     assert not wrong, "\n".join(str(w) for w in wrong)
+
+
+@pytest.mark.parametrize("tail", [",{}]", ",{}] and {\"x\":1}", ",{}]}", ",{\"key\":\"0\"}]"])
+def test_text_that_closes_the_array_itself_is_no_answer(spark, tail):
+    from siftwell.functions import answers
+
+    text = '{"a":"1"}'
+    df = spark.createDataFrame([(text,), (text + tail,)], "t string").withColumn("e", answers.elements(F.col("t"), answers.OBJECT))
+    assert [r.v for r in df.select(answers.sole(F.col("e")).alias("v")).collect()] == [{"a": "1"}, None]
+
+
+def test_chunk_is_that_of_the_last_name_in_the_path(spark):
+    from siftwell.sources.responses import _chunk_of_path
+
+    paths = ["job_chunk_7/chunk_id=3/p.txt", "a/answers_chunk_4.jsonl", "chunk_20240601123456/p", "plain"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r.c for r in df.select(_chunk_of_path(F.col("p")).alias("c")).collect()] == [3, 4, None, None]

@@ -112,3 +112,9 @@ def test_missing_are_listed_once(posts, responses):
     items = posts([("a", "t"), ("b", "t"), ("c", "t"), ("c", "t")], n=1)
     have = good(parse_responses(responses([answer("a"), "junk"])))
     assert sorted(r.item_id for r in missing_items(items, have).collect()) == ["b", "c"]
+
+
+def test_missing_items_compares_ids_as_the_store_does(spark, posts):
+    items = posts([(" 4", "x"), ("5", "y")])
+    have = spark.createDataFrame([("4",)], "item_id string")
+    assert [r.item_id for r in missing_items(items, have).collect()] == ["5"]
