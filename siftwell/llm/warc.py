@@ -80,14 +80,18 @@ def parsed_header(block: bytes) -> dict:
 
 
 def _digested(pages: DataFrame, with_payload: bool) -> DataFrame:
-    schema = "page_id long, url string, sha256 binary, sha1 string, length long" + ", payload binary" * with_payload
+    schema = "page_id long, url string, sha256 binary, sha1 string, length long, place binary" + ", payload binary" * with_payload
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         raw = [(x or "").encode() for x in batch.column("text").to_pylist()]
+        sha256 = [hashlib.sha256(x).digest() for x in raw]
+        named = zip(sha256, batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True)
         yield {
+            # One key for payload, id and url, never null: what is joined by it need not be shuffled again to be grouped.
+            "place": [hashlib.sha256(d + repr((i, u)).encode()).digest() for d, i, u in named],
             "page_id": batch.column("page_id"),
             "url": batch.column("url"),
-            "sha256": [hashlib.sha256(x).digest() for x in raw],
+            "sha256": sha256,
             "sha1": [base32_sha1(x) for x in raw],
             "length": [len(x) for x in raw],
             "payload": raw,
@@ -101,7 +105,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     pages = only(pages, page_id=pages[id_col].cast("long"), url=pages[url_col].cast("string"), text=pages[payload_col].cast("string"))
     rows = _digested(pages, False)
     # Equal rows are counted, not kept apart by an unstable row number.
-    counted = rows.groupBy("sha256", "page_id", "url", "sha1", "length").agg(F.count("*").alias("copies"))
+    counted = rows.groupBy("place", "sha256", "page_id", "url", "sha1", "length").agg(F.count("*").alias("copies"))
     order = F.struct(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))).alias("k"), F.col("page_id").isNotNull().alias("p"), "page_id", "url")
     owner = counted.groupBy("sha256").agg(F.max(order).alias("o")).select("sha256", F.col("o.page_id").alias("owner_id"), F.col("o.url").alias("owner_url"))
     named = counted.join(owner, "sha256").withColumn("owns", F.col("page_id").eqNullSafe(F.col("owner_id")) & F.col("url").eqNullSafe(F.col("owner_url")))
@@ -119,9 +123,9 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         }
 
     mapped(copies, head, schema, text="url").write.option("compression", "zstd").parquet(f"{path}/headers")
-    mine = named.filter("owns").select("sha256", "page_id", "url")
-    stored = _digested(pages, True).alias("r").join(mine.alias("m"), F.expr("r.sha256 = m.sha256 and r.page_id <=> m.page_id and r.url <=> m.url"))
-    once = stored.groupBy("r.sha256", "r.page_id", "r.url").agg(F.first("payload").alias("payload")).select("sha256", "payload")
+    mine = named.filter("owns").select("place")
+    stored = _digested(pages, True).select("place", "sha256", "payload").join(mine, "place")
+    once = stored.groupBy("place").agg(F.first("sha256").alias("sha256"), F.first("payload").alias("payload")).select("sha256", "payload")
     once.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
