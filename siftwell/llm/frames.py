@@ -19,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, label: str, codec: str = "zstd", by: Iterable[str] = ()) -> DataFrame:
     """df written once below the shared folder and read again, so that a lost executor repeats no more than a file."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
