@@ -251,10 +251,13 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
 def _far_links(buckets: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified links between members of one bucket that lie in different components."""
-    placed = buckets.join(first, F.col("rep") == F.col("node"), "left").select("key", "t", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    placed = buckets.join(first, F.col("rep") == F.col("node"), "left").select("key", "t", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
     named = [f"w{k}" for k in range(BITS // 64)]
-    left = placed.join(mixed, "key", "left_semi").join(sets.select("rep", "x", "y", *named), "rep")
+    # A class lies in SIDE * SIDE tables at most; it meets its sketch once, not once for each of them.
+    tables = placed.join(mixed, "key", "left_semi").groupBy("rep").agg(F.first("c").alias("c"), F.collect_list(F.struct("t", "key")).alias("tables"))
+    marked = written(sets.select("rep", "n", "x", "y", *named).join(tables, "rep"), "marked")
+    left = marked.select("rep", "n", "c", "x", "y", *named, F.inline("tables"))
     right = left.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), *[F.col(w).alias(f"{w}_2") for w in ("x", "y", *named)])
 
     def first_same(one: str) -> Column:
