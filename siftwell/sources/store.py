@@ -123,14 +123,14 @@ class VerdictStore:
         gen, by = self._cleared()
         if by == run_id:
             return False
-        self._start_generation(gen + 1, run_id)
+        self._start_generation(self._unused(gen), run_id)
         return True
 
     def compact(self, run_id: str) -> None:
         """Rewrites the newest verdict per key as a new generation.
 
         The generation becomes current only after its rows are written. Failures
-        stay behind, so attempts are counted anew.
+        stay behind, so attempts are counted anew. Not to be run beside a clear.
         """
         gen, _ = self._cleared()
         rows = latest_by_key(self.verdicts()).select(
@@ -139,9 +139,18 @@ class VerdictStore:
             F.current_timestamp().alias("written_at"),
             F.lit("verdict").alias("outcome"),
         )
-        target = self._folder(gen + 1, run_id)
-        rows.write.mode("overwrite").partitionBy("outcome").parquet(target)
-        self._start_generation(gen + 1, run_id)
+        target = self._unused(gen)
+        rows.write.mode("overwrite").partitionBy("outcome").parquet(self._folder(target, run_id))
+        self._start_generation(target, run_id)
+
+    def _unused(self, gen: int) -> int:
+        """A number above gen of which the log holds no rows.
+
+        A compaction that died before its generation began leaves such rows behind.
+        """
+        rows = self.spark.read.schema(LOG).parquet(self._log)
+        left = rows.where(F.col("gen") > gen).agg(F.max("gen").alias("last")).first()["last"]
+        return max(gen, left or gen) + 1
 
     def _start_generation(self, gen: int, run_id: str) -> None:
         row = self.spark.createDataFrame([(gen, run_id)], GENERATIONS)

@@ -118,3 +118,19 @@ def test_missing_items_compares_ids_as_the_store_does(spark, posts):
     items = posts([(" 4", "x"), ("5", "y")])
     have = spark.createDataFrame([("4",)], "item_id string")
     assert [r.item_id for r in missing_items(items, have).collect()] == ["5"]
+
+
+def test_clear_after_a_failed_compaction_is_empty(spark, store, responses, monkeypatch):
+    store.append(parse_responses(responses([answer("a"), answer("b")])), "r1")
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as broken, pytest.raises(RuntimeError):
+        broken.setattr(VerdictStore, "_start_generation", lost)
+        store.compact("c1")
+    assert VerdictStore.open(spark, store.path).verdicts().count() == 2
+    again = VerdictStore.open(spark, store.path)
+    again.clear("r2")
+    assert again.verdicts().count() == 0
+    assert VerdictStore.open(spark, store.path).verdicts().count() == 0
