@@ -5,6 +5,9 @@ that speaks of keys, is compressed behind the text around it by a compressor
 primed with a dictionary of code and identifiers. Its marginal bytes - with it less
 without it - measure what neither the context nor the dictionary explains. Runs
 that cost NOVEL_RATIO bytes or more per character are reported as kind "novel".
+Other copies of the run don't explain it: they are left out of the text around it,
+so that a secret written twice is reported at each place with a sensitive context.
+Only a copy ahead of it that stands in no such context counts as text known before.
 
 Arrow's matcher first finds the texts that could hold any span at all; every such
 text is searched whole. Defined results: a null or empty text has no spans; a null
@@ -62,6 +65,36 @@ def marginal_bytes(before: str, candidate: str, after: str, dictionary: str = ID
     return len(pack(around + candidate.encode())) - len(pack(around))
 
 
+def _core(run: str) -> str:
+    return run.strip("+/_=-") or run
+
+
+def _sensitive(text: str, at: int, core: str) -> bool:
+    """Whether the text before a place speaks of keys; copies of the run that lie in between don't count."""
+    before = text[max(0, at - CONTEXT_CHARS) : at]
+    return bool(SENSITIVE.search(before[-HINT_CHARS:]) or (core in before and SENSITIVE.search(before.replace(core, "")[-HINT_CHARS:])))
+
+
+def _around(text: str, a: int, b: int) -> tuple[str, str]:
+    """The text before and after the run at a to b, without copies of it, also those that reach over the edges."""
+    low, high = max(0, a - CONTEXT_CHARS), min(len(text), b + CONTEXT_CHARS)
+    core = _core(text[a:b])
+    before, after = [], []
+    at, end = low, max(0, low - len(core) + 1)
+    while (copy := text.find(core, end, a)) >= 0:
+        end = copy + len(core)
+        if _sensitive(text, copy, core):
+            before.append(text[at : max(at, copy)])
+            at = max(at, end)
+    before.append(text[at:a])
+    at = b
+    while (copy := text.find(core, at, high + len(core) - 1)) >= 0:
+        after.append(text[at:copy])
+        at = copy + len(core)
+    after.append(text[at:high])
+    return "".join(before), "".join(after)
+
+
 def find(text: str, dictionary: str = IDENTIFIERS, ratio: float = NOVEL_RATIO) -> list[tuple[int, str, int, int]]:
     """(start, kind, end, start of the secret itself) of all spans, by start, then kind as listed."""
     got = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -74,9 +107,10 @@ def find(text: str, dictionary: str = IDENTIFIERS, ratio: float = NOVEL_RATIO) -
             run = m[0]
             if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or any(x < b and a < y for x, y in base):
                 continue
-            before, after = text[max(0, a - CONTEXT_CHARS) : a], text[b : b + CONTEXT_CHARS]
-            if SENSITIVE.search(before[-HINT_CHARS:]) and marginal_bytes(before, run, after, dictionary) >= ratio * len(run):
-                got.append((a, 3, b, a))
+            if _sensitive(text, a, _core(run)):
+                before, after = _around(text, a, b)
+                if marginal_bytes(before, run, after, dictionary) >= ratio * len(run):
+                    got.append((a, 3, b, a))
     return [(a, KINDS[k], b, v) for a, k, b, v in sorted(got)]
 
 

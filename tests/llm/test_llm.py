@@ -496,6 +496,22 @@ def test_novelty_tells_random_keys_from_known_text():
     assert secret_scan.find(f"plain words {random_key} here") == []
 
 
+def test_a_secret_written_twice_is_reported_twice():
+    rng = random.Random(12)
+    for _ in range(50):
+        k = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=39)) + "7"
+        for text in (
+            f"The private signing key is {k} and deploys use it. Paste the key {k} into the console.",
+            f"the key {k}= or the key {k}",
+            "key " + f"{k}\n" * 3,
+            f"key {k}" + " " * 230 + f"key {k}",
+        ):
+            spans = secret_scan.find(text)
+            assert [s[:3] for s in spans] == [(m.start(), "novel", m.end()) for m in re.finditer(k + "=?", text)], text
+            assert k not in secret_scan.redacted(text, spans)
+    assert secret_scan.find("key get_access_token_client_secret_1 key get_access_token_client_secret_1") == []
+
+
 # --- queries and pipeline
 
 
