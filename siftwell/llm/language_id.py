@@ -9,7 +9,8 @@ whose labels are not used, so that each label has seen context on both sides.
 
 Defined results: a null text, or one without a letter, is "und" with score 0; a null
 id is kept; repeated rows are judged each; extra columns are ignored; without any
-labelled row every text is "und".
+labelled row every text is "und"; with one language only, every text with a letter is
+in it, with score 1.
 """
 
 from __future__ import annotations
@@ -229,7 +230,7 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
         p = np.exp(sums - sums.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
-        known = np.array(pc.is_valid(batch.column("_read"))) & (len(net.languages) > 1)
+        known = np.array(pc.is_valid(batch.column("_read"))) & (len(net.languages) > 0)
         yield {c: batch.column(c) for c in ("doc_id", *keep)} | {
             "lang_pred": [net.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)],
             "score": np.where(known, p.max(1), 0.0).astype(np.float64),

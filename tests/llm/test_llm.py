@@ -469,6 +469,13 @@ def test_held_out_languages_and_odd_rows(spark, docs):
     assert {r.lang_pred for r in language_id.predict(docs, unlabelled).collect()} == {"und"}
 
 
+def test_one_learned_language_is_predicted_and_passes_the_stage(spark, docs):
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, language_id.fit(docs, F.lit(True))).collect()}
+    assert got == {k: ("en", 1.0) if any(c.isalpha() for c in t or "") else ("und", 0.0) for k, t in enumerate(ODD)} | {None: ("en", 1.0)}
+    kept = [r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([k for k, (lang, _) in got.items() if lang == "en"] + [4], key=str)
+
+
 # --- secrets
 
 
