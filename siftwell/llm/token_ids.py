@@ -4,8 +4,9 @@ The byte-level files split a text into words before any merge, so the ids of a
 text are those of its words, and a word met before need not be merged again. For
 texts of ASCII and Latin-1 letters without apostrophes, words are found as runs
 of one kind of character over the Arrow buffer, Arrow numbers the distinct ones,
-and only words not in the memo go to the library's merge model. All other texts
-go through the library's whole chain. Both ways give the same ids.
+and only words not in the memo go to the library's merge model. All other texts, and
+those that hold an added token of the file such as <|endoftext|>, go through the
+library's whole chain. Both ways give the same ids.
 The memo lives in the Python worker and is emptied at MEMO_WORDS words.
 """
 
@@ -18,6 +19,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from siftwell.llm.word_arrays import buffer_of
 
@@ -56,9 +58,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.rule = _rule(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
+        #: Added tokens, and whether the file looks for them in the normalized text, so in any case of letters.
+        self.added = [(t.content, t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -97,6 +100,8 @@ class Encoder:
         filled = offsets[:-1] < offsets[1:]
         odd = np.zeros(n, bool)
         odd[filled] = np.maximum.reduceat(kind, offsets[:-1][filled]) == 9
+        for content, normalized in self.added:
+            odd |= pc.fill_null(pc.match_substring(texts, content, ignore_case=normalized), False).to_numpy(zero_copy_only=False)
         if self.rule is None:
             odd[:] = True
         begins = np.ones(len(data) + 1, bool)

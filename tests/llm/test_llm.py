@@ -11,6 +11,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from siftwell.llm import chat, decontamination, language_id, main_text, near_dup, packing, quality, rans, secret_scan, token_file, warc
@@ -76,6 +77,14 @@ def test_memo_gives_the_library_s_ids(path, corpus):
         assert [ids[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:], strict=False)] == encoder.whole(texts)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens_get_the_ids_of_an_untouched_library(path):
+    texts = ["see <|endoftext|> here", "<|startoftext|>a b<|endoftext|>", "plain words", None, "<|ENDOFTEXT|>", "é <|endoftext|>", "<|endoftext|"]
+    library = Tokenizer.from_file(path)
+    ids, at = Encoder(path).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("n", [1, 31, 33, rans.BLOCK_IDS - 1, rans.BLOCK_IDS, 3 * rans.BLOCK_IDS + 5])
 def test_range_coder_round_trip_and_damage(n):
     rng = np.random.default_rng(n)
