@@ -268,6 +268,29 @@ def test_differencing_deletes_the_site_s_frame(spark):
     assert main_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_lines_beside_an_article_are_differenced_and_wrapped_articles_found(spark):
+    def page(own, note, passage):
+        return f"<div>Site name</div><div>{own}</div><article><p>{passage}<p>{note}</article><div>All rights kept</div>"
+
+    pages = [
+        (1, "http://h/a/1", page("first intro", "first text", "a passage of both")),
+        (2, "http://h/a/2", page("second intro", "second text", "a passage of both")),
+        (3, "http://alone/a", page("intro", "text", "passage")),
+        (4, "http://w/1", "<div class='layout has-sidebar'><div class=sidebar>Links</div><article><p>Wrapped</article></div>"),
+        (5, "http://w/2", "<form id=all><main><p>In a form</main></form>"),
+        (6, "http://w/3", "<article><p>Own</article><div id='login-box'><article>Teaser</article></div><div class=comments><article>Reply</article></div>"),
+    ]
+    got = main_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {
+        1: "first intro\na passage of both\nfirst text",
+        2: "second intro\na passage of both\nsecond text",
+        3: "passage\ntext",
+        4: "Wrapped",
+        5: "In a form",
+        6: "Own",
+    }
+
+
 def test_pages_of_the_tables_give_their_articles(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     import html
