@@ -26,18 +26,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame, label: str) -> DataFrame:
+    """The rows with a key of their own, written, since ids may be null or shared and keys must not change when read again."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), label)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the least doc_id, and one of equal rows."""
-    found = near_dup.deduplicate(docs)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One row of each group of near copies: that with the least doc_id, null last, and of those one. Rows without a word stay."""
+    rows = keyed(docs, "near-dedup-rows")
+    found = near_dup.deduplicate(rows, id_col="row_key").select(F.col("doc_id").alias("key"), "component_id")
+    ranked = found.join(rows.select(F.col("row_key").alias("key"), "doc_id"), "key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
+    kept = ranked.groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias("kept"))
+    gone = found.join(kept, F.col("key") == F.col("kept"), "left_anti").select(F.col("key").alias("gone"))
+    return rows.join(gone, F.col("row_key") == F.col("gone"), "left_anti").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    hits = decontamination.find(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that hold no item of the benchmark."""
+    rows = keyed(docs, "decontamination-rows")
+    hits = decontamination.find(rows, table(spark, sf_dir, "benchmark"), id_col="row_key")
     hit = hits.select(F.col("doc_id").alias("hit")).distinct()
-    return docs.select(*COLUMNS).join(hit, F.col("doc_id") == F.col("hit"), "left_anti")
+    return rows.join(hit, F.col("row_key") == F.col("hit"), "left_anti").select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

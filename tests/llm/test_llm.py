@@ -588,6 +588,24 @@ def test_stages_take_odd_rows_and_none(spark, docs):
         assert stage(spark, docs.filter("false"), SF).count() == 0, name
 
 
+def test_stages_decide_rows_whatever_their_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    make = lambda rows: spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    # Equal rows, near copies without ids, a clean text and a copy under one id, a copy without an id.
+    rows = [(1, a), (1, a), (None, b), (None, b + " end"), (2, c), (3, a), (3, d), (None, c)]
+    got = texts(corpus_pipeline.near_duplicates(spark, make(rows), SF))
+    assert len(got) == 4 and {x for x in got if x[0]} == {(1, a), (2, c), (3, d)}
+    assert [x for x in got if x[0] is None][0][1] in (b, b + " end")
+
+    rows = [(None, f"{a} {item} {b}"), (None, c), (1, item), (1, d), (2, c), (2, c)]
+    assert texts(corpus_pipeline.decontaminated(spark, make(rows), SF)) == sorted([(None, c), (1, d), (2, c), (2, c)], key=str)
+
+
 def test_sha_of_turns(spark):
     got = {r.conv_id: r for r in QUERIES["op6_chat_formatting"](spark, SF).collect()}
     odd = "<|im_end|><|im_start|>assistant ok"
