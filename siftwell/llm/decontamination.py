@@ -115,8 +115,8 @@ class Index:
                             entries[keys[-1]].append((k, begin))
                 self.walks.append((round_, sampled, [_table(s) for s in partial], np.array(sorted(entries), np.uint64), dict(entries)))
 
-    def candidates(self, hashes: np.ndarray) -> set[tuple[int, int]]:
-        """(word, item) where the item's first word would be that of the text, for windows at all words."""
+    def candidates(self, hashes: np.ndarray) -> set[tuple[int, int, int]]:
+        """(word, item, the window's own word) where the item's first word would be that of the text, for windows at all words."""
         found = set()
         for round_, sampled, tables, keys, entries in self.walks:
             if not len(keys):
@@ -140,7 +140,7 @@ class Index:
                 continue
             near = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
             for w, k in zip(start[near].tolist(), key[near].tolist(), strict=True):
-                found.update((w - begin, item) for item, begin in entries[k])
+                found.update((w - begin, item, w) for item, begin in entries[k])
         return found
 
 
@@ -183,11 +183,11 @@ def hits_of(index: Index, texts: pa.Array, max_share: float = MAX_SHARE) -> list
     by_item: dict[tuple[int, int], list[int]] = defaultdict(list)
     first = np.searchsorted(owner, np.arange(len(texts)))
     last = np.append(first[1:], len(owner))
-    for w, k in sorted(index.candidates(hashes)):
-        # A walk may begin in one text and end in the next, and a window's middle may be what was found.
-        text = int(owner[min(max(w, 0), len(owner) - 1)])
-        for t in {text, int(owner[min(max(w + index.items[k][2] - 1, 0), len(owner) - 1)])}:
-            by_item[t, k].append(w)
+    for w, k, at in sorted(index.candidates(hashes)):
+        # A walk may begin in one text and end in the next, and the item's ends may be cut off where its window is.
+        for t in {int(owner[min(max(x, 0), len(owner) - 1)]) for x in (w, at, w + index.items[k][2] - 1)}:
+            if not by_item[t, k] or by_item[t, k][-1] != w:
+                by_item[t, k].append(w)
     out = []
     for (text, k), places in by_item.items():
         item_id, pattern, n = index.items[k]

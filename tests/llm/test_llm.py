@@ -459,6 +459,18 @@ def test_whole_edited_and_absent_items(spark, docs):
     assert decontamination.find(df, bench.filter("false")).count() == 0 and decontamination.find(docs.filter("false"), bench).count() == 0
 
 
+def test_items_cut_at_both_ends_are_found_whatever_rows_lie_beside_them():
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(20)]
+    texts = [x for _, t in items for x in (" ".join(t.split()[2:-2]), " ".join(word() for _ in range(30)))]
+    texts = [" ".join(word() for _ in range(30)), *texts]
+    index = decontamination.Index(items)
+    together = {(texts[g[0]], g[1]) for g in decontamination.hits_of(index, pa.array(texts))}
+    alone = {(t, g[1]) for t in texts for g in decontamination.hits_of(index, pa.array([t]))}
+    assert together == alone == {(texts[2 * k + 1], k) for k in range(20)}
+
+
 def test_planted_items_of_the_tables_are_found(spark, corpus):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     want = {(d.doc_id, i.item_id) for d in corpus.collect() for i in items if i.text in (d.text or "")}
