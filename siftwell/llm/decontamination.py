@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH, character windows, exact edit verification.
 
 Text and items are sequences of word hashes. From a window's first word a random
 walk goes over it: at step t the embedding has the word under the walk, and a bit
@@ -10,6 +10,15 @@ of every text, and at every STRIDE words of an item, so an item is found by any
 its stretches. A walk ends as soon as its key so far is no item's. Items of fewer
 than FEW_WORDS words are keyed by all their steps.
 
+Walks over words need a stretch of some eight words nearly unedited, which edits of
+characters spread over an item don't leave. Items that may have an edit are therefore
+looked for by item-sized windows of characters too: a window must share with the item
+as many runs of q bytes as all but LOSS of the items keep that have MAX_SHARE of their
+bytes edited at random places, and as many runs of FINE bytes as all but a tenth of
+LOSS keep, at places that the edits allowed can bring into line. q is the longest in
+RUNS of which two are kept. Edits that are spread evenly rather than at random may
+leave fewer.
+
 Every match is verified: the least edit distance of the whole item to any part of the
 text around it, in characters, must be at most MAX_SHARE of the item's length. Letters
 A-Z count as a-z, white space of any kind as a space.
@@ -22,6 +31,7 @@ columns are ignored; equal items are found each under its own id.
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -43,6 +53,33 @@ MAX_SHARE = 0.2
 BLOCK_CHARS = 8_000_000
 _SCHEMA = "doc_id long, item_id long, start long, end long, distance long"
 _TABLE_BITS = np.uint64(48)
+RUNS = (8, 6, 5, 4, 3, 2)
+FINE = 4
+LOSS = 0.01
+#: Pairs of a run and an item counted at a time.
+_COUNTED = 1 << 21
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[9:14] = 32
+
+
+def _runs(data: np.ndarray, q: int) -> np.ndarray:
+    """The run of q bytes at each place, as a number; A-Z as a-z, white space as a space."""
+    data, n = _LOWER[data].astype(np.uint64), max(0, len(data) - q + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(q):
+        out = (out << np.uint64(8)) | data[k : k + n]
+    return out
+
+
+@functools.cache
+def kept_runs(size: int, q: int, loss: float, share: float = MAX_SHARE) -> int:
+    """How many runs of q bytes all but a share `loss` of texts of this size keep when int(share * size) random bytes are edited."""
+    if size < q:
+        return 0
+    edited = np.random.default_rng(31).random((2000, size)).argsort(1) < int(share * size)
+    sums = np.concatenate([np.zeros((2000, 1), int), edited.cumsum(1)], 1)
+    return int(np.quantile((sums[:, q:] == sums[:, :-q]).sum(1), loss, method="lower"))
 
 
 def edit_search(pattern: str, text: str, most: float) -> tuple[int, int, int] | None:
@@ -115,6 +152,94 @@ class Index:
                             entries[keys[-1]].append((k, begin))
                 self.walks.append((round_, sampled, [_table(s) for s in partial], np.array(sorted(entries), np.uint64), dict(entries)))
 
+        self._window()
+
+    def _window(self) -> None:
+        """Of each q: its items' sorted runs, where the items of each begin and how many they are, and those items; per item, half a window and the runs to share."""
+        #: Items of more bytes are rounded down, so that few sizes have to be drawn.
+        sized = lambda m: m if m < 256 else min(2048, 1 << (m.bit_length() - 1) | (m & (7 << (m.bit_length() - 4))))
+        data = [np.frombuffer(text.encode(), np.uint8) for _, text, _ in self.items]
+        sizes = [len(d) for d in data]
+        self.half = np.array([max(8, 1 << (m - 1).bit_length() >> 1) for m in sizes], np.int64)
+        self.least = np.zeros(len(data), np.int64)
+        #: Per item with long runs: its runs of FINE bytes, sorted, where they lie in it, how many to share, and edits allowed.
+        self.fine: dict[int, tuple[np.ndarray, np.ndarray, int, int]] = {}
+        by_q: dict[int, list[int]] = defaultdict(list)
+        for k, m in enumerate(sizes):
+            if int(MAX_SHARE * m) < 1:
+                continue
+            n = sized(m)
+            q = next((q for q in RUNS if kept_runs(n, q, LOSS) >= 2), RUNS[-1])
+            self.least[k] = max(1, kept_runs(n, q, LOSS))
+            by_q[q].append(k)
+            if q > FINE:
+                short = _runs(data[k], FINE)
+                order = np.argsort(short, kind="stable")
+                self.fine[k] = (short[order], order, kept_runs(n, FINE, LOSS / 10), int(MAX_SHARE * m))
+        self.windows = []
+        for q, mine in by_q.items():
+            own = [np.unique(_runs(data[k], q)) for k in mine]
+            flat, items = np.concatenate(own), np.repeat(mine, [len(x) for x in own])
+            order = np.argsort(flat, kind="stable")
+            runs, first, count = np.unique(flat[order], return_index=True, return_counts=True)
+            self.windows.append((q, runs, _table(set(mix(runs).tolist())), first, count, items[order]))
+
+    def regions(self, data: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, first byte, end) of the windows of data that share enough runs with an item."""
+        found = []
+        for q, runs, table, first, count, items in self.windows:
+            here = _runs(data, q)
+            at = np.flatnonzero(table[(mix(here) >> _TABLE_BITS).astype(np.int64)])
+            near = np.minimum(np.searchsorted(runs, here[at]), len(runs) - 1)
+            same = runs[near] == here[at]
+            at, near = at[same], near[same]
+            if not len(at):
+                continue
+            span = len(data) // 8 + 4  # more than the places of any item
+            keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            total = np.cumsum(count[near])
+            a = 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + _COUNTED, "right")))
+                n = count[near[a:b]]
+                item = items[np.repeat(first[near[a:b]] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+                got, times = np.unique(item * span + np.repeat(at[a:b], n) // self.half[item], return_counts=True)
+                both, into = np.unique(np.append(keys, got), return_inverse=True)
+                keys, sums = both, np.bincount(into, np.append(sums, times)).astype(np.int64)
+                a = b
+            # A window is three halves in a row. It begins at a half with a run, or at the one before or two before.
+            begins = np.unique(np.concatenate([keys, keys - 1]))
+            shared = np.zeros(len(begins), np.int64)
+            for k in range(3):
+                place = np.minimum(np.searchsorted(keys, begins + k), len(keys) - 1)
+                shared += np.where(keys[place] == begins + k, sums[place], 0)
+            item = (begins + 1) // span  # the half before the first of an item is still its own
+            enough = shared >= self.least[item]
+            # Windows in a row are one region.
+            begins, item = begins[enough], item[enough]
+            starts = np.flatnonzero(np.append(True, (np.diff(begins) > 1) | (np.diff(item) > 0))) if len(begins) else begins
+            ends = np.append(starts[1:], len(begins))[: len(starts)] - 1
+            for k, x, y in zip(item[starts].tolist(), begins[starts].tolist(), begins[ends].tolist(), strict=True):
+                half = int(self.half[k])
+                found.append((k, max(0, (x - k * span) * half), min(len(data), (y - k * span + 3) * half + q)))
+        return found
+
+    def in_line(self, item: int, data: np.ndarray) -> list[tuple[int, int]]:
+        """(first byte, end) of the parts of data that share enough short runs with the item, on diagonals no further apart than edits allow."""
+        runs, places, least, edits = self.fine[item]
+        here = _runs(data, FINE)
+        low = np.searchsorted(runs, here)
+        met = np.flatnonzero(runs[np.minimum(low, len(runs) - 1)] == here)
+        if len(met) == 0:
+            return []
+        low = low[met]
+        n = np.searchsorted(runs, here[met], "right") - low
+        at = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        sums = np.append(0, np.cumsum(np.bincount(np.repeat(met, n) - places[at] + len(runs), minlength=edits + 1)))
+        good = np.flatnonzero(sums[edits + 1 :] - sums[: -edits - 1] >= max(1, least))
+        groups = np.split(good, np.flatnonzero(np.diff(good) > edits) + 1) if len(good) else []
+        return [(int(g[0]) - len(runs) - edits, int(g[-1]) + FINE + 2 * edits) for g in groups]
+
     def candidates(self, hashes: np.ndarray) -> set[tuple[int, int, int]]:
         """(word, item, the window's own word) where the item's first word would be that of the text, for windows at all words."""
         found = set()
@@ -180,35 +305,50 @@ def hits_of(index: Index, texts: pa.Array, max_share: float = MAX_SHARE) -> list
     """(text number, item id, start, end, distance) of every verified match; matches of an item in a text don't overlap."""
     data, offsets = buffer_of(texts)
     hashes, starts, ends, owner = words(data, offsets)
-    by_item: dict[tuple[int, int], list[int]] = defaultdict(list)
+    by_item: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
     first = np.searchsorted(owner, np.arange(len(texts)))
     last = np.append(first[1:], len(owner))
-    for w, k, at in sorted(index.candidates(hashes)):
+    for w, k, at in index.candidates(hashes):
+        n = index.items[k][2]
+        slack = 2 + int(n * max_share)
         # A walk may begin in one text and end in the next, and the item's ends may be cut off where its window is.
-        for t in {int(owner[min(max(x, 0), len(owner) - 1)]) for x in (w, at, w + index.items[k][2] - 1)}:
-            if not by_item[t, k] or by_item[t, k][-1] != w:
-                by_item[t, k].append(w)
+        for t in {int(owner[min(max(x, 0), len(owner) - 1)]) for x in (w, at, w + n - 1)}:
+            by_item[t, k].add((max(int(first[t]), w - slack), min(int(last[t]), w + n + slack)))
+    for k, low, high in index.regions(data):
+        # Words that begin before the window or end after it are whole in the region.
+        a, b = int(np.searchsorted(ends, low, "right")), int(np.searchsorted(starts, high))
+        slack = 2 + int(index.items[k][2] * max_share)
+        for t in range(int(owner[a]), int(owner[b - 1]) + 1) if a < b else ():
+            x, y = max(int(first[t]), a - slack), min(int(last[t]), b + slack)
+            if x < y and k not in index.fine:
+                by_item[t, k].add((x, y))
+            elif x < y:
+                base = int(starts[x])
+                for low, high in index.in_line(k, data[base : int(ends[y - 1])]):
+                    by_item[t, k].add((max(x, int(np.searchsorted(ends, base + low, "right"))), min(y, int(np.searchsorted(starts, base + high)))))
     out = []
     for (text, k), places in by_item.items():
-        item_id, pattern, n = index.items[k]
-        slack = 2 + int(n * max_share)
-        seen = -1  # the last character of the last match
-        done: set[tuple[int, int]] = set()
-        for w in places:
-            a, b = max(first[text], w - slack), min(last[text], w + n + slack)
-            if a >= b or (a, b) in done:
+        item_id, pattern, _ = index.items[k]
+        most = max_share * len(pattern)
+        matches: set[tuple[int, int, int]] = set()
+        for a, b in sorted(places):
+            if a >= b:
                 continue
-            done.add((a, b))
             low, high = int(starts[a]), int(ends[b - 1])
-            region = plain(data[low:high].tobytes().decode(errors="replace"))
-            match = edit_search(pattern, region, max_share * len(pattern))
-            if not match:
-                continue
-            distance, begin, end = match
             shift = len(data[int(offsets[text]) : low].tobytes().decode(errors="replace"))
-            if shift + begin >= seen:
-                seen = shift + end
-                out.append((text, item_id, shift + begin, shift + end, distance))
+            parts = [(shift, plain(data[low:high].tobytes().decode(errors="replace")))]
+            while parts:
+                at, region = parts.pop()
+                match = edit_search(pattern, region, most) if len(region) >= len(pattern) - most else None
+                if match:
+                    distance, begin, end = match
+                    matches.add((distance, at + begin, at + end))
+                    parts += [(at, region[:begin]), (at + end, region[end:])]
+        taken: list[tuple[int, int]] = []
+        for distance, begin, end in sorted(matches):
+            if all(end <= x or y <= begin for x, y in taken):
+                taken.append((begin, end))
+                out.append((text, item_id, begin, end, distance))
     return out
 
 

@@ -471,6 +471,23 @@ def test_items_cut_at_both_ends_are_found_whatever_rows_lie_beside_them():
     assert together == alone == {(texts[2 * k + 1], k) for k in range(20)}
 
 
+@pytest.mark.parametrize("n, least", [(8, 0.94), (15, 0.94), (58, 0.99)])
+def test_items_edited_in_characters_are_found(n, least):
+    rng = random.Random(14)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 7))) for _ in range(n))
+    items = [(k, text(n)) for k in range(100)]
+    index = decontamination.Index(items)
+    for share in (0, 0.1, 0.2):
+        docs = []
+        for _, t in items:
+            c = list(t)
+            for p in rng.sample(range(len(c)), int(share * len(c))):
+                c[p] = rng.choice(["", "x", c[p] + "x"])
+            docs.append(f"{text(30)} {''.join(c)} {text(30)}")
+        got = {(g[0], g[1]) for g in decontamination.hits_of(index, pa.array(docs))}
+        assert sum((k, k) in got for k in range(100)) >= 100 * least
+
+
 def test_planted_items_of_the_tables_are_found(spark, corpus):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     want = {(d.doc_id, i.item_id) for d in corpus.collect() for i in items if i.text in (d.text or "")}
