@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat, decontamination, language_id, main_text, near_dup, packing, quality, secret_scan, token_file, warc
+from siftwell.llm import chat, collocations, conversation_repair, decontamination, language_id, main_text, near_dup, packing, quality, secret_scan, substring_dedup, token_file, warc
 from siftwell.llm.frames import crc32_text, table, written
 from siftwell.session import new_folder
 
@@ -94,6 +94,21 @@ def op10_novelty_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_path_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repaired(conversation_repair.damaged(rows), rows.select("conv_id"))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op13_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -107,5 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_language_id,
         op9_quality_rules,
         op10_novelty_secret_scan,
+        op11_son_collocations,
+        op12_path_repair,
+        op13_prefix_suffix_trees,
     )
 }
