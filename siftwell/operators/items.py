@@ -17,14 +17,14 @@ def resolve_ids(df: DataFrame, id_str: str = "id_str", id_: str = "id") -> DataF
 
 
 def assign_chunks(df: DataFrame, n: int, by: str = "position") -> DataFrame:
-    """Round robin by position within the source, or by a hash of the id.
+    """Round robin by position, or by a hash of the id. Both are row-local.
 
-    Both are row-local. Positions count per archive file, so no numbering over
-    all files is needed and every file spreads evenly over the chunks.
+    The position is a post's number over all files where the rows have one, as those
+    of an archive do, else its place within its source.
     """
     check_chunk_count(n)
     number: dict[str, Column] = {
-        "position": F.col("pos"),
+        "position": F.col("number" if "number" in df.columns else "pos"),
         "hash": F.xxhash64("item_id"),
     }
     if by not in number:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators.items import resolve_ids
+from siftwell.sources import archive, json_ranges
 from siftwell.sources.archive import decode_posts, import_archive, scan_archive
 
 
@@ -150,5 +151,155 @@ def test_large_file_in_one_piece(spark, tmp_path):
 def test_array_that_closes_early_is_refused(spark, tmp_path):
     file = tmp_path / "posts.js"
     file.write_text('window.posts.part0 = [{"tweet":{"id_str":"1","id":"1","full_text":"a"}}],[]] junk [{"tweet":{"id_str":"2","id":"2","full_text":"b"}}]')
-    with pytest.raises(Exception, match="Not valid JSON"):
+    with pytest.raises(Exception, match="Damaged array"):
         scan_archive(spark, str(file)).collect()
+
+
+# --- files read in ranges
+
+
+@pytest.fixture
+def split_size(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    yield lambda n: spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+ODD_TEXTS = ["", "a } b", '"}"', "\\\\", '\\"}],[{', "{[", "]}", "[{}]", "é😀}", "\n", 'ends with \\', "}" * 30, "x" * 300]
+
+
+def odd_archive(rng, n):
+    posts = []
+    for k in range(n):
+        tweet = {"id_str": str(k), "full_text": "".join(rng.choice(ODD_TEXTS) for _ in range(rng.randint(0, 4)))}
+        if rng.random() < 0.5:
+            tweet |= {"id": str(k), "entities": {"tags": [{"a": [rng.choice(ODD_TEXTS)]}, {}], rng.choice(["}", "b"]): {"c": {}}}}
+        posts.append({"tweet": tweet} if rng.random() < 0.9 else {rng.choice(["tweet", "other"]): None})
+    text = json.dumps(posts, indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5)
+    return posts, rng.choice(["window.posts.part0 = ", 'var a = "[x"; ', "", "[", "é = "]) + text + rng.choice(["", "\n", ";", "]", " // [end"])
+
+
+@pytest.mark.parametrize("size", [150, 1000, 1 << 20])
+def test_posts_at_the_borders_of_ranges_are_whole(spark, tmp_path, split_size, size):
+    rng = random.Random(size)
+    split_size(size)
+    want, number = [], 0
+    for k in range(3):
+        posts, text = odd_archive(rng, rng.choice([1, 4, 9]))
+        (tmp_path / f"p{k}.js").write_bytes(text.encode())
+        for pos, p in enumerate(posts):
+            t = p.get("tweet") or {}
+            want.append((f"p{k}.js", pos, number, t.get("id_str"), t.get("id"), t.get("full_text")))
+            number += 1
+    rows = scan_archive(spark, str(tmp_path))
+    got = sorted((r.src_file.rsplit("/", 1)[1], r.pos, r.number, r.id_str, r.id, r.item_text) for r in rows.collect())
+    assert got == want
+    assert rows.count() == len(want)
+
+
+def in_ranges(raw, size):
+    """The rows in which Spark's line reader gives a file that is split at `size` bytes and parted at braces."""
+    rows, at = [], 0
+    for piece in raw.split(b"}") if not raw.endswith(b"}") else raw[:-1].split(b"}"):
+        block = 0 if at == 0 else (at - 1) // size * size
+        rows.append((block, piece))
+        at += len(piece) + 1
+    return rows
+
+
+class Batch:
+    def __init__(self, rows):
+        self.rows = rows
+
+    def column(self, name):
+        values = {"file": "f", "block": None, "value": None}
+        return type("Column", (), {"to_pylist": lambda _: [values["file"] if name == "file" else r[0] if name == "block" else r[1] for r in self.rows]})()
+
+
+def read_in_ranges(raw, size, batch):
+    names = ("file", "block", "value")
+    rows = in_ranges(raw, size)
+    batches = lambda: iter([Batch(rows[k : k + batch]) for k in range(0, len(rows), batch)])
+    known, posts = json_ranges.states(list(json_ranges.effects(batches(), names)))
+    if posts["f"] is None:
+        return None
+    records, closed = {}, {}
+    for _, pos, block, piece, ends, whole in json_ranges.pieces(batches(), names, known):
+        assert not whole or pos not in records
+        records.setdefault(pos, []).append((block, piece))
+        closed[pos] = closed.get(pos, False) or ends
+    out = []
+    for pos in sorted(records):
+        text = b"".join(p for _, p in sorted(records[pos])).decode()
+        if not closed[pos]:
+            if not re.match(r"[ \t\n\r]*\]", text) or re.search(r"\}\s*\]", text):
+                return None
+            continue
+        head = re.match(r"\[[ \t\n\r]*(?=\{)" if pos == 0 else r"[ \t\n\r]*,[ \t\n\r]*(?=\{)", text)
+        try:
+            post = head and json.loads(text[head.end() :])
+        except json.JSONDecodeError:
+            return None
+        if not isinstance(post, dict):
+            return None
+        out.append(post)
+    return out
+
+
+def test_ranges_judge_damaged_archives_as_a_whole_reader_does():
+    rng = random.Random(12)
+    sound = 0
+    for _ in range(4000):
+        _, text = odd_archive(rng, rng.choice([1, 2, 4]))
+        chars = list(text)
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            at = rng.randrange(len(chars))
+            if rng.random() < 0.5:
+                chars[at : at + rng.choice([1, 2, 8])] = []
+            else:
+                chars.insert(at, rng.choice('{}[]",:\\ 0'))
+        text = "".join(chars)
+        found = re.search(r"\[\s*{.*}\s*\]", text, re.DOTALL)
+        want = None
+        if found:
+            try:
+                want = json.loads(found.group(0))
+                want = want if isinstance(want, list) and all(isinstance(p, dict) for p in want) else None
+            except json.JSONDecodeError:
+                pass
+        size, batch = rng.choice([1, 5, 60, 10**6]), rng.choice([1, 3, 1000])
+        assert read_in_ranges(text.encode(), size, batch) == want, (text, size, batch)
+        sound += want is not None
+    assert 1000 < sound < 3900
+
+
+def test_broken_archives_are_refused_in_ranges(spark, tmp_path, split_size):
+    split_size(400)
+    file = tmp_path / "p.js"
+    good = wrapped(sample(20))
+    for bad in (good[:-1], good[:-200], good.replace('"post_7"', '"post_7'), good + "; x = [{}]", good.replace("},", "}", 1)):
+        file.write_text(bad)
+        with pytest.raises(Exception, match="Damaged array|No array"):
+            scan_archive(spark, str(file)).count()
+    (tmp_path / "p.js").write_text("")
+    with pytest.raises(ValueError):
+        scan_archive(spark, str(file))
+
+
+def test_a_large_file_is_many_tasks(spark, tmp_path, split_size):
+    file = tmp_path / "p.js"
+    file.write_text(wrapped([{"tweet": {"id_str": str(i), "id": str(i), "full_text": "word } " * 40}} for i in range(40_000)]))
+    split_size(1 << 20)
+    rows = scan_archive(spark, str(file))
+    assert archive._ranges(spark, str(file)).rdd.getNumPartitions() >= 10
+    assert rows.agg(F.count("*"), F.max("pos"), F.countDistinct("id_str"), F.min(F.length("item_text"))).first() == (40_000, 39_999, 40_000, 280)
+
+
+def test_chunks_of_many_small_files_are_even(spark, tmp_path):
+    from siftwell.operators.items import assign_chunks
+
+    for k in range(23):
+        (tmp_path / f"p{k:02}.js").write_text(wrapped(sample(1 + k % 2)))
+    rows = assign_chunks(scan_archive(spark, str(tmp_path)), 5)
+    assert sorted(r["count"] for r in rows.groupBy("chunk_id").count().collect()) == [6, 7, 7, 7, 7]
+    assert sorted(r.number for r in rows.collect()) == list(range(34))
