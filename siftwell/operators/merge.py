@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from siftwell.schemas import VERDICT_COLUMNS
 
 
+def newest(log: DataFrame, columns: list[str]) -> DataFrame:
+    """Keep-last: these columns of the newest row of each store key."""
+    last = F.max_by(F.struct(*columns), F.struct("written_at", "run_id", "ord"))
+    return log.groupBy("store_key").agg(last.alias("v")).select("store_key", "v.*")
+
+
 def latest_by_key(log: DataFrame) -> DataFrame:
-    """Keep-last: the newest verdict of each store key."""
-    newest = F.max_by(F.struct(*VERDICT_COLUMNS), F.struct("written_at", "run_id", "ord"))
-    return log.groupBy("store_key").agg(newest.alias("v")).select("store_key", "v.*")
+    """The newest verdict of each store key."""
+    return newest(log, VERDICT_COLUMNS)
 
 
 def union_verdicts(new: DataFrame, stored: DataFrame) -> DataFrame:

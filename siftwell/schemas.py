@@ -29,15 +29,16 @@ ANSWER_FIELDS = [
 ]
 ANSWERS = T.StructType(ANSWER_FIELDS)
 
-# The answer log adds the join key and the write time; gen, run_id and outcome
-# are folder levels.
+# The answer log adds the join key, the run that wrote the row, the run that decided it
+# (another one in a compaction) and the time it did; batch and outcome are folder levels.
 LOG = T.StructType(
     ANSWER_FIELDS
     + [
         T.StructField("store_key", T.StringType()),
-        T.StructField("written_at", T.TimestampType()),
-        T.StructField("gen", T.IntegerType()),
         T.StructField("run_id", T.StringType()),
+        T.StructField("origin", T.StringType()),
+        T.StructField("written_at", T.TimestampType()),
+        T.StructField("batch", T.StringType()),
         T.StructField("outcome", T.StringType()),
     ]
 )
@@ -57,8 +58,20 @@ VERDICT_COLUMNS = [
 ]
 FAILURE_COLUMNS = ["item_id", "stage", "fail_reason", "line", "chunk_id", "ord"]
 
-GENERATIONS = T.StructType(
-    [T.StructField("gen", T.IntegerType()), T.StructField("run_id", T.StringType())]
+# What happened to the log, one row per event. batch is the folder an event adds;
+# drops names those it takes away, runs those whose rows a compaction holds.
+COMMITS = T.StructType(
+    [
+        T.StructField("at", T.LongType()),
+        T.StructField("commit", T.StringType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("run_id", T.StringType()),
+        T.StructField("batch", T.StringType()),
+        T.StructField("drops", T.ArrayType(T.StringType())),
+        T.StructField("runs", T.ArrayType(T.StringType())),
+    ]
 )
 
 SCORED = "chunk_id int, key string, line string, submit_error string"
+# Rows of an answer ledger, see sources/ledger.py.
+LEDGER = "kind string, request binary, chunk_id int, key string, line string, submit_error string, attempt int, again boolean, due double"

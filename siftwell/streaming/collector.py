@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,6 +9,9 @@ from siftwell.operators.responses import parse_responses
 from siftwell.sources.responses import as_responses, file_lines
 from siftwell.sources.store import VerdictStore
 
+#: Under this name Spark tells a batch the id of its query, which outlives restarts.
+_QUERY_ID = "sql.streaming.queryId"
+
 
 def collect_responses(
     spark: SparkSession,
@@ -23,12 +24,12 @@ def collect_responses(
 ) -> StreamingQuery:
     """Parses the answer files that have landed since the last call, then stops.
 
-    Each batch goes to a run id of its own, made of name, checkpoint and batch
-    number. A batch that is replayed after a failure replaces what it wrote before,
-    so every answer is stored once, and collections with checkpoints of their own
-    never write over each other. There is no shuffle and no state.
+    Each batch goes to a run id of its own, made of name, the id that Spark gives the
+    collection and keeps in its checkpoint, and batch number. A batch that is replayed
+    after a failure replaces what it wrote before, so every answer is stored once; a new
+    checkpoint is a new collection, be it at the path of an old one, and never writes
+    over another's. There is no shuffle and no state.
     """
-    stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
     lines = (
         spark.readStream.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
@@ -37,8 +38,8 @@ def collect_responses(
     )
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        answers = parse_responses(as_responses(batch), criteria_hash)
-        store.append(answers, f"{name}-{stream}-{batch_id}")
+        collection = batch.sparkSession.sparkContext.getLocalProperty(_QUERY_ID).replace("-", "")
+        store.append(parse_responses(as_responses(batch), criteria_hash), f"{name}-{collection}-{batch_id}")
 
     return (
         file_lines(lines)

@@ -1,0 +1,45 @@
+"""Collections of answer files keep what they wrote, whatever becomes of checkpoints."""
+
+import os
+
+from siftwell.sources.store import VerdictStore
+from siftwell.streaming.collector import collect_responses
+from tests.helpers import answer
+
+
+def collect(spark, store, folder, checkpoint, **more):
+    collect_responses(spark, str(folder), store, str(checkpoint), **more).awaitTermination()
+
+
+def keys(spark, store):
+    return sorted(r.item_id for r in VerdictStore.open(spark, store.path).verdicts().collect())
+
+
+def test_a_new_checkpoint_at_an_old_path_is_a_new_collection(spark, tmp_path):
+    store = VerdictStore.open(spark, str(tmp_path / "store"))
+    for name, lines in (("in1", "ab"), ("in2", "cd")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "answers_chunk_1.jsonl").write_text("\n".join(map(answer, lines)))
+    collect(spark, store, tmp_path / "in1", tmp_path / "cp")
+    # As when the folder is lost and the collection set up again.
+    os.rename(tmp_path / "cp", tmp_path / "lost")
+    collect(spark, store, tmp_path / "in2", tmp_path / "cp")
+    assert keys(spark, store) == ["a", "b", "c", "d"]
+
+
+def test_a_collection_goes_on_and_a_replayed_batch_replaces_itself(spark, tmp_path):
+    import shutil
+
+    store = VerdictStore.open(spark, str(tmp_path / "store"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "answers_chunk_1.jsonl").write_text(answer("a") + "\n" + answer("b"))
+    collect(spark, store, tmp_path / "in", tmp_path / "cp")
+    (tmp_path / "in" / "answers_chunk_2.jsonl").write_text(answer("c"))
+    shutil.copytree(tmp_path / "cp", tmp_path / "before")
+    collect(spark, store, tmp_path / "in", tmp_path / "cp")
+    assert keys(spark, store) == ["a", "b", "c"]
+    # A driver that died before it noted the second batch does it again.
+    collect(spark, store, tmp_path / "in", tmp_path / "before")
+    assert keys(spark, store) == ["a", "b", "c"]
+    runs = {r.run_id for r in store.verdicts().collect()}
+    assert len(runs) == 2 and all(r.startswith("collect-") for r in runs)

@@ -117,5 +117,33 @@ def test_pending_reads_one_column_of_the_store(spark, tmp_path, posts, responses
     store.append(parse_responses(responses([answer("a"), "junk"])), "r1")
     plan = final_plan(pending_items(posts([("a", "t")]), store.ids()))
     assert "ReadSchema: struct<store_key:string>" in plan
-    assert "PartitionFilters: [isnotnull(gen" in plan
+    assert "PartitionFilters: [isnotnull(outcome" in plan
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def exchanges_with(df, column):
+    """How many exchanges of the plan carry a column."""
+    import re
+
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    inputs = re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*?)\]", text)
+    assert inputs
+    return sum(bool(re.search(rf"\b{column}#", i)) for i in inputs)
+
+
+def test_stored_answers_cross_one_exchange_at_most(spark, skewed, tmp_path):
+    from siftwell.operators.late_fetch import addresses, fetch, first_addresses, latest_addresses
+    from siftwell.sources.store import VerdictStore
+
+    store = VerdictStore.open(spark, str(tmp_path / "store"))
+    rows = log(spark, 3000).withColumn("raw", F.lit("{}"))
+    full = [F.col(c) if c in rows.columns else F.lit(None).cast(ANSWERS[c].dataType).alias(c) for c in ANSWERS.names]
+    for run in ("r1", "r2"):
+        store.append(rows.select(*full), run)
+    stored = cached_lookup(skewed, latest_addresses(addresses(store.log(without_run="r2"))))
+    winners = first_addresses(addresses(store.log(run_id="r2")), stored)
+    found = fetch(store.log(), winners)
+    assert exchanges_with(found, "raw") <= 1 and exchanges_with(winners, "item_text") == 0
+    late = {(r.item_id, r.deletion) for r in found.collect()}
+    whole = merge_verdicts(store.verdicts(run_id="r2"), cached_lookup(skewed, store.latest(without_run="r2")))
+    assert late == {(r.item_id, r.deletion) for r in whole.collect()} and len(late) == found.count()

@@ -127,10 +127,105 @@ def test_clear_after_a_failed_compaction_is_empty(spark, store, responses, monke
         raise RuntimeError("driver lost")
 
     with monkeypatch.context() as broken, pytest.raises(RuntimeError):
-        broken.setattr(VerdictStore, "_start_generation", lost)
+        broken.setattr(VerdictStore, "_commit", lost)
         store.compact("c1")
     assert VerdictStore.open(spark, store.path).verdicts().count() == 2
     again = VerdictStore.open(spark, store.path)
     again.clear("r2")
     assert again.verdicts().count() == 0
     assert VerdictStore.open(spark, store.path).verdicts().count() == 0
+
+
+def test_answers_appended_after_a_compaction_by_another_job_are_kept(spark, store, responses):
+    store.append(parse_responses(responses([answer("a"), answer("b")])), "r1")
+    held = VerdictStore.open(spark, store.path)
+    assert held.ids().count() == 2
+    VerdictStore.open(spark, store.path).compact("c1")
+    held.append(parse_responses(responses([answer("c"), answer("d"), answer("a", deletion="DELETE")])), "r2")
+    now = VerdictStore.open(spark, store.path)
+    assert decisions(now.latest()) == {"a": "DELETE", "b": "KEEP", "c": "KEEP", "d": "KEEP"}
+    assert decisions(held.latest()) == decisions(now.latest())
+    now.compact("c2")
+    assert decisions(VerdictStore.open(spark, store.path).latest()) == {"a": "DELETE", "b": "KEEP", "c": "KEEP", "d": "KEEP"}
+
+
+def test_a_compaction_keeps_times_and_runs(spark, store, responses):
+    """Rows that were appended while a compaction ran stay newer than what it folded."""
+    store.append(parse_responses(responses([answer("a"), answer("b")])), "r1")
+    store.append(parse_responses(responses([answer("a", deletion="DELETE")])), "r2")
+    times = {r.store_key: r.written_at for r in store.verdicts().orderBy("written_at").collect()}
+    store.compact("c1")
+    assert {r.store_key: (r.run_id, r.written_at) for r in store.verdicts().collect()} == {k: ("c1", t) for k, t in times.items()}
+    assert decisions(store.verdicts(run_id="r2")) == {"a": "DELETE"}
+    assert decisions(store.latest(without_run="r2")) == {"b": "KEEP"}
+    store.append(parse_responses(responses([answer("z")])), "r2")
+    again = VerdictStore.open(spark, store.path)
+    assert decisions(again.latest()) == {"b": "KEEP", "z": "KEEP"}
+
+
+def test_a_compaction_is_void_if_the_store_was_cleared_meanwhile(spark, store, responses, monkeypatch):
+    store.append(parse_responses(responses([answer("a")])), "r1")
+    real = VerdictStore._record
+
+    def cleared_first(self, known, kind, *rest, **more):
+        if kind == "fold":
+            other = VerdictStore.open(spark, store.path)
+            other.clear("r9")
+            other.append(parse_responses(responses([answer("n")])), "r9")
+        real(self, known, kind, *rest, **more)
+
+    with monkeypatch.context() as m:
+        m.setattr(VerdictStore, "_record", cleared_first)
+        store.compact("c1")
+    assert decisions(VerdictStore.open(spark, store.path).latest()) == {"n": "KEEP"}
+
+
+def test_two_compactions_at_once_count_once(spark, store, responses):
+    store.append(parse_responses(responses([answer("a"), answer("b")])), "r1")
+    one, two = (VerdictStore.open(spark, store.path) for _ in range(2))
+    one.compact("c1")
+    stale = two.snapshot
+    assert stale.batches()
+    two.compact("c2")
+    assert VerdictStore.open(spark, store.path).verdicts().count() == 2
+
+
+def test_a_handle_works_on_what_it_opened(spark, store, responses):
+    store.append(parse_responses(responses([answer("a")])), "r1")
+    held = VerdictStore.open(spark, store.path)
+    assert held.ids().count() == 1
+    store.append(parse_responses(responses([answer("b")])), "r2")
+    store.clear("r3")
+    assert decisions(held.latest()) == {"a": "KEEP"}
+    assert decisions(VerdictStore.open(spark, store.path).latest()) == {}
+
+
+def test_readers_list_committed_folders_only(spark, store, responses):
+    store.append(parse_responses(responses([answer("a")])), "r1")
+    store.append(parse_responses(responses([answer("b")])), "r2")
+    folder = f"{store.path}/log/batch=b-dead/outcome=verdict"
+    spark.createDataFrame([("x",)], "store_key string").write.text(folder)
+    spark.createDataFrame([("no parquet",)], "value string").write.mode("overwrite").text(folder)
+    again = VerdictStore.open(spark, store.path)
+    assert decisions(again.latest()) == {"a": "KEEP", "b": "KEEP"}
+    store.compact("c1")
+    files = VerdictStore.open(spark, store.path).ids().inputFiles()
+    [batch] = VerdictStore.open(spark, store.path).snapshot.batches()
+    assert files and all(f"batch={batch}/" in f for f in files)
+
+
+def test_snapshots_don_t_depend_on_the_order_commits_are_read(spark):
+    import itertools
+
+    from siftwell.sources.store import APPEND, CLEAR, FOLD, Commit, Snapshot
+
+    events = [
+        Commit(1, "a", APPEND, "r1", "b1"),
+        Commit(2, "b", APPEND, "r2", "b2"),
+        Commit(3, "c", FOLD, "c1", "b3", ["b1", "b2"], ["r1", "r2"]),
+        Commit(3, "d", APPEND, "r2", "b4"),
+        Commit(5, "e", CLEAR, "r5", None, ["b4"]),
+    ]
+    seen = {tuple(Snapshot.of(list(p)).batches()) for p in itertools.permutations(events)}
+    assert seen == {("b3",)}
+    assert Snapshot.of(events).replaced == {"b3": {"r2"}}
