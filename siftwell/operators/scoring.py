@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import Protocol
 
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from siftwell.fixed_values import DELETE, KEEP, RATE_LIMIT_MARKERS
 from siftwell.functions.urls import permalink
-from siftwell.functions.words import found_words, lowered
+from siftwell.functions.words import SHORT_LIST, dictionary, entry_table, found_words, join_words, lowered
 from siftwell.operators.requests import request_lines
-from siftwell.schemas import ANSWERS, SCORED
+from siftwell.schemas import ANSWERS, LEDGER, SCORED
+from siftwell.sources.ledger import ANSWER, FAULT, MARK, AnswerLedger
 from siftwell.spec import Criteria, UrlSpec
 
 
@@ -91,12 +93,102 @@ def score_with_client(
     return request_lines(requests).mapInPandas(ask, SCORED)
 
 
+def ask(requests: DataFrame, client_factory: Callable[[], Client], batch_size: int = 1000, clock: Callable[[], float] | None = None) -> DataFrame:
+    """Asks once for each request and gives the rows of an answer ledger.
+
+    requests: chunk_id, key, line, request (its hash) and attempt (how often it was
+    asked for before). Nothing is tried again here: a batch that fails becomes faults, to be
+    tried again after a wait that doubles with each attempt if the service was busy.
+    """
+    if batch_size <= 0:
+        raise ValueError("batch_size must be > 0")
+    markers = list(RATE_LIMIT_MARKERS)
+
+    def run(frames):
+        import time
+
+        import pandas as pd
+
+        now = clock or time.time
+        columns = ["kind", "request", "chunk_id", "key", "line", "submit_error", "attempt", "again", "due"]
+        client = None
+
+        def rows(kind, n, **values):
+            return pd.DataFrame({c: values.get(c, [None] * n) for c in columns} | {"kind": [kind] * n}, dtype=object)
+
+        for frame in frames:
+            if client is None and len(frame):
+                client = client_factory()
+            for chunk, own in frame.groupby("chunk_id", sort=True, dropna=False):
+                for start in range(0, len(own), batch_size):
+                    batch = own.iloc[start : start + batch_size]
+                    n, requests_ = len(batch), batch["request"].tolist()
+                    try:
+                        answers = client.run_batch(batch["line"].tolist())
+                    except Exception as e:
+                        error, tried = f"{type(e).__name__}: {e}", batch["attempt"].tolist()
+                        yield rows(
+                            FAULT, n, request=requests_, chunk_id=[chunk] * n, key=batch["key"].tolist(), submit_error=[error] * n, attempt=[t + 1 for t in tried],
+                            again=[any(m in error for m in markers)] * n, due=[now() + 2**t for t in tried],
+                        )
+                        continue
+                    yield rows(ANSWER, len(answers), line=answers, chunk_id=[chunk] * len(answers))
+                    yield rows(MARK, n, request=requests_)
+
+    return requests.mapInPandas(run, LEDGER)
+
+
+def ask_until_done(
+    pending: DataFrame,
+    render: Callable[[DataFrame], DataFrame],
+    client_factory: Callable[[], Client],
+    ledger: AnswerLedger,
+    max_attempts: int = 3,
+    batch_size: int = 1000,
+    partitions: int | None = None,
+    clock: Callable[[], float] = time.time,
+    sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """Asks for what the ledger has no answer to, in rounds, and gives the ledger's responses.
+
+    A round asks for all requests that are new or due. What failed because the service was
+    busy waits in the ledger until its time; no task is held up meanwhile. Running this again over
+    the ledger of a run that died goes on where that stopped: nothing is asked twice.
+    """
+    if max_attempts <= 0 or batch_size <= 0:
+        raise ValueError("max_attempts and batch_size must be > 0")
+
+    def requests() -> DataFrame:
+        lines = request_lines(render(pending))
+        return lines.withColumn("request", F.unhex(F.sha2("line", 256)))
+
+    def submit(todo: DataFrame) -> None:
+        ledger.write(ask(spread(todo, partitions), client_factory, batch_size, clock))
+
+    if ledger.is_new():
+        submit(requests().withColumn("attempt", F.lit(0)))
+    else:
+        # By address of the ledger alone: requests that were answered, or failed before, are not new.
+        seen = ledger.asked().unionByName(ledger.faults().select("request"))
+        submit(requests().join(seen, "request", "left_anti").withColumn("attempt", F.lit(0)))
+    while (first := ledger.queue(max_attempts).agg(F.min("due")).first()[0]) is not None:
+        sleep(max(0.0, first - clock()))
+        due = ledger.queue(max_attempts).where(F.col("due") <= max(first, clock())).drop("due")
+        submit(requests().join(due, "request"))
+    return ledger.responses(max_attempts)
+
+
 def score_rules(items: DataFrame, criteria: Criteria, url: UrlSpec) -> DataFrame:
     """Deterministic verdicts from the forbidden words alone.
 
     A stand-in where no model is attached; topics and tone are a model's task.
     """
-    found = found_words(F.col("lower"), criteria.forbidden_words)
+    entries = dictionary(criteria.forbidden_words)
+    rows = items.select("item_id", "chunk_id", "src_file", "pos", lowered(F.col("item_text")).alias("lower"))
+    if len(entries) <= SHORT_LIST:
+        found = rows.withColumn("explicit_words", found_words(F.col("lower"), entries))
+    else:
+        found = join_words(rows, "lower", entry_table(items.sparkSession, entries))
     hit = F.size("explicit_words") > 0
     verdict = F.struct(
         "explicit_words",
@@ -106,8 +198,7 @@ def score_rules(items: DataFrame, criteria: Criteria, url: UrlSpec) -> DataFrame
     )
     null = lambda name: F.lit(None).cast(ANSWERS[name].dataType).alias(name)
     return (
-        items.select("item_id", "chunk_id", "src_file", "pos", lowered(F.col("item_text")).alias("lower"))
-        .select("item_id", "chunk_id", "src_file", "pos", found.alias("explicit_words"))
+        found.select("item_id", "chunk_id", "src_file", "pos", "explicit_words")
         .withColumn("reason", F.when(hit, "Contains forbidden words").otherwise("No forbidden words"))
         .withColumn("topics", F.array().cast("array<string>"))
         .withColumn("deletion", F.when(hit, DELETE).otherwise(KEEP))

@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators.items import assign_chunks, drop_invalid_ids, resolve_ids
-from siftwell.operators.merge import merge_verdicts
+from siftwell.operators.late_fetch import addresses, fetch, first_addresses, latest_addresses
 from siftwell.operators.pending import cached_lookup, mark_cached, missing_items, pending_items
 from siftwell.operators.report import report
 from siftwell.operators.requests import render_requests
 from siftwell.operators.responses import parse_responses
-from siftwell.operators.scoring import Client, score_rules, score_with_client, spread
+from siftwell.operators.scoring import Client, ask_until_done, score_rules
 from siftwell.operators.stats import run_stats
-from siftwell.sinks.writers import write_failures, write_full_report, write_report, write_scored
+from siftwell.sinks.writers import write_failures, write_full_report, write_report
 from siftwell.schemas import FAILURE_COLUMNS, VERDICT_COLUMNS
 from siftwell.sources.archive import import_archive
-from siftwell.sources.responses import scan_scored
+from siftwell.sources.ledger import AnswerLedger
 from siftwell.sources.store import VerdictStore
 from siftwell.spec import AuditSpec
 
@@ -49,13 +49,17 @@ def client_scorer(
     partitions: int | None = None,
     batch_size: int = 1000,
 ) -> Scorer:
-    """Asks a model service. Answers are on disk before they are parsed."""
+    """Asks a model service. What it answered is in the run's ledger batch by batch.
+
+    A run that is repeated under its id, because it died or for its reports, asks only for
+    what its ledger has no answer to. Other criteria have a ledger of their own.
+    """
 
     def score(pending: DataFrame, folder: str) -> DataFrame:
-        requests = render_requests(spread(pending, partitions), spec.criteria, spec.url)
-        answers = score_with_client(requests, client_factory, spec.max_retries, batch_size)
-        write_scored(answers, f"{folder}/answers")
-        return parse_responses(scan_scored(pending.sparkSession, f"{folder}/answers"), spec.criteria.digest)
+        ledger = AnswerLedger(pending.sparkSession, f"{folder}/ledger-{spec.criteria.digest}")
+        render = lambda posts: render_requests(posts, spec.criteria, spec.url)
+        found = ask_until_done(pending, render, client_factory, ledger, spec.max_retries, batch_size, partitions)
+        return parse_responses(found, spec.criteria.digest)
 
     return score
 
@@ -85,15 +89,18 @@ def run_audit(
     pending = pending_items(posts, store.ids(**known))
     store.append(scorer(pending, f"{out_dir}/work"), run_id)
 
-    new = store.verdicts(run_id=run_id)
-    stored = cached_lookup(posts, store.latest(**known))
-    merge_verdicts(new, stored, scope).write.mode("overwrite").parquet(f"{out_dir}/merged")
+    # Which verdicts count is decided on their addresses; only those are read in full.
+    new = addresses(store.log(run_id=run_id))
+    stored = cached_lookup(posts, latest_addresses(addresses(store.log(**known))))
+    winners = first_addresses(new, stored, scope)
+    fetch(store.log(), winners).write.mode("overwrite").parquet(f"{out_dir}/merged")
     merged = spark.read.parquet(f"{out_dir}/merged")
 
-    write_full_report(merged, f"{out_dir}/full")
-    write_report(merged, spec.report_fields, f"{out_dir}/report")
+    n = spec.number_of_chunks
+    write_full_report(merged, f"{out_dir}/full", n)
+    write_report(merged, spec.report_fields, f"{out_dir}/report", n=n)
     failures = store.failures(run_id).select(FAILURE_COLUMNS).unionByName(dropped)
-    write_failures(failures, f"{out_dir}/failures")
+    write_failures(failures, f"{out_dir}/failures", n)
 
     marked = mark_cached(posts, store.ids(**known))
     stats = run_stats(spark, spec.number_of_chunks, marked, store.answers(run_id), merged)
