@@ -7,7 +7,6 @@ model is asked, or which answers count as valid.
 # Archive files: a script assignment around one JSON array of wrapper objects.
 ARCHIVE_SUFFIX = ".js"
 ARCHIVE_GLOB = "*.[jJ][sS]"
-ARCHIVE_ARRAY_PATTERN = r"(?sU)\[\s*\{.*\}\s*\]"
 
 # Ids.
 UNKNOWN_ID = "unknown"
@@ -26,6 +25,7 @@ RATE_LIMIT_MARKERS = ["RESOURCE_EXHAUSTED", "429"]
 # Reports.
 REPORT_FIELDS = ["tweet_url", "deletion"]
 CHUNK_REPORT_GLOB = "*_chunk_*.csv"
+MERGED_REPORT = "merged_report.csv"
 
 # The prompt. {criteria} and {tweet_text} mark where values go.
 CRITERIA_TEMPLATE = (

@@ -7,7 +7,7 @@ import json
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from siftwell.fixed_values import REPORT_FIELDS
+from siftwell.fixed_values import CHUNK_REPORT_GLOB, MERGED_REPORT, REPORT_FIELDS
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,8 @@ class AuditSpec:
     store_path: str | None = None
     output_path: str | None = None
     clear_store: bool = False
+    merge_pattern: str = CHUNK_REPORT_GLOB
+    merge_output_name: str = MERGED_REPORT
 
     def __post_init__(self):
         check_chunk_count(self.number_of_chunks)
@@ -91,6 +93,8 @@ def load_spec(path: str | Path) -> AuditSpec:
             store_path=located("cache", "directory"),
             output_path=located("run_defaults", "output_path"),
             clear_store=raw["run_defaults"]["clear_cache"],
+            merge_pattern=raw["processing"].get("merge_pattern", CHUNK_REPORT_GLOB),
+            merge_output_name=raw["processing"].get("merge_output_name", MERGED_REPORT),
         )
     except KeyError as e:
         raise TypeError(f"Missing setting: {e}") from e

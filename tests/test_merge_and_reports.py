@@ -9,7 +9,7 @@ from siftwell.operators.merge import merge_verdicts
 from siftwell.operators.report import report
 from siftwell.operators.responses import failed, good, parse_responses
 from siftwell.operators.stats import absent_chunks
-from siftwell.plans.merging import check_chunks, merge_report_files
+from siftwell.plans.merging import check_chunks, merge_report_files, merge_reports
 from siftwell.sinks.writers import write_failures, write_full_report, write_report
 from siftwell.sources.reports import scan_reports
 from tests.helpers import VERDICT, answer, envelope
@@ -110,9 +110,9 @@ def test_failed_ids_are_written_per_chunk(spark, responses, tmp_path):
     ]
 
 
-def chunk_file(folder, k, rows, header=("tweet_url", "deletion")):
+def chunk_file(folder, k, rows, header=("tweet_url", "deletion"), end="\r\n"):
     with open(folder / f"report_chunk_{k}.csv", "w", newline="", encoding="utf-8") as f:
-        writer = csv.writer(f)
+        writer = csv.writer(f, lineterminator=end)
         writer.writerow(header)
         writer.writerows(rows)
 
@@ -164,3 +164,116 @@ def test_absent_chunks_are_named(spark):
     with pytest.raises(ValueError, match="found more: 2"):
         check_chunks(spark, 1, stats)
     check_chunks(spark, 3, stats.unionAll(spark.createDataFrame([(1,)], "chunk_id int")))
+
+
+# --- every chunk has its files, and all are looked at
+
+
+def audited(spark, posts, spec, tmp_path, n, texts):
+    import dataclasses
+
+    from siftwell.plans.audit import rule_scorer, run_audit
+    from siftwell.sources.store import VerdictStore
+
+    spec = dataclasses.replace(spec, number_of_chunks=n)
+    store = VerdictStore.open(spark, str(tmp_path / "store"))
+    run_audit(posts([(str(k), t) for k, t in enumerate(texts)], n), store, rule_scorer(spec), spec, str(tmp_path / "o"), "r")
+    return spec, tmp_path / "o"
+
+
+def test_chunks_without_rows_have_files(spark, posts, spec, tmp_path):
+    _, out = audited(spark, posts, spec, tmp_path, 12, ["fine", "heck"])
+    for kind in ("report", "full", "failures"):
+        assert sorted(int(p.name.split("=")[1]) for p in (out / kind).glob("chunk_id=*")) == list(range(12))
+    text = lambda kind, k: "".join(p.read_text() for p in (out / kind / f"chunk_id={k}").glob("part-*"))
+    assert text("report", 7) == "tweet_url,deletion\n" and text("full", 7) == "[]\n" and text("failures", 0) == "[]\n"
+    assert len(text("report", 1).splitlines()) == 2
+    assert spark.read.json(str(out / "full")).where("tweet_id is not null").count() == 2
+    assert merge_reports(spark, str(out), 12, FIELDS).count() == 2
+
+
+def test_a_report_folder_that_is_absent_is_missed(spark, responses, tmp_path):
+    rows = good(parse_responses(responses([answer("a")], 0))).unionByName(good(parse_responses(responses([answer("b")], 2))))
+    write_report(rows, FIELDS, str(tmp_path / "report"))
+    spark.range(3).selectExpr("cast(id as int) as chunk_id").write.parquet(str(tmp_path / "stats"))
+    with pytest.raises(ValueError, match="report folders; absent: 1"):
+        merge_reports(spark, str(tmp_path), 3, FIELDS)
+    write_report(rows, FIELDS, str(tmp_path / "report"), n=4)
+    with pytest.raises(ValueError, match="found more: 3"):
+        merge_reports(spark, str(tmp_path), 3, FIELDS)
+    write_report(rows, FIELDS, str(tmp_path / "report"), n=3)
+    assert merge_reports(spark, str(tmp_path), 3, FIELDS).count() == 2
+    with pytest.raises(FileNotFoundError):
+        merge_reports(spark, str(tmp_path / "absent"), 3, FIELDS)
+
+
+def test_a_failed_write_leaves_the_report_as_it_was(spark, responses, tmp_path, monkeypatch):
+    from siftwell.sinks import writers
+
+    first, second = (good(parse_responses(responses([answer(k)]))) for k in "ab")
+    write_full_report(first, str(tmp_path / "f"), 2)
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(writers, "_fill", lost)
+        write_full_report(second, str(tmp_path / "f"), 2)
+    read = lambda: {r.tweet_id for r in spark.read.json(str(tmp_path / "f")).collect() if r.tweet_id}
+    assert read() == {"a"}
+    write_full_report(second, str(tmp_path / "f"), 2)
+    assert read() == {"b"} and sorted(p.name for p in tmp_path.glob("f*")) == ["f"]
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_merged_report_is_written_in_order(spark, posts, spec, tmp_path, single):
+    import dataclasses
+
+    from siftwell.plans.merging import publish_merged
+
+    spec, out = audited(spark, posts, spec, tmp_path, 3, ["fine", "heck"] * 20)
+    spec = dataclasses.replace(spec, merge_output_name="all.csv")
+    for _ in range(2):
+        back = publish_merged(spark, spec, str(out), single=single)
+        assert back.count() == 40 and back.columns == spec.report_fields
+    files = [out / "all.csv"] if single else sorted((out / "all.csv").glob("part-*.csv"))
+    assert all(f.is_file() for f in files)
+    merged = [r for f in files for r in csv.reader(io.StringIO(f.read_text())) if r != spec.report_fields]
+    own = merge_reports(spark, str(out), 3, spec.report_fields, ordered=True, numbered=True).collect()
+    assert merged == [[r.tweet_url, r.deletion] for r in own] and [r.number for r in own] == list(range(40))
+    assert [int(m[0].rsplit("/", 1)[1]) % 3 for m in merged] == sorted(k % 3 for k in range(40))
+
+
+def test_files_that_the_settings_name_are_merged(spark, spec, tmp_path):
+    import dataclasses
+
+    from siftwell.plans.merging import publish_merged
+
+    chunk_file(tmp_path, 0, [["a", "KEEP"]])
+    chunk_file(tmp_path, 1, [["x", "b"]], header=("more", "tweet_url"))
+    (tmp_path / "report_chunk_9.txt").write_text("tweet_url,deletion\nz,KEEP\n")
+    spec = dataclasses.replace(spec, number_of_chunks=2, merge_pattern="report_chunk_*.csv")
+    assert [tuple(r) for r in publish_merged(spark, spec, str(tmp_path), files=True).collect()] == [("a", "KEEP"), ("b", None)]
+    assert (tmp_path / "merged_report.csv").is_dir()
+
+
+def test_odd_headers(spark, tmp_path):
+    chunk_file(tmp_path, 0, [["a", "b,c", "d"], ["e"]], header=("one\ntwo\nthree, four", "tweet_url", "tweet_url"), end="\n")
+    chunk_file(tmp_path, 1, [["1", "2", "3", "4", "5"], ["6,7", "x\ny"]], header=("tweet_url", "one\ntwo\nthree, four"), end="\n")
+    got = merge_report_files(spark, str(tmp_path), 2, ordered=True, numbered=True)
+    assert got.columns == ["one\ntwo\nthree, four", "tweet_url", "number"]
+    assert [tuple(r) for r in got.collect()] == [("a", "b,c", 0), ("e", None, 1), ("2", "1", 2), ("x\ny", "6,7", 3)]
+
+
+def test_jobs_don_t_grow_with_the_files(spark, tmp_path):
+    jobs = []
+    for n in (2, 20):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        for k in range(n):
+            chunk_file(folder, k, [[f"u{k}", "KEEP"]], header=("tweet_url", "deletion") if k % 2 else ("deletion", "tweet_url"))
+        spark.sparkContext.setJobGroup(f"merge-{n}", "merge")
+        assert merge_report_files(spark, str(folder), n).count() == n
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"merge-{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
