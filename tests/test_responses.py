@@ -1,4 +1,4 @@
-"""Answers read by Spark against the same rules in plain Python."""
+"""Answers read by Spark: each shape with the outcome it must have."""
 
 import json
 import random
@@ -13,125 +13,119 @@ from siftwell.sources.responses import scan_responses
 from tests.helpers import VERDICT, answer, envelope
 
 OK = json.dumps(VERDICT)
-REQUIRED = list(VERDICT)
 
 
-def plain(line):
-    """(fail_reason, id, verdict) of one line."""
-    try:
-        obj = json.loads(line)
-    except json.JSONDecodeError:
-        return "bad_line", None, None
-    if not isinstance(obj, dict) or "key" not in obj:
-        return "bad_line", None, None
-    key = str(obj["key"])
-    try:
-        text = obj["response"]["candidates"][0]["content"]["parts"][0]["text"]
-    except (KeyError, IndexError, TypeError):
-        return "no_text", key, None
-    text = text.replace("```json", "").replace("```", "")
-    match = re.search(r"\{.*\}", text, re.DOTALL)
-    try:
-        data = json.loads(match.group(0) if match else text)
-    except json.JSONDecodeError:
-        return "bad_verdict", key, None
-    if not isinstance(data, dict) or not all(k in data for k in REQUIRED):
-        return "bad_verdict", key, None
-    return None, key, data
-
-
-TEXTS = [
-    OK,
-    f"```json\n{OK}\n```",
-    f"Here is the analysis:\n{OK}\nAdditional notes.",
-    json.dumps(VERDICT, indent=4),
-    "{ this is not valid json }",
-    f"{OK} and {OK}",
+def changed(**values):
+    return json.dumps({**VERDICT, **values})
+
+
+#: Answer texts that hold a verdict, with its decision, reason, words and further keys where they aren't the usual ones.
+VERDICTS = [
+    (OK, {}),
+    (f"```json\n{OK}\n```", {}),
+    (f"My verdict on this one:\n{OK}\nHope that helps!", {}),
+    (json.dumps(VERDICT, indent=4), {}),
+    (f"[{OK}]", {}),
+    (f"{OK}]", {}),
+    (f"x ]{OK}[ y", {}),
+    (OK + " ", {}),
+    ("\ufeff" + OK, {}),
+    (changed(deletion=None), {"deletion": None}),
+    (changed(deletion="MAYBE"), {"deletion": "MAYBE"}),
+    (changed(explicit_words="none"), {"words": None}),
+    (changed(explicit_words=None, topic_of_tweet={"a": 1}), {"words": None, "topics": None}),
+    (changed(note={"deep": [1, 2.5, "x"]}, score=0.25), {"extras": {"note", "score"}}),
+    (changed(reason_for_flag='braces } { and "quotes" \\ and\nlines é😀'), {"reason": 'braces } { and "quotes" \\ and\nlines é😀'}),
+    (changed(reason_for_flag="fence ``` inside ```json too"), {"reason": "fence  inside  too"}),
+    (OK.replace('"KEEP"', '"KEEP", "deletion": "DELETE"'), {"deletion": "DELETE"}),
+    (OK.replace('"KEEP"', '"KEEP", "note": 1, "note": 2, "deletion": "DELETE", "deletion": "N/A"'), {"deletion": "N/A", "extras": {"note"}}),
+    (OK.replace("fine", "\\u00e9 \\ud83d\\ude00 \\/"), {"reason": "é 😀 /"}),
+]
+#: Answer texts that hold none.
+NO_VERDICTS = [
+    "{ half a thought, no quotes }",
+    f"{OK} or else {OK}",
     f"{OK},{{}}",
-    f"[{OK}]",
-    f"{OK}]",
-    f"x ]{OK}[ y",
     f"{OK}] x [{OK}",
     "",
-    "no json at all",
+    "nothing of that kind",
     "{}",
     "null",
     json.dumps({k: v for k, v in VERDICT.items() if k != "deletion"}),
-    json.dumps({**VERDICT, "deletion": None}),
-    json.dumps({**VERDICT, "deletion": "MAYBE"}),
-    json.dumps({**VERDICT, "explicit_words": "none"}),
-    json.dumps({**VERDICT, "explicit_words": None, "topic_of_tweet": {"a": 1}}),
-    json.dumps({**VERDICT, "note": {"deep": [1, 2.5, "x"]}, "score": 0.25}),
-    json.dumps({**VERDICT, "reason_for_flag": 'braces } { and "quotes" \\ and\nlines é😀'}),
-    json.dumps({**VERDICT, "reason_for_flag": "fence ``` inside ```json too"}),
     OK.replace('"KEEP"', "'KEEP'"),
-    OK.replace('"KEEP"', "NaN"),
     OK.replace('"KEEP"}', '"KEEP",}'),
-    OK.replace('"KEEP"', '"KEEP", "deletion": "DELETE"'),
-    OK.replace('"KEEP"', '"KEEP", "note": 1, "note": 2, "deletion": "DELETE", "deletion": "N/A"'),
     OK.replace("fine", "raw\nline break"),
     OK.replace("fine", "raw\ttab"),
-    OK.replace("fine", "\\u00e9 \\ud83d\\ude00 \\/"),
     OK.replace("fine", "\\x41"),
     OK.replace("[]", "[1, 2"),
     OK.replace("[]", "[01]"),
-    OK + " ",
-    "﻿" + OK,
     OK[:-1],
 ]
 BODY = {"candidates": [{"content": {"parts": [{"text": OK}]}}]}
-LINES = [envelope(f"t{k}", text) for k, text in enumerate(TEXTS)] + [
-    json.dumps({"key": "n1", "response": BODY}),
-    json.dumps({"key": "n2", "tweet_url": None, "response": BODY}),
-    json.dumps({"key": None, "tweet_url": "u", "response": BODY}),
-    json.dumps({"key": 123456789012345678901, "tweet_url": "u", "response": BODY}),
-    json.dumps({"tweet_url": "u", "response": BODY}),
-    json.dumps({"key": "n3"}),
-    json.dumps({"key": "n4", "response": None}),
-    json.dumps({"key": "n5", "response": "text"}),
-    json.dumps({"key": "n6", "response": [BODY]}),
-    json.dumps({"key": "n7", "response": {"candidates": []}}),
-    json.dumps({"key": "n8", "response": {"candidates": {}}}),
-    json.dumps({"key": "n9", "response": {"candidates": [{}]}}),
-    json.dumps({"key": "n10", "response": {"candidates": [5]}}),
-    json.dumps({"key": "n11", "response": {"candidates": [{"content": {"parts": []}}]}}),
-    json.dumps({"key": "n12", "response": {"candidates": [{"content": {"parts": "x"}}]}}),
-    json.dumps({"key": "n13", "response": {"candidates": BODY["candidates"] + [7]}}),
-    json.dumps({"key": "n14", "response": BODY, "usage": {"tokens": [1]}, "extra": None}),
-    '{"key": "a", "key": "n15", "response": %s}' % json.dumps(BODY),
-    "not json",
-    "5",
-    "null",
-    "[]",
-    "{}",
-    json.dumps([{"key": "n16", "response": BODY}]),
-    answer("n17") + "]",
-    answer("n18") + ",{}",
-    answer("n19") + " ",
-    answer("n20") + "\r",
-    "\r",
-    " ",
-    '{"key": "n21"',
+#: Whole lines with the reason why they fail, if they do, and the id they have.
+LINES = [
+    (json.dumps({"key": "n1", "response": BODY}), None, "n1"),
+    (json.dumps({"key": "n2", "tweet_url": None, "response": BODY}), None, "n2"),
+    (json.dumps({"key": None, "tweet_url": "u", "response": BODY}), None, "None"),
+    (json.dumps({"key": 123456789012345678901, "tweet_url": "u", "response": BODY}), None, "123456789012345678901"),
+    (json.dumps({"key": "n13", "response": {"candidates": BODY["candidates"] + [7]}}), None, "n13"),
+    (json.dumps({"key": "n14", "response": BODY, "usage": {"tokens": [1]}, "extra": None}), None, "n14"),
+    ('{"key": "a", "key": "n15", "response": %s}' % json.dumps(BODY), None, "n15"),
+    (answer("n19") + " ", None, "n19"),
+    (answer("n20") + "\r", None, "n20"),
+    (json.dumps({"key": "n3"}), "no_text", "n3"),
+    (json.dumps({"key": "n4", "response": None}), "no_text", "n4"),
+    (json.dumps({"key": "n5", "response": "text"}), "no_text", "n5"),
+    (json.dumps({"key": "n6", "response": [BODY]}), "no_text", "n6"),
+    (json.dumps({"key": "n7", "response": {"candidates": []}}), "no_text", "n7"),
+    (json.dumps({"key": "n8", "response": {"candidates": {}}}), "no_text", "n8"),
+    (json.dumps({"key": "n9", "response": {"candidates": [{}]}}), "no_text", "n9"),
+    (json.dumps({"key": "n10", "response": {"candidates": [5]}}), "no_text", "n10"),
+    (json.dumps({"key": "n11", "response": {"candidates": [{"content": {"parts": []}}]}}), "no_text", "n11"),
+    (json.dumps({"key": "n12", "response": {"candidates": [{"content": {"parts": "x"}}]}}), "no_text", "n12"),
+    (json.dumps({"tweet_url": "u", "response": BODY}), "bad_line", None),
+    ("no JSON here", "bad_line", None),
+    ("5", "bad_line", None),
+    ("null", "bad_line", None),
+    ("[]", "bad_line", None),
+    ("{}", "bad_line", None),
+    (json.dumps([{"key": "n16", "response": BODY}]), "bad_line", None),
+    (answer("n17") + "]", "bad_line", None),
+    (answer("n18") + ",{}", "bad_line", None),
+    ("\r", "bad_line", None),
+    (" ", "bad_line", None),
+    ('{"key": "n21"', "bad_line", None),
 ]
 
 
-def test_every_line_is_judged_as_in_python(spark, responses):
-    rows = sorted(parse_responses(responses(LINES)).collect(), key=lambda r: r.ord.row)
-    assert len(rows) == len(LINES)
-    for row, line in zip(rows, LINES):
-        reason, key, data = plain(line)
-        assert (row.fail_reason, row.item_id) == (reason, key), line
-        if data is None:
-            assert row.line == line and row.raw is None
-            continue
-        assert row.line is None
-        if isinstance(data["deletion"], str):
-            assert row.deletion == data["deletion"], line
-        assert row.reason == data["reason_for_flag"], line
-        words = data["explicit_words"]
-        assert row.explicit_words == (words if isinstance(words, list) else None), line
-        assert json.loads(row.raw) == data or "NaN" in line
-        assert set(row.extras) == set(data) - set(REQUIRED), line
+def in_order(parsed):
+    return sorted(parsed.collect(), key=lambda r: r.ord.row)
+
+
+def test_texts_with_a_verdict(responses):
+    rows = in_order(parse_responses(responses([envelope(f"t{k}", text) for k, (text, _) in enumerate(VERDICTS)])))
+    usual = {"deletion": "KEEP", "reason": "fine", "words": [], "topics": ["news"], "extras": set()}
+    for k, (row, (text, own)) in enumerate(zip(rows, VERDICTS, strict=True)):
+        got = {"deletion": row.deletion, "reason": row.reason, "words": row.explicit_words, "topics": row.topics, "extras": set(row.extras)}
+        assert (row.fail_reason, row.item_id, row.line) == (None, f"t{k}", None), text
+        assert got == usual | own, text
+
+
+def test_texts_without_a_verdict(responses):
+    lines = [envelope(f"t{k}", text) for k, text in enumerate(NO_VERDICTS)]
+    rows = in_order(parse_responses(responses(lines)))
+    assert [(r.fail_reason, r.item_id, r.line, r.raw) for r in rows] == [("bad_verdict", f"t{k}", line, None) for k, line in enumerate(lines)]
+
+
+def test_lines(responses):
+    rows = in_order(parse_responses(responses([line for line, _, _ in LINES])))
+    assert [(r.fail_reason, r.item_id, r.line) for r in rows] == [(reason, key, line if reason else None) for line, reason, key in LINES]
+
+
+def test_the_answer_s_own_object_is_kept(responses):
+    text = json.dumps({**VERDICT, "note": {"deep": [1, None]}, "score": 0.25}, indent=1)
+    row = parse_responses(responses([envelope("a", f"So:\n{text}\n")])).first()
+    assert json.loads(row.raw) == {**VERDICT, "note": {"deep": [1, None]}, "score": 0.25}
 
 
 def test_repeated_keys_take_the_last(responses):
@@ -194,49 +188,40 @@ def test_usual_shapes(responses, text):
     assert (row.item_id, row.deletion, row.topics, row.reason) == ("1", "KEEP", ["news"], "fine")
 
 
-def mutated(rng, line):
-    """A line with a few characters dropped, doubled, swapped or put in."""
-    chars = list(line)
-    for _ in range(rng.choice([0, 1, 1, 1, 2, 4])):
-        at = rng.randrange(len(chars))
-        kind = rng.random()
-        if kind < 0.35:
-            chars[at : at + rng.choice([1, 1, 2, 9])] = []
-        elif kind < 0.6:
-            chars.insert(at, rng.choice('{}[]",:\\ \t01-.eNn`'))
-        elif kind < 0.8:
-            other = rng.randrange(len(chars))
-            chars[at], chars[other] = chars[other], chars[at]
-        else:
-            piece = chars[at : at + rng.choice([3, 10, 40])]
-            chars[at:at] = piece
-        if not chars:
-            break
-    return "".join(chars)
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+')
 
 
-def test_damaged_lines_are_judged_as_in_python(spark, responses):
-    """Lines, damaged in the envelope or in the answer's text."""
+def spoiled(rng, text):
+    """Sound JSON without one of the marks that hold it together: a bracket, colon, comma or the quote of a text."""
+    tokens = _TOKEN.findall(text)
+    at = rng.choice([k for k, t in enumerate(tokens) if t[0] in '"{}[]:,'])
+    tokens[at] = rng.choice([tokens[at][1:], tokens[at][:-1]])
+    return "".join(tokens)
+
+
+def spaced(rng, text):
+    """The same JSON with white space between its tokens."""
+    return "".join(rng.choice(["", " ", "\t", "\r", "  "]) + t for t in _TOKEN.findall(text))
+
+
+def test_damage_to_a_line_or_an_answer_is_seen(responses):
+    """Whichever mark is missing, the line fails at the level it belongs to; white space never matters."""
     rng = random.Random(7)
-    lines = []
-    for k in range(12000):
-        text = rng.choice(TEXTS)
-        line = mutated(rng, envelope(f"m{k}", text)) if k % 2 else envelope(f"m{k}", mutated(rng, text or "{}"))
-        if line and "\n" not in line:
-            lines.append(line)
-    rows = sorted(parse_responses(responses(lines)).collect(), key=lambda r: r.ord.row)
-    assert len(rows) == len(lines)
-    wrong = []
-    for row, line in zip(rows, lines):
-        try:
-            expected = plain(line)
-        except (AttributeError, TypeError):
-            # An answer that is no text ends the run in the plain version; here
-            # it may only become a failure or, if it is an object, a verdict.
-            continue
-        if (row.fail_reason, row.item_id) != expected[:2]:
-            wrong.append((line, expected[:2], (row.fail_reason, row.item_id)))
-    assert not wrong, "\n".join(str(w) for w in wrong)
+    lines, want = [], []
+    for k in range(6000):
+        text = changed(reason_for_flag=rng.choice(["fine", "a, b: [c]", 'says \\ "x"', "é😀"]), note=rng.choice([[1, {"a": []}], "n", None, 2.5]))
+        kind = k % 3
+        if kind == 0:
+            line = spaced(rng, envelope(f"m{k}", spaced(rng, text)))
+        elif kind == 1:
+            line = spoiled(rng, envelope(f"m{k}", text))
+        else:
+            line = envelope(f"m{k}", spoiled(rng, text))
+        lines.append(line)
+        want.append([(None, f"m{k}"), ("bad_line", None), ("bad_verdict", f"m{k}")][kind])
+    rows = in_order(parse_responses(responses(lines)))
+    wrong = [(line, w, (r.fail_reason, r.item_id)) for r, line, w in zip(rows, lines, want, strict=True) if (r.fail_reason, r.item_id) != w]
+    assert not wrong, wrong[:3]
 
 
 @pytest.mark.parametrize("tail", [",{}]", ",{}] and {\"x\":1}", ",{}]}", ",{\"key\":\"0\"}]"])

@@ -8,15 +8,19 @@ bent into one of twenty kinds (see bent_answers).
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.urls import permalink
-from siftwell.functions.words import found_words, lowered
+from siftwell.functions.words import dictionary, found_words, lowered
 from siftwell.operators.items import assign_chunks, resolve_ids
 from siftwell.operators.responses import parse_responses
+from siftwell.operators.scoring import score_rules
 from siftwell.schemas import ANSWERS
 from siftwell.session import new_folder
+from siftwell.sinks.publish import published
 from siftwell.sources.responses import scan_responses
 from siftwell.sources.store import VerdictStore
 from siftwell.spec import AuditSpec, Criteria, UrlSpec
@@ -25,6 +29,7 @@ WORDS = ["license", "token", "apache", "mit"]
 CHUNKS = 5
 MANY_CHUNKS = 500
 PART_ROWS = 500
+SMALL_PART_ROWS = 40
 KINDS = 20
 
 SPEC = AuditSpec(
@@ -37,6 +42,8 @@ SPEC = AuditSpec(
     url=UrlSpec(user="reviewer", base_url="https://posts.example/{user}/status/{id}"),
     number_of_chunks=CHUNKS,
 )
+#: The same for posts that fill four of fifty chunks.
+FEW_FULL = dataclasses.replace(SPEC, number_of_chunks=50)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,9 +147,9 @@ def bent_answers(items: DataFrame) -> DataFrame:
     extra = [F.lit(0.5).alias("confidence"), F.struct(F.lit("a").alias("by"), F.array(F.lit(1)).alias("at")).alias("note")]
     answers = {
         0: F.concat(F.lit("```json\n"), clean, F.lit("\n```")),
-        1: F.concat(F.lit("Here is the analysis:\n"), clean, F.lit("\nAdditional notes here.")),
+        1: F.concat(F.lit("This is how I see it:\n"), clean, F.lit("\nThat would be all.")),
         2: verdict(None),
-        3: F.lit("{ this is not valid json }"),
+        3: F.lit("{ a sentence in braces }"),
         4: F.concat(clean, F.lit(" and "), clean),
         9: verdict(F.lit(None).cast("string")),
         10: verdict(F.lit("N/A")),
@@ -164,7 +171,7 @@ def bent_answers(items: DataFrame) -> DataFrame:
         .otherwise(_envelope(key, url, answer))
     )
     low = items.withColumn("lower", lowered(F.col("item_text")))
-    worded = low.withColumn("words", found_words(F.col("lower"), WORDS))
+    worded = low.withColumn("words", found_words(F.col("lower"), dictionary(WORDS)))
     return worded.withColumn("answer", bent).select("chunk_id", line.alias("value"))
 
 
@@ -189,12 +196,12 @@ def bent_scorer(pending: DataFrame, folder: str) -> DataFrame:
     return parse_responses(scan_responses(spark, answer_folder(spark, pending)), SPEC.criteria.digest)
 
 
-def archive(spark: SparkSession, sf_dir: str) -> str:
-    """The documents as archive files of at most PART_ROWS posts each."""
+def archive(spark: SparkSession, sf_dir: str, part_rows: int = PART_ROWS) -> str:
+    """The documents as archive files of at most part_rows posts each."""
     path = f"{new_folder(spark, 'archive')}.js"
     tweet = F.struct("id_str", F.col("id_str").alias("id"), F.col("item_text").alias("full_text"))
     post = F.to_json(F.struct(tweet.alias("tweet")))
-    part = F.floor(F.col("pos") / PART_ROWS)
+    part = F.floor(F.col("pos") / part_rows)
     inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "post"))), lambda s: s["post"]), ",\n")
     (
         posts(spark, sf_dir)
@@ -208,6 +215,67 @@ def archive(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def report_files(spark: SparkSession, sf_dir: str) -> str:
+    """A CSV file per chunk: the first with link and decision, the others with more columns, in other orders."""
+    folder = new_folder(spark, "reports")
+    rows = score_rules(items(spark, sf_dir), SPEC.criteria, SPEC.url)
+    known = {"tweet_url": F.col("item_url"), "deletion": F.col("deletion"), "more": F.col("reason"), "id": F.col("item_id")}
+    headers = [["tweet_url", "deletion"], ["deletion", "more", "tweet_url"], ["id", "tweet_url"], ["more", "deletion", "id", "tweet_url"], ["deletion", "tweet_url"]]
+    for k in range(CHUNKS):
+        own = rows.where(F.col("chunk_id") == k).select(*[known[c].alias(c) for c in headers[k]])
+        # Each is one file by its nature, as other tools leave it.
+        published(spark, f"{folder}/report_chunk_{k}.csv", lambda f, own=own: own.coalesce(1).write.option("header", True).csv(f), single=True)
+    return folder
+
+
+#: What a driver that dies in the middle says.
+LOST = "the service's machine was lost"
+
+
+def dying_client_factory():
+    """Makes clients as rule_client_factory does, but for the first partition, whose job it ends."""
+    make, lost = rule_client_factory(), LOST
+
+    def factory():
+        from pyspark import TaskContext
+
+        if TaskContext.get().partitionId() == 0:
+            raise RuntimeError(lost)
+        return make()
+
+    return factory
+
+
+def no_time() -> float:
+    return 0.0
+
+
+class BusyService:
+    """Makes clients of a service that is too busy for chunk 1 until it was waited for once, for chunk 2 always, and broken for chunk 3."""
+
+    def __init__(self) -> None:
+        self.waits = 0
+
+    def wait(self, seconds: float) -> None:
+        self.waits += 1
+
+    def __call__(self):
+        rule, waits, chunks = rule_client_factory()(), self.waits, CHUNKS
+
+        class Client:
+            def run_batch(self, lines):
+                import json
+
+                chunk = int(json.loads(lines[0])["key"]) % chunks
+                if chunk == 2 or (chunk == 1 and not waits):
+                    raise RuntimeError("429 too busy")
+                if chunk == 3:
+                    raise ValueError("broken")
+                return rule.run_batch(lines)
+
+        return Client()
+
+
 def rule_client_factory():
     """Makes local clients for the word rule that answer line by line."""
     words = list(WORDS)

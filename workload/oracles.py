@@ -6,8 +6,7 @@ document's kind, its text and its words; nothing here parses an answer.
 
 from __future__ import annotations
 
-from siftwell.fixed_values import PROMPT_TEMPLATE
-from workload.inputs import CHUNKS, KINDS, MANY_CHUNKS, PART_ROWS, SPEC, WORDS
+from workload.inputs import CHUNKS, KINDS, MANY_CHUNKS, PART_ROWS, WORDS
 
 
 def _text(value: str) -> str:
@@ -69,14 +68,47 @@ mixed AS (
   FROM posts p LEFT JOIN labels l ON l.doc_id = p.doc_id
 )"""
 
-_HEAD, _TAIL = PROMPT_TEMPLATE.split("{tweet_text}")
-_CRITERIA = (
-    "Forbidden words: license, token, apache, mit\n"
-    "Topics to exclude: Legal notices, Access data\n"
-    "Tone requirements: Plain language\n"
-    "Additional instructions: Look for 100% of the words above"
-)
-_PROMPT = f"{_text(_HEAD)} || text || {_text(_TAIL.replace('{criteria}', _CRITERIA))}"
+# The prompt as a model must get it, written out for the criteria of the queries.
+_HEAD = """
+        Analyze this tweet and determine if it should be flagged for deletion.
+
+        Tweet: \""""
+_TAIL = """"
+
+        Criteria for flagging
+        Forbidden words: license, token, apache, mit
+Topics to exclude: Legal notices, Access data
+Tone requirements: Plain language
+Additional instructions: Look for 100% of the words above
+
+        CRITICAL INSTRUCTIONS:
+        1. Respond ONLY with valid JSON - no markdown, no code blocks, no explanations
+        2. Do NOT wrap your response in ```json or ``` tags
+        3. Use double quotes for all strings
+        4. Ensure "deletion" is EXACTLY either "DELETE" or "KEEP" (all caps)
+        5. If no explicit words found, use empty array []
+        6. All arrays must be properly formatted
+
+
+        Example of VALID response:
+        {
+        "explicit_words": ["damn"],
+        "reason_for_flag": "Contains mild profanity",
+        "topic_of_tweet": ["complaint", "frustration"],
+        "deletion": "DELETE"
+        }
+
+        Example of VALID response (no issues):
+        {
+        "explicit_words": [],
+        "reason_for_flag": "Tweet is clean and appropriate",
+        "topic_of_tweet": ["technology", "news"],
+        "deletion": "KEEP"
+        }
+
+        Now analyze the tweet above and respond with ONLY the JSON object
+        """
+_PROMPT = f"{_text(_HEAD)} || text || {_text(_TAIL)}"
 
 _ODD = """
 odd AS (
@@ -201,6 +233,43 @@ ORACLES = {
         FROM good GROUP BY item_id
         UNION ALL
         SELECT item_id, flagged AS deletion, {_RULE_REASON} AS reason FROM posts WHERE kind BETWEEN 2 AND 8""",
+    "score_resumed": f"WITH {_DOCS} SELECT item_id, CAST(1 AS BIGINT) AS n_answers, flagged AS deletion FROM posts",
+    "score_with_failures": f"""
+        WITH {_DOCS} SELECT item_id, chunk_id, CASE WHEN chunk_id NOT IN (2, 3) THEN flagged END AS deletion,
+          CASE WHEN chunk_id IN (2, 3) THEN 'submit_failed' END AS fail_reason,
+          CAST(CASE chunk_id WHEN 2 THEN 3 WHEN 3 THEN 1 END AS INTEGER) AS attempt FROM posts""",
+    "match_dictionary": r"""
+        WITH words AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+        entries AS (
+          SELECT DISTINCT w[i] || ' ' || w[i + 1] AS entry
+          FROM (SELECT w, unnest(range(1, len(w))) AS i FROM words WHERE len(w) > 1)
+        ),
+        docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        pairs AS (
+          SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS entry
+          FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM docs WHERE len(w) > 1)
+        ),
+        found AS (
+          SELECT doc_id, count(*) AS n, string_agg(entry, ',' ORDER BY entry) AS listed
+          FROM pairs JOIN entries USING (entry) GROUP BY doc_id
+        )
+        SELECT CAST(d.doc_id AS VARCHAR) AS item_id, CAST(coalesce(n, 0) AS INTEGER) AS n_found, md5(coalesce(listed, '')) AS found_md5
+        FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id""",
+    "collect_two_streams": f"WITH {_ANSWERS} SELECT item_id, deletion FROM good UNION ALL SELECT item_id, deletion FROM good",
+    "assign_chunk_parts": f"""
+        SELECT CAST(n % {MANY_CHUNKS} AS INTEGER) AS chunk_id, count(*) AS n_posts
+        FROM (SELECT row_number() OVER () - 1 AS n FROM documents) GROUP BY ALL""",
+    "empty_chunks": """
+        WITH posts AS (SELECT CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 13 WHEN 'de' THEN 26 ELSE 39 END AS chunk FROM documents)
+        SELECT CAST(r.range AS INTEGER) AS chunk_id, CAST(3 AS BIGINT) AS n_outputs, count(chunk) AS n_rows
+        FROM range(50) r LEFT JOIN posts ON chunk = r.range GROUP BY r.range""",
+    "merge_ordered": f"""
+        SELECT row_number() OVER (ORDER BY doc_id % {CHUNKS}) - 1 AS number, CAST(doc_id % {CHUNKS} AS INTEGER) AS chunk_id FROM documents""",
+    "merge_written": f"WITH {_MIXED} SELECT url AS tweet_url, deletion FROM mixed",
+    "merge_report_files": f"""
+        WITH {_DOCS} SELECT url AS tweet_url, CASE WHEN chunk_id <> 2 THEN flagged END AS deletion FROM posts""",
+    "audit_from_archive": f"WITH {_DOCS} SELECT item_id, url AS tweet_url, flagged AS deletion, {_RULE_REASON} AS reason FROM posts",
+    "audit_new_criteria": f"WITH {_DOCS} SELECT item_id, flagged AS deletion, {_RULE_REASON} AS reason FROM posts",
     "retry_what_is_missing": f"WITH {_DOCS} SELECT item_id FROM posts WHERE kind IN (6, 7, 8)",
 }
 ORACLES["requests_jsonl"] = ORACLES["build_requests"]

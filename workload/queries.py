@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.ids import is_valid_id, request_key
 from siftwell.functions.prompts import prompt
 from siftwell.functions.urls import permalink
+from siftwell.functions.words import join_words, token_runs
 from siftwell.operators import items as items_ops
 from siftwell.operators import merge, pending, report, requests, responses, scoring, stats
-from siftwell.plans.audit import client_scorer, retry_pending, rule_scorer, run_audit
+from siftwell.operators.items import resolve_ids
+from siftwell.plans.audit import audit_archive, client_scorer, retry_pending, rule_scorer, run_audit
+from siftwell.plans.merging import merge_report_files as merge_files
 from siftwell.plans.merging import merge_reports as merge_reports_plan
+from siftwell.plans.merging import publish_merged
 from siftwell.session import new_folder
 from siftwell.sinks import writers
 from siftwell.sources.archive import scan_archive as read_archive
-from siftwell.sources.reports import scan_reports
+from siftwell.sources.ledger import AnswerLedger
+from siftwell.sources.reports import reported_chunks, scan_reports
 from siftwell.sources.responses import scan_responses as read_responses
 from siftwell.streaming.collector import collect_responses as collect
 from workload import inputs as I
@@ -82,6 +89,13 @@ def assign_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.items(spark, sf_dir).select("item_id", "chunk_id")
 
 
+def assign_chunk_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of many small files: posts are numbered over all of them, so chunks are even."""
+    posts = read_archive(spark, I.archive(spark, sf_dir, I.SMALL_PART_ROWS))
+    chunked = items_ops.assign_chunks(items_ops.resolve_ids(posts), I.MANY_CHUNKS)
+    return chunked.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_posts"))
+
+
 def select_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk on its own, put side by side again."""
     posts = I.items(spark, sf_dir)
@@ -129,6 +143,40 @@ def score_with_client(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.good(answers).select("item_id", "item_url", _joined("explicit_words").alias("words"), "deletion")
 
 
+def score_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose job dies while other tasks are answered, and the one that goes on: every post has one answer."""
+    posts, ledger = I.items(spark, sf_dir), AnswerLedger(spark, new_folder(spark, "ledger"))
+    render = lambda rows: requests.render_requests(rows, CRITERIA, URL)
+    try:
+        scoring.ask_until_done(posts, render, I.dying_client_factory(), ledger, partitions=spark.sparkContext.defaultParallelism)
+    except Exception as e:
+        if I.LOST not in str(e):
+            raise
+    found = scoring.ask_until_done(posts, render, I.rule_client_factory(), ledger, partitions=spark.sparkContext.defaultParallelism)
+    answers = responses.good(responses.parse_responses(found, CRITERIA.digest))
+    return answers.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_answers"), F.max("deletion").alias("deletion"))
+
+
+def score_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A service that is busy at first for one chunk, always for a second, and fails for a third."""
+    ledger, service = AnswerLedger(spark, new_folder(spark, "ledger")), I.BusyService()
+    render = lambda rows: requests.render_requests(rows, CRITERIA, URL)
+    found = scoring.ask_until_done(I.items(spark, sf_dir), render, service, ledger, max_attempts=3, clock=I.no_time, sleep=service.wait)
+    parsed = responses.parse_responses(found, CRITERIA.digest)
+    tries = ledger.given_up(3).select(F.col("key").alias("of_key"), "attempt")
+    whole = parsed.join(tries, F.col("item_id") == F.col("of_key"), "left")
+    return whole.select("item_id", "chunk_id", "deletion", "fail_reason", "attempt")
+
+
+def match_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of neighbouring words of the benchmark as a dictionary, looked up in all posts."""
+    pairs = I.table(spark, sf_dir, "benchmark").select(F.explode(token_runs(F.lower("text"), [(2, True)])).alias("entry")).distinct()
+    entries = pairs.select("entry", F.lit(2).alias("n"), F.lit(True).alias("words_only"), F.lit(0).alias("place"), F.col("entry").alias("shown"))
+    rows = I.items(spark, sf_dir).select("item_id", F.lower("item_text").alias("lower"))
+    found = join_words(rows, "lower", entries)
+    return found.select("item_id", F.size("explicit_words").alias("n_found"), F.md5(F.array_join("explicit_words", ",")).alias("found_md5"))
+
+
 # Answers
 
 
@@ -198,6 +246,14 @@ def collect_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Store
 
 
+def collect_two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two collections of one name over the same files, each with a checkpoint of its own: both stay."""
+    path, store = I.answer_folder(spark, I.items(spark, sf_dir)), I.new_store(spark)
+    for _ in range(2):
+        collect(spark, path, store, new_folder(spark, "checkpoint"), criteria_hash=CRITERIA.digest, max_files=2).awaitTermination()
+    return store.verdicts().select("item_id", "deletion")
+
+
 def store_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule's verdicts first, people's labels over them."""
     store = I.new_store(spark)
@@ -327,6 +383,19 @@ def report_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def empty_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts that fill four chunks of many: every chunk has a report, a full report and a list of failures."""
+    langs = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 13).when(F.col("lang") == "de", 26).otherwise(39)
+    posts = resolve_ids(I.posts(spark, sf_dir)).withColumn("chunk_id", langs)
+    out_dir = new_folder(spark, "audit")
+    run_audit(posts, I.new_store(spark), rule_scorer(I.FEW_FULL), I.FEW_FULL, out_dir, "r1")
+    found = [reported_chunks(spark, f"{out_dir}/{kind}").withColumn("kind", F.lit(kind)) for kind in ("report", "full", "failures")]
+    kinds = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_outputs"))
+    rows = scan_reports(spark, f"{out_dir}/report", SPEC.report_fields).groupBy(F.col("chunk_id").alias("of_chunk")).agg(F.count(F.lit(1)).alias("n"))
+    whole = kinds.join(rows, F.col("chunk_id") == F.col("of_chunk"), "left")
+    return whole.select("chunk_id", "n_outputs", F.coalesce("n", F.lit(0)).alias("n_rows"))
+
+
 def chunk_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks, of many, in which the rule flags no post."""
     verdicts = scoring.score_rules(I.items(spark, sf_dir, I.MANY_CHUNKS), CRITERIA, URL)
@@ -359,6 +428,41 @@ def merge_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_reports_plan(spark, out_dir, I.CHUNKS, SPEC.report_fields)
 
 
+def merge_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged report's rows with their numbers: by file, so by chunk."""
+    out_dir = new_folder(spark, "audit")
+    _audit(spark, sf_dir, out_dir)
+    rows = merge_reports_plan(spark, out_dir, I.CHUNKS, SPEC.report_fields, numbered=True)
+    doc_id = F.regexp_extract("tweet_url", r"(\d+)$", 1).cast("long")
+    return rows.select("number", F.pmod(doc_id, F.lit(I.CHUNKS)).cast("int").alias("chunk_id"))
+
+
+def merge_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged report as it is read from where it was written."""
+    out_dir = new_folder(spark, "audit")
+    _audit(spark, sf_dir, out_dir)
+    return publish_merged(spark, SPEC, out_dir)
+
+
+def merge_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CSV file per chunk, with columns in different order, missing or more: the first file's columns count."""
+    folder = I.report_files(spark, sf_dir)
+    return merge_files(spark, folder, I.CHUNKS)
+
+
+def audit_from_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from an archive on disk."""
+    spec = dataclasses.replace(SPEC, archive_path=I.archive(spark, sf_dir), store_path=new_folder(spark, "store"), output_path=new_folder(spark, "out"))
+    return audit_archive(spark, spec, rule_scorer(spec), "r1").merged.select("item_id", F.col("item_url").alias("tweet_url"), "deletion", "reason")
+
+
+def audit_new_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store whose verdicts were made under other criteria, or none: all posts are decided anew."""
+    store, out_dir = I.warm_store(spark, sf_dir), new_folder(spark, "audit")
+    run = run_audit(I.items(spark, sf_dir), store, rule_scorer(SPEC), SPEC, out_dir, "r1", match_criteria=True)
+    return run.merged.select("item_id", "deletion", "reason")
+
+
 def run_audit_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run with partly useless answers, then a second one for what is missing."""
     posts, store = I.items(spark, sf_dir), I.new_store(spark)
@@ -383,6 +487,8 @@ QUERIES = {
         collect_responses, store_latest, store_upsert, store_clear, store_compact, pending_anti_join,
         cached_semi_join, cached_lookup, missing_items, cache_stats, merge_dedupe, merge_by_chunk, keep_last,
         report_csv, report_full, chunk_completeness, coverage_stats, merge_reports, run_audit_rerun,
-        retry_what_is_missing,
+        retry_what_is_missing, score_resumed, score_with_failures, match_dictionary, collect_two_streams,
+        assign_chunk_parts, empty_chunks, merge_ordered, merge_written, merge_report_files, audit_from_archive,
+        audit_new_criteria,
     ]
 } | {"run_audit": run_audit_query}
