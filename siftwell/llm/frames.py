@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.session import new_folder
@@ -27,6 +28,25 @@ def written(df: DataFrame, label: str, codec: str = "zstd", by: Iterable[str] =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, label: str, **named: str | Column) -> DataFrame:
+    """These columns and row_key, a number of each row that stays the same whenever the frame is read.
+
+    Rows of a Parquet scan are numbered by file and place. Others have no address, and their order may
+    change when they are computed again, so they are written and then are such a scan.
+    """
+    columns = [(df[c] if isinstance(c, str) else c).alias(n) for n, c in named.items()]
+    address = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        rows = df.select(*columns, *address)
+    except AnalysisException:
+        rows = written(df.select(*columns), label).select(*named, *address)
+    counted = rows.groupBy("_file").agg(F.count("*").alias("n"))
+    # One row per file is all that this window sees.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(counted.select(F.col("_file").alias("_of"), before.alias("_before")), label)
+    return rows.join(starts, F.col("_file") == F.col("_of")).select(*named, (F.col("_before") + F.col("_row")).alias("row_key"))
+
+
 def only(df: DataFrame, **named: str | Column) -> DataFrame:
     """A frame of just these columns: extra ones, whatever their names, can't clash with an operator's own."""
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(n) for n, c in named.items()])

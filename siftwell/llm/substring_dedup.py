@@ -17,15 +17,15 @@ suffixes of a document spell its maximal repeats. The tree is never held as a wh
    prefixes of neighbours give its internal nodes; leaves of those at full depth are repeats.
 4. Their places come back to the documents as runs of words to remove.
 
-Words are runs outside x20 and x09 to x0D, unchanged. A word's hash has 64 bits, a path of 35
-words 192. Defined results: a null text has no words; a null id stays null; rows with equal ids
+Words are runs outside x20 and x09 to x0D, unchanged. A word's hash has 64 bits, a path 128 (64 for
+windows of up to 7 words). Defined results: a null text has no words; a null id stays null; rows with equal ids
 are documents of their own, and equal rows are repeats of each other, all of which go; windows
 don't cross documents; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.bit_filter import bitmap, holds
-from siftwell.llm.frames import arrow_schema, mapped, only, record_batch, written
+from siftwell.llm.frames import arrow_schema, mapped, numbered, record_batch, written
 from siftwell.llm.word_arrays import EXACT, buffer_of, mix, sliding, words
 
 LENGTH = 35
@@ -45,6 +45,13 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.dtype([("row", "<i8"), ("start", "<i4")])
 
 
+def widths(length: int) -> list[int]:
+    """Bytes of a path's symbols, 16 in all, or 8 each where they are too few for that."""
+    unit = min(UNIT, length)
+    n = len([*range(0, length - unit, unit)]) + 1
+    return [min(8, 16 // n + (k < 16 % n)) if n <= 16 else 1 for k in range(n)]
+
+
 class Windows:
     """The windows of `length` words of a slice of texts."""
 
@@ -82,10 +89,9 @@ class Windows:
         return runs[runs == best[: len(runs)]]
 
     def paths(self, at: np.ndarray) -> np.ndarray:
-        """(windows, bytes) big-endian symbols: 8 bytes of the first, 4 of each further one."""
-        first, *rest = self._starts(self.length)
-        parts = [self.of_unit[at + first].astype(">u8").view(np.uint8).reshape(-1, 8)]
-        parts += [(self.of_unit[at + k] >> np.uint64(32)).astype(">u4").view(np.uint8).reshape(-1, 4) for k in rest]
+        """(windows, bytes) the first bytes of each symbol, big-endian."""
+        starts = self._starts(self.length)
+        parts = [self.of_unit[at + k].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :w] for k, w in zip(starts, widths(self.length), strict=True)]
         return np.concatenate(parts, axis=1)
 
 
@@ -129,14 +135,11 @@ def suffixes(rows: DataFrame, length: int) -> DataFrame:
     return mapped(rows.select("row_key", "text"), step, "path binary, places binary", most=SLICE)
 
 
-def _symbols(depth: int) -> int:
-    """Bytes of a path's first symbols."""
-    return 8 + 4 * (depth - 1)
-
-
-def groups(rows: Iterator[tuple[bytes, bytes]], depth: int, most: int = GROUP) -> Iterator[list[tuple[bytes, bytes]]]:
+def groups(rows: Iterator[tuple[bytes, bytes]], sizes: list[int], most: int = GROUP) -> Iterator[list[tuple[bytes, bytes]]]:
     """Sorted (path, places) in lists of about `most`, cut where the shortest prefix changes that lets them fit.
 
+    sizes: the bytes of a path's prefixes of one symbol, two, and so on.
+
     Rows of one path that don't fit by themselves come in several lists, the last row of
     each at the head of the next.
     """
@@ -145,8 +148,7 @@ def groups(rows: Iterator[tuple[bytes, bytes]], depth: int, most: int = GROUP) -
         held.append(row)
         if len(held) <= most:
             continue
-        for d in range(1, depth + 1):
-            size = _symbols(d)
+        for size in sizes:
             last = held[-1][0][:size]
             cut = next((k for k in range(len(held) - 1, 0, -1) if held[k - 1][0][:size] != last), 0)
             if cut:
@@ -176,16 +178,16 @@ def deep_leaves(group: list[tuple[bytes, bytes]]) -> np.ndarray:
 
 def repeats(rows: DataFrame, length: int) -> DataFrame:
     """row_key and start of each window whose words also start elsewhere, some of them twice. rows: row_key and text, a written table."""
-    width = len([*range(0, length - min(UNIT, length), min(UNIT, length))]) + 1
+    sizes = np.cumsum(widths(length)).tolist()
     fields = arrow_schema(rows.sparkSession, "row_key long, start int")
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_order = ((p, x) for b in batches for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        for group in groups(in_order, width):
+        for group in groups(in_order, sizes):
             found = deep_leaves(group)
             yield record_batch({"row_key": np.ascontiguousarray(found["row"]), "start": np.ascontiguousarray(found["start"])}, fields)
 
-    by_prefix = suffixes(rows, length).repartition(F.substring("path", 1, _symbols(1))).sortWithinPartitions("path")
+    by_prefix = suffixes(rows, length).repartition(F.substring("path", 1, sizes[0])).sortWithinPartitions("path")
     return by_prefix.select("path", "places").mapInArrow(subtrees, "row_key long, start int")
 
 
@@ -202,8 +204,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """Per row: doc_id, n_words, n_removed, spans (start and end of the removed runs, in words) and kept (the other words, one space between)."""
     if length < 1:
         raise ValueError("a window has one word at least")
-    plain = only(docs, doc_id=id_col, text=docs[text_col].cast("string"))
-    rows = written(plain.withColumn("row_key", F.monotonically_increasing_id()), "substring-rows")
+    rows = numbered(docs, "substring-rows", doc_id=id_col, text=docs[text_col].cast("string"))
     found = repeats(rows, length).groupBy("row_key").agg(F.collect_list("start").alias("starts"))
     run = "array<struct<start: int, end: int>>"
     fields = arrow_schema(docs.sparkSession, f"key long, runs {run}")
@@ -215,10 +216,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     removed = written(found.mapInArrow(runs, f"key long, runs {run}"), "substring-runs")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, spans {run}, kept string"
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap(removed.select(F.xxhash64("key").alias("h"))))
 
-    def cut(batch: pa.RecordBatch) -> Iterator[dict]:
+    def having(wanted: bool) -> Callable[[pa.RecordBatch], Iterator[dict]]:
+        def some(batch: pa.RecordBatch) -> Iterator[dict]:
+            part = batch.filter(pa.array(holds(marked.value, batch.column("hash").to_numpy().view(np.uint64)) == wanted))
+            yield {"doc_id": part.column("doc_id"), "text": part.column("text"), "row_key": part.column("row_key")} if wanted else cut_rows(part, [None] * part.num_rows)
+
+        return some
+
+    def cut_rows(batch: pa.RecordBatch, runs: list) -> dict:
         n, gone, kept, spans = [], [], [], []
-        for text, own in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+        for text, own in zip(batch.column("text").to_pylist(), runs, strict=True):
             # On bytes, split() parts at exactly x20 and x09 to x0D.
             every = (text or "").encode().split()
             left, at = [], 0
@@ -230,7 +239,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             gone.append(len(every) - len(left))
             kept.append(b" ".join(left).decode())
             spans.append(own or [])
-        yield {"doc_id": batch.column("doc_id"), "n_words": n, "n_removed": gone, "spans": spans, "kept": kept}
+        return {"doc_id": batch.column("doc_id"), "n_words": n, "n_removed": gone, "spans": spans, "kept": kept}
+
+    def cut(batch: pa.RecordBatch) -> Iterator[dict]:
+        yield cut_rows(batch, batch.column("runs").to_pylist())
 
-    whole = rows.join(removed, F.col("row_key") == F.col("key"), "left").select("doc_id", "text", "runs")
-    return mapped(whole, cut, schema)
+    # Texts of documents without a repeat are not shuffled for the join: the bitmap tells most of them apart.
+    hashed = rows.withColumn("hash", F.xxhash64("row_key"))
+    own = mapped(hashed, having(True), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, row_key long")
+    whole = own.join(removed, F.col("row_key") == F.col("key"), "left").select("doc_id", "text", "runs")
+    return mapped(whole, cut, schema).unionByName(mapped(hashed, having(False), schema))
