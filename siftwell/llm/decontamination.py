@@ -53,9 +53,14 @@ MAX_SHARE = 0.2
 BLOCK_CHARS = 8_000_000
 _SCHEMA = "doc_id long, item_id long, start long, end long, distance long"
 _TABLE_BITS = np.uint64(48)
-RUNS = (8, 6, 5, 4, 3, 2)
+RUNS = (8, 7, 6, 5, 4, 3, 2)
+#: The runs that an item must keep for the longest of RUNS to be taken, so that few texts share as many by chance.
+KEPT = 4
 FINE = 4
 LOSS = 0.01
+#: A run that more items have than this number and this share of them is common.
+COMMON_ITEMS = 2
+COMMON_SHARE = 0.01
 #: Pairs of a run and an item counted at a time.
 _COUNTED = 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,23 +68,42 @@ _LOWER[65:91] += 32
 _LOWER[9:14] = 32
 
 
-def _runs(data: np.ndarray, q: int) -> np.ndarray:
-    """The run of q bytes at each place, as a number; A-Z as a-z, white space as a space."""
-    data, n = _LOWER[data].astype(np.uint64), max(0, len(data) - q + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(q):
-        out = (out << np.uint64(8)) | data[k : k + n]
-    return out
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a big-endian number, blanks behind the end; A-Z as a-z, white space as a space."""
+    padded = np.concatenate([_LOWER[data], np.full(8, 32, np.uint8)])
+    return np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(np.uint64)
+
+
+def _runs(eights: np.ndarray, q: int) -> np.ndarray:
+    """The run of q bytes at each place."""
+    return eights[: max(0, len(eights) - q + 1)] >> np.uint64(64 - 8 * q)
+
+
+def _slot(runs: np.ndarray, shift: np.uint64) -> np.ndarray:
+    """Where a run's bit is in a table of 2**(64 - shift)."""
+    return ((runs * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+
+
+def _rare(runs: np.ndarray, items: np.ndarray, n: int) -> np.ndarray:
+    """Which runs are in few of the n items: those of everyday words, which any text shares, are not."""
+    _, number = np.unique(runs, return_inverse=True)
+    pairs = np.unique(number * (int(items.max()) + 1) + items) // (int(items.max()) + 1) if len(items) else number
+    return np.bincount(pairs, minlength=len(runs))[number] <= max(COMMON_ITEMS, COMMON_SHARE * n)
 
 
 @functools.cache
-def kept_runs(size: int, q: int, loss: float, share: float = MAX_SHARE) -> int:
-    """How many runs of q bytes all but a share `loss` of texts of this size keep when int(share * size) random bytes are edited."""
+def kept_runs(size: int, q: int, loss: float, share: float = MAX_SHARE, counted: float = 1.0) -> int:
+    """How many runs of q bytes all but a share `loss` of texts of this size keep when int(share * size) random bytes are edited.
+
+    Only a share `counted` of the runs, at random places, counts.
+    """
     if size < q:
         return 0
-    edited = np.random.default_rng(31).random((2000, size)).argsort(1) < int(share * size)
+    rng = np.random.default_rng(31)
+    edited = rng.random((2000, size)).argsort(1) < int(share * size)
     sums = np.concatenate([np.zeros((2000, 1), int), edited.cumsum(1)], 1)
-    return int(np.quantile((sums[:, q:] == sums[:, :-q]).sum(1), loss, method="lower"))
+    kept = (sums[:, q:] == sums[:, :-q]) & (rng.random((2000, size - q + 1)) < counted)
+    return int(np.quantile(kept.sum(1), loss, method="lower"))
 
 
 def edit_search(pattern: str, text: str, most: float) -> tuple[int, int, int] | None:
@@ -155,90 +179,110 @@ class Index:
         self._window()
 
     def _window(self) -> None:
-        """Of each q: its items' sorted runs, where the items of each begin and how many they are, and those items; per item, half a window and the runs to share."""
+        """Of each q: its items' sorted runs, and for each the items that have it and where; per item its size, the edits allowed and the runs to share."""
         #: Items of more bytes are rounded down, so that few sizes have to be drawn.
         sized = lambda m: m if m < 256 else min(2048, 1 << (m.bit_length() - 1) | (m & (7 << (m.bit_length() - 4))))
         data = [np.frombuffer(text.encode(), np.uint8) for _, text, _ in self.items]
-        sizes = [len(d) for d in data]
-        self.half = np.array([max(8, 1 << (m - 1).bit_length() >> 1) for m in sizes], np.int64)
+        self.sizes = np.array([len(d) for d in data], np.int64)
+        self.edits = (MAX_SHARE * self.sizes).astype(np.int64)
         self.least = np.zeros(len(data), np.int64)
-        #: Per item with long runs: its runs of FINE bytes, sorted, where they lie in it, how many to share, and edits allowed.
-        self.fine: dict[int, tuple[np.ndarray, np.ndarray, int, int]] = {}
         by_q: dict[int, list[int]] = defaultdict(list)
-        for k, m in enumerate(sizes):
-            if int(MAX_SHARE * m) < 1:
-                continue
-            n = sized(m)
-            q = next((q for q in RUNS if kept_runs(n, q, LOSS) >= 2), RUNS[-1])
-            self.least[k] = max(1, kept_runs(n, q, LOSS))
-            by_q[q].append(k)
-            if q > FINE:
-                short = _runs(data[k], FINE)
+        for k, m in enumerate(self.sizes.tolist()):
+            if self.edits[k] >= 1:
+                by_q[next((q for q in RUNS if kept_runs(sized(m), q, LOSS) >= KEPT), RUNS[-1])].append(k)
+        #: Per item its runs of FINE bytes, sorted, where they lie in it, and how many a match has in line.
+        self.fine: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+        for k, m in enumerate(self.sizes.tolist()):
+            if (least := kept_runs(sized(m), FINE, LOSS / 10)) > 1:
+                short = _runs(_eights(data[k]), FINE)
                 order = np.argsort(short, kind="stable")
-                self.fine[k] = (short[order], order, kept_runs(n, FINE, LOSS / 10), int(MAX_SHARE * m))
+                self.fine[k] = (short[order], order, least)
         self.windows = []
         for q, mine in by_q.items():
-            own = [np.unique(_runs(data[k], q)) for k in mine]
+            own = [_runs(_eights(data[k]), q) for k in mine]
             flat, items = np.concatenate(own), np.repeat(mine, [len(x) for x in own])
+            places = np.concatenate([np.arange(len(x)) for x in own])
+            rare = _rare(flat, items, len(mine))
+            for k, x in zip(mine, np.split(rare, np.cumsum([len(x) for x in own])[:-1]), strict=True):
+                # An item of common runs only is found by all of its runs.
+                eighths = int(8 * x.mean())
+                enough = kept_runs(sized(int(self.sizes[k])), q, LOSS, counted=eighths / 8) if eighths else 0
+                if enough < 2:
+                    x[:] = True
+                    enough = kept_runs(sized(int(self.sizes[k])), q, LOSS)
+                self.least[k] = max(1, enough)
+            flat, items, places = flat[rare], items[rare], places[rare]
             order = np.argsort(flat, kind="stable")
             runs, first, count = np.unique(flat[order], return_index=True, return_counts=True)
-            self.windows.append((q, runs, _table(set(mix(runs).tolist())), first, count, items[order]))
+            bits = min(24, max(10, (16 * len(runs)).bit_length()))
+            table, shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
+            table[_slot(runs, shift)] = True
+            self.windows.append((q, runs, table, shift, first, count, items[order], places[order]))
 
-    def regions(self, data: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first byte, end) of the windows of data that share enough runs with an item."""
+    def regions(self, eights: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, first byte, end) of the windows of data that share enough runs with an item, in line.
+
+        A run that text and item share says where the item would begin. Edits shift that place by their
+        number at most, so the runs that a whole item keeps lie in two neighbouring cells of twice as many places.
+        """
         found = []
-        for q, runs, table, first, count, items in self.windows:
-            here = _runs(data, q)
-            at = np.flatnonzero(table[(mix(here) >> _TABLE_BITS).astype(np.int64)])
+        for q, runs, table, shift, first, count, items, places in self.windows:
+            here = _runs(eights, q)
+            at = np.flatnonzero(table[_slot(here, shift)])
             near = np.minimum(np.searchsorted(runs, here[at]), len(runs) - 1)
             same = runs[near] == here[at]
             at, near = at[same], near[same]
             if not len(at):
                 continue
-            span = len(data) // 8 + 4  # more than the places of any item
+            most = int(self.sizes[items].max())  # no item begins further ahead of the data
+            span = len(eights) + most + 4  # more than the cells of any item
             keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
             total = np.cumsum(count[near])
             a = 0
             while a < len(at):
                 b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + _COUNTED, "right")))
                 n = count[near[a:b]]
-                item = items[np.repeat(first[near[a:b]] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
-                got, times = np.unique(item * span + np.repeat(at[a:b], n) // self.half[item], return_counts=True)
+                posting = np.repeat(first[near[a:b]] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+                item = items[posting]
+                begin = np.repeat(at[a:b], n) - places[posting] + most
+                got, times = np.unique(item * span + begin // (2 * self.edits[item] + 1), return_counts=True)
                 both, into = np.unique(np.append(keys, got), return_inverse=True)
                 keys, sums = both, np.bincount(into, np.append(sums, times)).astype(np.int64)
                 a = b
-            # A window is three halves in a row. It begins at a half with a run, or at the one before or two before.
+            # A window is two cells in a row. It begins at a cell with a run, or at the one before.
             begins = np.unique(np.concatenate([keys, keys - 1]))
             shared = np.zeros(len(begins), np.int64)
-            for k in range(3):
+            for k in range(2):
                 place = np.minimum(np.searchsorted(keys, begins + k), len(keys) - 1)
                 shared += np.where(keys[place] == begins + k, sums[place], 0)
-            item = (begins + 1) // span  # the half before the first of an item is still its own
+            item = (begins + 1) // span  # the cell before the first of an item is still its own
             enough = shared >= self.least[item]
             # Windows in a row are one region.
             begins, item = begins[enough], item[enough]
             starts = np.flatnonzero(np.append(True, (np.diff(begins) > 1) | (np.diff(item) > 0))) if len(begins) else begins
             ends = np.append(starts[1:], len(begins))[: len(starts)] - 1
             for k, x, y in zip(item[starts].tolist(), begins[starts].tolist(), begins[ends].tolist(), strict=True):
-                half = int(self.half[k])
-                found.append((k, max(0, (x - k * span) * half), min(len(data), (y - k * span + 3) * half + q)))
+                cell, edits = 2 * int(self.edits[k]) + 1, int(self.edits[k])
+                low, high = (x - k * span) * cell - most, (y - k * span + 2) * cell - most + int(self.sizes[k])
+                found.append((k, max(0, low - edits), min(len(eights), high + edits)))
         return found
 
-    def in_line(self, item: int, data: np.ndarray) -> list[tuple[int, int]]:
-        """(first byte, end) of the parts of data that share enough short runs with the item, on diagonals no further apart than edits allow."""
-        runs, places, least, edits = self.fine[item]
-        here = _runs(data, FINE)
+    def in_line(self, item: int, eights: np.ndarray) -> bool:
+        """Whether a part of a text shares enough short runs with the item on diagonals no further apart than edits allow."""
+        if item not in self.fine:
+            return True
+        runs, places, least = self.fine[item]
+        here = _runs(eights, FINE)
         low = np.searchsorted(runs, here)
         met = np.flatnonzero(runs[np.minimum(low, len(runs) - 1)] == here)
-        if len(met) == 0:
-            return []
+        if len(met) < least:
+            return False
         low = low[met]
         n = np.searchsorted(runs, here[met], "right") - low
         at = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        sums = np.append(0, np.cumsum(np.bincount(np.repeat(met, n) - places[at] + len(runs), minlength=edits + 1)))
-        good = np.flatnonzero(sums[edits + 1 :] - sums[: -edits - 1] >= max(1, least))
-        groups = np.split(good, np.flatnonzero(np.diff(good) > edits) + 1) if len(good) else []
-        return [(int(g[0]) - len(runs) - edits, int(g[-1]) + FINE + 2 * edits) for g in groups]
+        edits = int(self.edits[item])
+        sums = np.append(0, np.cumsum(np.bincount(np.repeat(met, n) - places[at] + len(runs), minlength=2 * edits + 1)))
+        return bool((sums[2 * edits + 1 :] - sums[: -2 * edits - 1]).max() >= least)
 
     def candidates(self, hashes: np.ndarray) -> set[tuple[int, int, int]]:
         """(word, item, the window's own word) where the item's first word would be that of the text, for windows at all words."""
@@ -314,18 +358,14 @@ def hits_of(index: Index, texts: pa.Array, max_share: float = MAX_SHARE) -> list
         # A walk may begin in one text and end in the next, and the item's ends may be cut off where its window is.
         for t in {int(owner[min(max(x, 0), len(owner) - 1)]) for x in (w, at, w + n - 1)}:
             by_item[t, k].add((max(int(first[t]), w - slack), min(int(last[t]), w + n + slack)))
-    for k, low, high in index.regions(data):
+    eights = _eights(data)
+    for k, low, high in index.regions(eights):
         # Words that begin before the window or end after it are whole in the region.
         a, b = int(np.searchsorted(ends, low, "right")), int(np.searchsorted(starts, high))
-        slack = 2 + int(index.items[k][2] * max_share)
         for t in range(int(owner[a]), int(owner[b - 1]) + 1) if a < b else ():
-            x, y = max(int(first[t]), a - slack), min(int(last[t]), b + slack)
-            if x < y and k not in index.fine:
+            x, y = max(int(first[t]), a), min(int(last[t]), b)
+            if x < y:
                 by_item[t, k].add((x, y))
-            elif x < y:
-                base = int(starts[x])
-                for low, high in index.in_line(k, data[base : int(ends[y - 1])]):
-                    by_item[t, k].add((max(x, int(np.searchsorted(ends, base + low, "right"))), min(y, int(np.searchsorted(starts, base + high)))))
     out = []
     for (text, k), places in by_item.items():
         item_id, pattern, _ = index.items[k]
@@ -335,6 +375,8 @@ def hits_of(index: Index, texts: pa.Array, max_share: float = MAX_SHARE) -> list
             if a >= b:
                 continue
             low, high = int(starts[a]), int(ends[b - 1])
+            if not index.in_line(k, eights[low:high]):
+                continue
             shift = len(data[int(offsets[text]) : low].tobytes().decode(errors="replace"))
             parts = [(shift, plain(data[low:high].tobytes().decode(errors="replace")))]
             while parts:
