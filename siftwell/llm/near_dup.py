@@ -32,7 +32,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.frames import arrow_schema, mapped, only, record_batch, written
@@ -44,6 +45,11 @@ ROUNDS = 3
 BITS = 512
 BLOCK_DOCS = 256
 BLOCK_SHINGLES = 2_000_000
+#: Members of a block of a mixed bucket, and their shingles.
+FAR_DOCS = 1024
+FAR_SHINGLES = 1_000_000
+#: Standard deviations by which the one-bit bound lies beyond what a pair at the least similarity differs in.
+DEVIATIONS = 5
 _FACTORS = np.random.default_rng(97).integers(1, 1 << 62, 2 * SIDE * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BIT_FACTORS = np.random.default_rng(98).integers(1, 1 << 62, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -100,9 +106,9 @@ def one_bits(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def most_bits(percent: int) -> int:
-    """Places in which a pair linked at this similarity differs at most, but for three standard deviations and a bit."""
+    """Places in which a pair linked at this similarity differs at most, but for five standard deviations."""
     share = (1 - percent / 100) / 2
-    return round(BITS * share + 3.2 * (BITS * share * (1 - share)) ** 0.5)
+    return round(BITS * share + DEVIATIONS * (BITS * share * (1 - share)) ** 0.5)
 
 
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -217,23 +223,26 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     sketch = written(sketches(rows, size, "doc_id", "text"), "sketches")
     same = ["n", "s1", "s2"]
     # Equal sets have equal subkeys, so any will do; the first minimum is as good as any.
-    classes = written(sketch.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")).filter("rep is not null"), "classes")
+    grouped = sketch.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("home"), F.first("a").alias("a"), F.first("b").alias("b"))
+    # Classes have numbers of their own: rows that share an id may be of several classes.
+    classes = written(grouped.filter("home is not null").withColumn("rep", F.monotonically_increasing_id()), "classes")
     table = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, j, x, y))))
     keys = classes.select("rep", "n", F.posexplode(table).alias("t", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     buckets = written(keys.join(shared, "key", "left_semi"), "buckets")
-    meeting = buckets.select("rep").distinct().join(classes.select("rep", "s1"), "rep")
-    words_ = [f"w{k}" for k in range(BITS // 64)]
-    schema = "rep long, n long, shingles binary, a array<long>, b array<long>, x array<smallint>, y array<smallint>, " + ", ".join(f"{w} long" for w in words_)
+    meeting = buckets.select("rep").distinct().join(classes.select("rep", "home", "s1", "s2"), "rep")
+    schema = "rep long, n long, shingles binary, a array<long>, b array<long>, heads binary, bits binary"
 
     def full(batch: pa.RecordBatch) -> Iterator[dict]:
         sets = shingle_sets(batch.column("text"), size)
-        own = [i for i, (got, named) in enumerate(zip(_sums(sets, 3), batch.column("s1").to_pylist(), strict=True)) if got == named]
+        got = zip(_sums(sets, 3), _sums(sets, 4), batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True)
+        own = [i for i, (s1, s2, t1, t2) in enumerate(got) if s1 == t1 and s2 == t2]
         sets, reps = [sets[i] for i in own], batch.column("rep").to_pylist()
         a, b = subkeys(sets)
-        yield {"rep": [reps[i] for i in own], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets], "a": list(a), "b": list(b), "x": list((a >> 48).astype(np.int16)), "y": list((b >> 48).astype(np.int16))} | dict(zip(words_, one_bits(sets).T, strict=True))
+        heads = (np.concatenate([a, b], axis=1) >> 32).astype(np.int32)
+        yield {"rep": [reps[i] for i in own], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets], "a": list(a), "b": list(b), "heads": [h.tobytes() for h in heads], "bits": [x.tobytes() for x in one_bits(sets)]}
 
-    found = rows.join(meeting, F.col("doc_id") == F.col("rep")).select("rep", "s1", "text")
+    found = rows.join(meeting, F.col("doc_id") == F.col("home")).select("rep", "s1", "s2", "text")
     sets = written(mapped(found, full, schema), "sets")
     near = _neighbour_links(sets, 0, percent)
     for round_ in range(1, ROUNDS):
@@ -242,7 +251,9 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     far = written(_far_links(buckets, first, sets, percent), "links")
     # Stars of the first components stand for all their links.
     joined = components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(far))
-    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    placed = classes.join(joined, F.col("rep") == F.col("node"), "left").select(*same, "home", F.coalesce("component", "rep").alias("group"))
+    least = placed.groupBy("group").agg(F.min("home").alias("component"))
+    named = placed.join(least, "group").select(*same, "component")
     whole = sketch.join(named, same, "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
     out = whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -250,34 +261,137 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
 
 def _far_links(buckets: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links between members of one bucket that lie in different components."""
+    """Verified links between members of one bucket that lie in different components.
+
+    Members of a bucket are packed into blocks, which a task compares whole with each other. What
+    moves between tasks are blocks, and the sets of classes that a block's comparison names.
+    """
     placed = buckets.join(first, F.col("rep") == F.col("node"), "left").select("key", "t", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-    named = [f"w{k}" for k in range(BITS // 64)]
     # A class lies in SIDE * SIDE tables at most; it meets its sketch once, not once for each of them.
     tables = placed.join(mixed, "key", "left_semi").groupBy("rep").agg(F.first("c").alias("c"), F.collect_list(F.struct("t", "key")).alias("tables"))
-    marked = written(sets.select("rep", "n", "x", "y", *named).join(tables, "rep"), "marked")
-    left = marked.select("rep", "n", "c", "x", "y", *named, F.inline("tables"))
-    right = left.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), *[F.col(w).alias(f"{w}_2") for w in ("x", "y", *named)])
-
-    def first_same(one: str) -> Column:
-        """The first place where the upper 16 bits of the subkeys agree: the table in which a pair is listed."""
-        at = F.filter(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda k: F.get(one, k) == F.get(f"{one}_2", k))
-        return F.get(at, 0)
-
-    here = (F.floor(F.col("t") / SIDE) == first_same("x")) & (F.col("t") % SIDE == first_same("y"))
-    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_2"))) for w in named[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("w0_2"))))
-    alike = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("c") < F.col("c2")) & (apart <= most_bits(percent)) & here
-    pairs = left.join(right, "key").filter(alike).select("rep", "rep2").distinct()
-    held = pairs.join(sets.select("rep", F.col("shingles").alias("s")), "rep").join(sets.select(F.col("rep").alias("rep2"), F.col("shingles").alias("s2")), "rep2")
-
-    def verify(batch: pa.RecordBatch) -> Iterator[dict]:
+    marked = written(sets.select("rep", "n", "heads", "bits").join(tables, "rep"), "marked")
+    order = ["key", "c", "n", "rep"]
+    listed = marked.select("rep", "n", "c", "heads", "bits", F.inline("tables")).repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = written(_packed(listed), "blocks")
+    right = blocks.select([F.col(c).alias(f"{c}_2") for c in blocks.columns])
+    after = (F.col("part_2") > F.col("part")) | ((F.col("part_2") == F.col("part")) & (F.col("num_2") > F.col("num")))
+    apart = (F.col("low") != F.col("low_2")) | (F.col("high") != F.col("high_2")) | (F.col("low") != F.col("high"))
+    alike = (F.col("most") * 100 >= F.col("least_2") * percent) & (F.col("most_2") * 100 >= F.col("least") * percent)
+    met = blocks.join(right, (F.col("key") == F.col("key_2")) & after & apart & alike).drop("key_2")
+    alone = blocks.filter("low < high")
+    near = _alike(alone, percent).unionByName(_alike(met, percent))
+    held = near.join(sets.select(F.col("rep").alias("r"), "shingles"), F.col("rep") == F.col("r")).select("block", "rep", "partners", "shingles")
+    fields = arrow_schema(sets.sparkSession, "u long, v long")
+
+    def verify(rows: pa.Table) -> pa.Table:
+        own = dict(zip(rows.column("rep").to_pylist(), (np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()), strict=True))
+        group = {r: r for r in own}
+
+        def head(r: int) -> int:
+            while group[r] != r:
+                group[r] = r = group[group[r]]
+            return r
+
         out: list[tuple[int, int]] = []
-        for u, v, s, t in zip(*[batch.column(c).to_pylist() for c in ("rep", "rep2", "s", "s2")], strict=True):
-            s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-            inter = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * inter >= percent * (len(s) + len(t) - inter):
-                out.append((max(u, v), min(u, v)))
-        yield {"u": [p[0] for p in out], "v": [p[1] for p in out]}
-
-    return mapped(held, verify, "u long, v long", text="s")
+        for u, partners in sorted(zip(rows.column("rep").to_pylist(), rows.column("partners").to_pylist(), strict=True)):
+            for v in partners:
+                # Links already found may have joined the two.
+                if v not in own or head(u) == head(v):
+                    continue
+                s, t = own[u], own[v]
+                inter = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * inter >= percent * (len(s) + len(t) - inter):
+                    group[head(u)] = head(v)
+                    out.append((max(u, v), min(u, v)))
+        return pa.Table.from_batches([record_batch({"u": [p[0] for p in out], "v": [p[1] for p in out]}, fields)])
+
+    return held.groupBy("block").applyInArrow(verify, "u long, v long")
+
+
+_PACKED = "key long, t int, part int, num int, low long, high long, least long, most long, reps binary, cs binary, ns binary, heads binary, bits binary"
+
+
+def _packed(listed: DataFrame) -> DataFrame:
+    """Members of each bucket in blocks of at most FAR_DOCS and, unless it is one, FAR_SHINGLES shingles; rows in order of key."""
+    fields = arrow_schema(listed.sparkSession, _PACKED)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, num, held, size = TaskContext.get().partitionId(), 0, [], 0
+        key = None
+
+        def block() -> dict:
+            reps, cs, ns = (np.array([h[k] for h in held], np.int64) for k in (1, 2, 3))
+            return {
+                **dict(zip(("key", "t", "part", "num"), (key, held[0][0], part, num), strict=True)),
+                **{"low": int(cs.min()), "high": int(cs.max()), "least": int(ns.min()), "most": int(ns.max())},
+                **{"reps": reps.tobytes(), "cs": cs.tobytes(), "ns": ns.tobytes()},
+                **{"heads": b"".join(h[4] for h in held), "bits": b"".join(h[5] for h in held)},
+            }
+
+        for batch in batches:
+            out: list[dict] = []
+            for k, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "t", "rep", "c", "n", "heads", "bits")], strict=True):
+                if held and (k != key or len(held) == FAR_DOCS or size + row[3] > FAR_SHINGLES):
+                    out.append(block())
+                    num, held, size = num + 1, [], 0
+                key = k
+                held.append(row)
+                size += row[3]
+            if out:
+                yield record_batch({f.name: [o[f.name] for o in out] for f in fields}, fields)
+        if held:
+            last = block()
+            yield record_batch({f.name: [last[f.name]] for f in fields}, fields)
+
+    return listed.mapInArrow(pack, _PACKED)
+
+
+def _alike(blocks: DataFrame, percent: int) -> DataFrame:
+    """block, rep, partners: members of a block, or of two, that may be linked to members of another component.
+
+    A pair is named in one table only, the first in which its subkeys agree.
+    """
+    schema = "block string, rep long, partners array<long>"
+    fields = arrow_schema(blocks.sparkSession, schema)
+    two = "key_2" in blocks.columns or "reps_2" in blocks.columns
+
+    def side(row: dict, end: str) -> tuple[np.ndarray, ...]:
+        reps, cs, ns = (np.frombuffer(row[c + end], np.int64) for c in ("reps", "cs", "ns"))
+        return reps, cs, ns, np.frombuffer(row["heads" + end], np.uint32).reshape(-1, 2 * SIDE), np.frombuffer(row["bits" + end], np.uint64).reshape(-1, BITS // 64)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                left = side(row, "")
+                right = side(row, "_2") if two else left
+                partners = _partners(left, right, row["t"], percent)
+                if partners:
+                    name = f"{row['key']} {row['part']} {row['num']}" + (f" {row['part_2']} {row['num_2']}" if two else "")
+                    yield record_batch({"block": [name] * len(partners), "rep": list(partners), "partners": list(partners.values())}, fields)
+
+    return blocks.mapInArrow(compare, schema)
+
+
+def _partners(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], t: int, percent: int) -> dict[int, list[int]]:
+    """For the members that may be linked across components: on the left their partners, on the right none."""
+    reps, cs, ns, heads, bits = left
+    reps2, cs2, ns2, heads2, bits2 = right
+    signs = [2 * np.unpackbits(b.view(np.uint8), axis=1).astype(np.float32) - 1 for b in (bits, bits2)]
+    # The product of signs is the places that agree, less those that differ.
+    near = signs[0] @ signs[1].T >= BITS - 2 * most_bits(percent)
+    near &= (cs[:, None] != cs2) & (np.minimum(ns[:, None], ns2) * 100 >= np.maximum(ns[:, None], ns2) * percent)
+    if left is right:
+        near = np.triu(near, 1)
+    i, j = np.nonzero(near)
+    out: dict[int, list[int]] = {}
+    for a in range(0, len(i), 1 << 16):
+        u, v = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+        same = heads[u] == heads2[v]
+        here = same[:, t // SIDE] & same[:, SIDE + t % SIDE]
+        here &= (same[:, :SIDE].argmax(1) == t // SIDE) & (same[:, SIDE:].argmax(1) == t % SIDE)
+        for x, y in zip(reps[u[here]].tolist(), reps2[v[here]].tolist(), strict=True):
+            out.setdefault(x, []).append(y)
+            out.setdefault(y, [])
+    return out
