@@ -2,6 +2,7 @@
 
 from siftwell.operators.items import assign_chunks, drop_invalid_ids, resolve_ids, select_chunk
 from siftwell.operators.merge import latest_by_key, merge_verdicts
+from siftwell.operators.numbering import number_rows
 from siftwell.operators.pending import cached_lookup, missing_items, split_pending
 from siftwell.operators.report import full_report_lines, report
 from siftwell.operators.requests import render_requests
@@ -16,15 +17,17 @@ from siftwell.plans.audit import (
     rule_scorer,
     run_audit,
 )
-from siftwell.plans.merging import merge_report_files, merge_reports
+from siftwell.plans.merging import merge_report_files, merge_reports, publish_merged
 from siftwell.session import build_session
 from siftwell.sources.archive import import_archive, scan_archive
+from siftwell.sources.ledger import AnswerLedger
 from siftwell.sources.responses import scan_responses
 from siftwell.sources.store import VerdictStore
 from siftwell.spec import AuditSpec, Criteria, UrlSpec, load_spec
 from siftwell.streaming.collector import collect_responses
 
 __all__ = [
+    "AnswerLedger",
     "AuditResult",
     "AuditSpec",
     "Client",
@@ -48,7 +51,9 @@ __all__ = [
     "merge_reports",
     "merge_verdicts",
     "missing_items",
+    "number_rows",
     "parse_responses",
+    "publish_merged",
     "render_requests",
     "report",
     "resolve_ids",
