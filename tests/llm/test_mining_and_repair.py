@@ -294,7 +294,7 @@ def passages():
 def test_removed_words_are_those_of_brute_force(spark, monkeypatch, passages, length, group):
     monkeypatch.setattr(substring_dedup, "SLICE", 2000)
     real = substring_dedup.groups
-    monkeypatch.setattr(substring_dedup, "groups", lambda rows, depth: real(rows, depth, group))
+    monkeypatch.setattr(substring_dedup, "groups", lambda rows, sizes: real(rows, sizes, group))
     df = spark.createDataFrame([(k, t, 1, "p") for k, t in enumerate(passages)], "doc_id long, text string, row_key int, path string").repartition(5)
     got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(df, length).collect()}
     want = brute_removed(passages, length)
@@ -311,7 +311,7 @@ def test_groups_cut_at_the_shortest_prefix_that_fits():
     paths = sorted(bytes([rng.choice([0, 0, 0, 1])]) * 8 + bytes([rng.choice([0, 0, 1])]) * 4 + bytes([rng.randint(0, 3)] * 4) for _ in range(300))
     rows = [(p, bytes([k % 256])) for k, p in enumerate(paths)]
     for most in (1, 5, 30, 1000):
-        found = list(substring_dedup.groups(iter(rows), 3, most))
+        found = list(substring_dedup.groups(iter(rows), [8, 12, 16], most))
         flat = [r for k, g in enumerate(found) for r in (g[1:] if k and g[0] == found[k - 1][-1] else g)]
         assert flat == rows and max(map(len, found)) <= most + 1
 
