@@ -3,9 +3,10 @@
 Texts are lower-cased in A-Z, split at . , ; : ! ? and x0A to x0D into pieces, and those at
 blanks and tabs into words. All counts are per language; a null language is `und`.
 
-1. Local mining. Texts are dealt out in shards of SHARD bytes, which a task mines completely:
-   all phrases of 1 to LONGEST words, by hash. A shard that holds the share w of all bytes
-   reports those found at least t = ceil(w * support) times. A phrase reported by no shard
+1. Local mining. Texts are dealt out in shards of about SHARD bytes, which a task mines completely:
+   all phrases of 1 to LONGEST words, by hash, those of a length where both phrases one word shorter
+   are frequent in the shard. A shard that holds the share w of all bytes
+   reports what it has at least t = ceil(w * support) times. A phrase reported by no shard
    is found less than w * support times in each, so less than `support` times in all.
 2. Union. Where a shard doesn't report a phrase, it holds it t - 1 times at most. A phrase is
    a candidate if the reported counts and those bounds reach the support; the sum is taken
@@ -43,11 +44,13 @@ LONGEST = 4
 TOP = 2000
 COVERED_PERCENT = 80
 SCALE = 2_000_000
-#: Bytes of text that are mined together at most, the least number of shards, and bytes that are hashed or counted at a time.
+#: Bytes of text that are mined together, about, the least number of shards, and bytes that are hashed or counted at a time.
 SHARD = 64 << 20
 LEAST_SHARDS = 8
 SLICE = 8 << 20
 SALTS = 64
+#: Numbers worked on at a time where an array is as long as a shard has words.
+STRETCH = 1 << 18
 BREAKS = b".,;:!?\n\v\f\r"
 _ALPHABET = Alphabet(b" \t" + BREAKS, folded=True)
 _BREAK = np.zeros(256, bool)
@@ -69,11 +72,14 @@ class Slice:
         piece = np.searchsorted(np.flatnonzero(_BREAK[self.data]), self.starts)
         self.linked = (piece[1:] == piece[:-1]) & (self.owner[1:] == self.owner[:-1])
 
+    def seeds(self) -> np.ndarray:
+        """A number of each text's language."""
+        return np.array([language_hash(x) for x in self.langs], np.uint64)
+
     def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length: hashes that tell languages apart, and the first word of each phrase."""
-        seed = np.array([language_hash(x) for x in self.langs], np.uint64)
         at = np.arange(len(self.hashes))
-        found = mix(self.hashes + seed[self.owner])
+        found = mix(self.hashes + self.seeds()[self.owner])
         yield 1, found, at
         for n in range(2, longest + 1):
             on = at + n - 2 < len(self.linked)
@@ -93,16 +99,42 @@ def local_support(own: int, total: int, support: int) -> int:
     return max(1, -(-support * own // total))
 
 
-def shards(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
-    """Slices in lists of about `most` bytes."""
-    held, size = [], 0
-    for piece in pieces(batches, "text", min(SLICE, most)):
-        held.append(piece)
-        size += piece.column("text").nbytes
-        if size >= most:
+class Shard:
+    """Words of many slices: hash, language and whether the next word is in the same piece. Texts are let go.
+
+    Room for the most words that the bytes can hold is reserved at once; what isn't written to takes no memory.
+    """
+
+    def __init__(self, most: int):
+        room = most // 2 + 1
+        self.hashes, self.spoken, self.linked = np.empty(room, np.uint64), np.empty(room, np.uint16), np.empty(room, bool)
+        self.n, self.size, self.languages = 0, 0, {}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        s = Slice(batch)
+        stop = self.n + len(s.hashes)
+        if stop > len(self.hashes):  # a text longer than all that was reserved for
+            self.hashes, self.spoken, self.linked = (np.concatenate([x[: self.n], np.empty(stop, x.dtype)]) for x in (self.hashes, self.spoken, self.linked))
+        here = slice(self.n, stop)
+        place = np.array([self.languages.setdefault(x, len(self.languages)) for x in s.langs])
+        if len(self.languages) > 1 << 16:
+            self.spoken = self.spoken.astype(np.uint32)
+        self.hashes[here], self.spoken[here] = s.hashes, place[s.owner]
+        self.linked[here] = np.append(s.linked, False)[: len(s.hashes)]
+        self.n, self.size = stop, self.size + text_bytes(batch)
+
+
+def shards(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[Shard]:
+    """What a task reads in shards of up to `most` bytes, or a little more."""
+    held = None
+    for piece in pieces(batches, "text", min(SLICE // 4, most)):
+        if held is None:
+            held = Shard(most + (most >> 3))
+        held.add(piece)
+        if held.size >= most:
             yield held
-            held, size = [], 0
-    if held:
+            held = None
+    if held is not None:
         yield held
 
 
@@ -111,36 +143,62 @@ def text_bytes(batch: pa.RecordBatch) -> int:
     return int(offsets[-1] - offsets[0])
 
 
-def locally_frequent(shard: list[pa.RecordBatch], total: int, support: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def _frequent(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the hashes that are there `least` times or more, and how often. Sorts its argument."""
+    hashes.sort()
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
+    counts = np.diff(np.append(first, len(hashes)))
+    often = counts >= least
+    return hashes[first[often]], counts[often]
+
+
+def locally_frequent(shard: Shard, total: int, support: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Hashes of the phrases of each length that a shard reports, their counts, and its local support."""
-    least = local_support(sum(text_bytes(b) for b in shard), total, support)
-    found: dict[int, list[np.ndarray]] = {n: [] for n in range(1, longest + 1)}
-    for batch in shard:
-        for n, hashes, _ in Slice(batch).phrases(longest):
-            found[n].append(hashes)
-    for n in list(found):
-        every = np.concatenate(found.pop(n))
-        every.sort()
-        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(first, len(every)))
-        frequent = counts >= least
-        yield every[first[frequent]], counts[frequent], least
-
-
-def candidates(docs: DataFrame, support: int, longest: int, shard: int) -> DataFrame:
-    """h: hashes of all phrases that may be found `support` times. docs: lang and text."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    least = local_support(shard.size, total, support)
+    seeds = np.array([language_hash(x) for x in shard.languages], np.uint64)
+    words, linked = shard.hashes[: shard.n], shard.linked
+    found = np.empty(shard.n, np.uint64)
+    for a in range(0, shard.n, STRETCH):
+        here = slice(a, a + STRETCH)
+        found[here] = mix(words[here] + seeds[shard.spoken[: shard.n][here]])
+    at = np.arange(len(words), dtype=np.int32)
+    for n in range(1, longest + 1):
+        often, counts = _frequent(found.copy(), least)
+        yield often, counts, least
+        if n == longest:
+            break
+        # What is not frequent here has no longer phrase that is. A table of hash bits tells nearly all of that.
+        table = np.zeros(1 << max(10, (16 * len(often)).bit_length()), bool)
+        mask = np.uint64(len(table) - 1)
+        table[often & mask] = True
+        begins = np.zeros(len(words) + 1, bool)
+        begins[at] = table[found & mask]
+        on = begins[at] & linked[at + n - 1] & begins[at + 1]
+        at, found = at[on], found[on]
+        for a in range(0, len(at), STRETCH):
+            here = slice(a, a + STRETCH)
+            found[here] = mix(found[here] * _STEP + words[at[here] + n])
+
+
+def _tasks(total: int, shard: int) -> int:
+    """Tasks of about a shard each. Neighbouring partitions are read by one task; no text is shuffled for it."""
+    return max(LEAST_SHARDS, -(-total // shard))
+
+
+def candidates(docs: DataFrame, total: int, support: int, longest: int, shard: int) -> DataFrame:
+    """h: hashes of all phrases that may be found `support` times. docs: lang and text, of `total` bytes."""
     fields = arrow_schema(docs.sparkSession, "h long, over long")
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in shards(batches, shard):
+        # Twice the size, so that a task of about one shard is one: a small rest would have a local
+        # support of one and report all it holds.
+        for one in shards(batches, 2 * shard):
             least = 1
             for hashes, counts, least in locally_frequent(one, total, support, longest):
                 yield record_batch({"h": hashes.view(np.int64), "over": counts - (least - 1)}, fields)
             yield record_batch({"h": [None], "over": [least - 1]}, fields)
 
-    # Whole shards need neighbouring partitions in one task; no text is shuffled for it.
-    dealt = docs.coalesce(max(LEAST_SHARDS, -(-total // shard)))
+    dealt = docs.coalesce(_tasks(total, shard))
     counted = written(dealt.mapInArrow(mine, "h long, over long").groupBy("h").agg(F.sum("over").alias("over")), "phrase-reports")
     bound = counted.filter("h is null").agg(F.sum("over")).first()[0] or 0
     return counted.filter(F.col("h").isNotNull() & (F.col("over") + bound >= support)).select("h")
@@ -148,7 +206,8 @@ def candidates(docs: DataFrame, support: int, longest: int, shard: int) -> DataF
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, a) found `support` times or more, and (lang, n), all words. docs: lang and text."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(candidates(docs, support, longest, shard)))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(candidates(docs, total, support, longest, shard)))
     fields = arrow_schema(docs.sparkSession, "lang string, phrase string, a long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
