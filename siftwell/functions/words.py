@@ -56,12 +56,18 @@ def _sequences(tokens: Column, n: int) -> Column:
 
 def token_runs(lower: Column, shapes: list[tuple[int, bool]]) -> Column:
     """The runs of tokens of a lowered text that entries of these lengths, of words only or not, could be; each once."""
-    words = F.regexp_extract_all(lower, F.lit(_WORD), 0)
-    tokens = F.regexp_extract_all(lower, F.lit(_TOKEN), 0)
-    parts = [_sequences(words if words_only else tokens, n) for n, words_only in shapes]
+    parts = []
+    for pattern, words_only in ((_WORD, True), (_TOKEN, False)):
+        if sizes := [n for n, w in shapes if w == words_only]:
+            parts.append(_runs_of(F.regexp_extract_all(lower, F.lit(pattern), 0), sizes))
     return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
 
 
+def _runs_of(tokens: Column, sizes: list[int]) -> Column:
+    """Runs of these lengths. Tokens are an element of an array here, so that they are cut once and not for each run."""
+    return F.get(F.transform(F.array(tokens), lambda t: F.concat(*[_sequences(t, n) for n in sizes])), 0)
+
+
 def found_words(lower: Column, entries: list[Entry]) -> Column:
     """Those of the entries that a lowered text holds, in their order.
 
