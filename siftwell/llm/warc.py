@@ -108,7 +108,9 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     counted = rows.groupBy("place", "sha256", "page_id", "url", "sha1", "length").agg(F.count("*").alias("copies"))
     order = F.struct(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))).alias("k"), F.col("page_id").isNotNull().alias("p"), "page_id", "url")
     owner = counted.groupBy("sha256").agg(F.max(order).alias("o")).select("sha256", F.col("o.page_id").alias("owner_id"), F.col("o.url").alias("owner_url"))
-    named = counted.join(owner, "sha256").withColumn("owns", F.col("page_id").eqNullSafe(F.col("owner_id")) & F.col("url").eqNullSafe(F.col("owner_url")))
+    # The hash of the digest is a second key: with it the join has shuffles of its own, in which a frequent payload is split.
+    spread = F.xxhash64("sha256").alias("spread")
+    named = counted.select("*", spread).join(owner.select("*", spread), ["sha256", "spread"]).withColumn("owns", F.col("page_id").eqNullSafe(F.col("owner_id")) & F.col("url").eqNullSafe(F.col("owner_url")))
     copies = named.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("record"))
     copies = copies.withColumn("revisit", (F.col("length") >= min_revisit) & ~(F.col("owns") & (F.col("record") == 1)))
     schema = "record long, page_id long, sha256 binary, header binary"
