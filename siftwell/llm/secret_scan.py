@@ -5,9 +5,9 @@ that speaks of keys, is compressed behind the text around it by a compressor
 primed with a dictionary of code and identifiers. Its marginal bytes - with it less
 without it - measure what neither the context nor the dictionary explains. Runs
 that cost NOVEL_RATIO bytes or more per character are reported as kind "novel".
-Other copies of the run don't explain it: they are left out of the text around it,
-so that a secret written twice is reported at each place with a sensitive context.
-Only a copy ahead of it that stands in no such context counts as text known before.
+Other copies of the run don't explain it, wherever they stand: they are left out of the
+text around it, so a secret that is written twice is reported at each place with a
+sensitive context, and the cleaned text has none of its copies.
 
 Arrow's matcher first finds the texts that could hold any span at all; every such
 text is searched whole. Defined results: a null or empty text has no spans; a null
@@ -17,7 +17,9 @@ code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import re
 from collections.abc import Iterator, Sequence
 
@@ -79,20 +81,15 @@ def _around(text: str, a: int, b: int) -> tuple[str, str]:
     """The text before and after the run at a to b, without copies of it, also those that reach over the edges."""
     low, high = max(0, a - CONTEXT_CHARS), min(len(text), b + CONTEXT_CHARS)
     core = _core(text[a:b])
-    before, after = [], []
-    at, end = low, max(0, low - len(core) + 1)
-    while (copy := text.find(core, end, a)) >= 0:
-        end = copy + len(core)
-        if _sensitive(text, copy, core):
-            before.append(text[at : max(at, copy)])
-            at = max(at, end)
-    before.append(text[at:a])
-    at = b
-    while (copy := text.find(core, at, high + len(core) - 1)) >= 0:
-        after.append(text[at:copy])
-        at = copy + len(core)
-    after.append(text[at:high])
-    return "".join(before), "".join(after)
+
+    def without(start: int, end: int, first: int, last: int) -> str:
+        out, at, seek = [], start, first
+        while (copy := text.find(core, seek, last)) >= 0:
+            out.append(text[at : max(at, copy)])
+            at = seek = copy + len(core)
+        return "".join([*out, text[at:end]])
+
+    return without(low, a, max(0, low - len(core) + 1), a), without(b, high, b, high + len(core) - 1)
 
 
 def find(text: str, dictionary: str = IDENTIFIERS, ratio: float = NOVEL_RATIO) -> list[tuple[int, str, int, int]]:
@@ -100,12 +97,14 @@ def find(text: str, dictionary: str = IDENTIFIERS, ratio: float = NOVEL_RATIO) -
     got = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     got += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     got += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
-    base = [(a, b) for a, _, b, _ in got]
+    spans = sorted((a, b) for a, _, b, _ in got)
+    starts, reach = [a for a, _ in spans], list(itertools.accumulate((b for _, b in spans), max))
     if SENSITIVE.search(text):
         for m in RUN.finditer(text):
             a, b = m.span()
             run = m[0]
-            if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or any(x < b and a < y for x, y in base):
+            ahead = bisect.bisect_left(starts, b)
+            if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or (ahead and reach[ahead - 1] > a):
                 continue
             if _sensitive(text, a, _core(run)):
                 before, after = _around(text, a, b)
@@ -115,9 +114,13 @@ def find(text: str, dictionary: str = IDENTIFIERS, ratio: float = NOVEL_RATIO) -
 
 
 def redacted(text: str, spans: list[tuple[int, str, int, int]], mark: str = "<secret>") -> str:
-    """The text with each secret replaced by a mark; secrets that overlap share one."""
+    """The text with each secret replaced by a mark, and other copies of the novel ones; secrets that overlap share one."""
     out, at = [], 0
-    for start, end in sorted((v, b) for _, _, b, v in spans):
+    places = {(v, b) for _, _, b, v in spans}
+    novel = {_core(text[v:b]) for _, k, b, v in spans if k == "novel"}
+    if novel:
+        places.update(m.span() for m in re.finditer("|".join(map(re.escape, sorted(novel, key=len, reverse=True))), text))
+    for start, end in sorted(places):
         if start >= at:
             out += [text[at:start], mark]
         at = max(at, end)
