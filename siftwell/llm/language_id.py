@@ -197,20 +197,22 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, hidden: int
 
 
 def fit(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, **how: int) -> Network:
-    """Trains on up to sample_rows rows of each language among the usable rows, those first by a hash of the id.
+    """Trains on up to sample_rows different rows of each language among the usable rows, those first by a hash of id and text.
 
-    From each text of the sample a stretch of 400 characters is taken, at a place given by the hash.
+    From each text of the sample a stretch of 400 characters is taken, at a place given by the hash. Rows that are
+    equal in both are one, so what comes to the driver is bounded by the sample, however often rows repeat.
     """
     rows = docs.filter(usable & docs[lang_col].isNotNull() & docs[text_col].rlike(r"\p{L}"))
-    h = F.xxhash64(rows[id_col], F.lit(11))
+    h = F.xxhash64(rows[id_col], rows[text_col], F.lit(11))
     at = F.pmod(F.shiftright(h, 8), F.greatest(F.lit(1), F.length(rows[text_col]) - 400)).cast("int") + 1
     drawn = rows.select(rows[lang_col].alias("lang"), h.alias("h"), F.substring(rows[text_col], at, F.lit(400)).alias("text"))
-    counts = {r.lang: r.n for r in drawn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in drawn.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
     # A share of the hashes that holds a little more than the sample is drawn in one pass, and cut to the sample here.
     share = lambda n: F.lit(min(1 << 30, int((1 << 30) * (1.2 * sample_rows + 50) / n)))
     most = F.coalesce(*[F.when(F.col("lang") == lang, share(n)) for lang, n in counts.items()]) if counts else F.lit(0)
+    sample = drawn.filter(F.pmod("h", F.lit(1 << 30)) < most).dropDuplicates(["lang", "h"])
     texts, labels, taken = [], [], dict.fromkeys(counts, 0)
-    for r in sorted(drawn.filter(F.pmod("h", F.lit(1 << 30)) < most).collect(), key=lambda r: r.h):
+    for r in sorted(sample.collect(), key=lambda r: r.h):
         if taken[r.lang] < sample_rows:
             taken[r.lang] += 1
             texts.append(r.text.encode())

@@ -729,3 +729,25 @@ def test_rows_that_share_an_id_are_linked_by_their_own_texts(spark):
     rows = [(9, one + " x"), (5, one), (5, two), (3, two + " y")]
     got = near_dup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=80).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 5), (9, 5)]
+
+
+def test_languages_are_learned_whatever_ids_repeat(spark):
+    rng = random.Random(5)
+    own = {"en": ["the", "of", "and", "there", "with"], "de": ["der", "und", "nicht", "eine", "über"]}
+    rows = [(k, " ".join(rng.choices(own[lang], k=12)), lang) for k, lang in enumerate(own) for _ in range(400)]
+    rows += [(0, "the same words again and again", "en")] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.fit(df, F.lit(True), sample_rows=100)
+    assert sorted(net.languages) == ["de", "en"]
+
+
+def test_a_cut_document_that_lost_ids_is_refused(spark, monkeypatch):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(k, " ".join(str(rng.randrange(10**6)) for _ in range(30_000))) for k in range(3)], "doc_id long, text string")
+    path = new_folder(spark, "tokens")
+    token_file.write_tokens(token_file.token_ids(df, BYTES, 2), path)
+    assert token_file.read_index(spark, path).count() == 3
+    real = token_file.read_pieces
+    monkeypatch.setattr(token_file, "read_pieces", lambda *a: real(*a).filter("doc_id is null or offset > 0 or size = n"))
+    with pytest.raises(Exception):
+        token_file.read_index(spark, path).collect()
