@@ -17,6 +17,7 @@ them; a table without rows gives a file without blocks; extra columns are ignore
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -164,25 +165,34 @@ def read_pieces(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return spark.read.parquet(f"{path}/blocks").select("part", "block", "payload", "doc_ids", "sizes", "begins").mapInArrow(read, schema)
 
 
-def _crc_joined(first: int, second: int, n: int) -> int:
-    """The crc32 of two byte strings one after the other, n the length of the second."""
-    def times(matrix: list[int], vector: int) -> int:
-        out, i = 0, 0
-        while vector:
-            if vector & 1:
-                out ^= matrix[i]
-            vector >>= 1
-            i += 1
-        return out
+def _times(matrix: list[int], vector: int) -> int:
+    out = 0
+    for row in matrix:
+        if not vector:
+            break
+        if vector & 1:
+            out ^= row
+        vector >>= 1
+    return out
 
+
+@functools.cache
+def _zeros(k: int) -> list[int]:
+    """What 2**k zero bytes do to a crc32, as a matrix over its bits."""
+    if k:
+        half = _zeros(k - 1)
+        return [_times(half, x) for x in half]
     power = [0xEDB88320, *[1 << i for i in range(31)]]  # one zero bit
     for _ in range(3):
-        power = [times(power, x) for x in power]
-    while n:  # now zero bytes, by squaring
-        if n & 1:
-            first = times(power, first)
-        power = [times(power, x) for x in power]
-        n >>= 1
+        power = [_times(power, x) for x in power]
+    return power
+
+
+def _crc_joined(first: int, second: int, n: int) -> int:
+    """The crc32 of two byte strings one after the other, n the length of the second."""
+    for k in range(n.bit_length()):
+        if n >> k & 1:
+            first = _times(_zeros(k), first)
     return first ^ second
 
 
@@ -196,16 +206,24 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("part").orderBy("offset", F.col("begin").isNotNull())
     owner = F.last("begin", ignorenulls=True).over(before)
 
-    @F.udf("long")
-    def joined(stretches: list) -> int:
-        crc = 0
-        for s in sorted(stretches, key=lambda s: s["offset"]):
-            crc = _crc_joined(crc, s["crc32"], 4 * s["n"])
-        return crc
-
     parts = cut.withColumn("begin", owner).groupBy("part", "begin").agg(
-        F.max("doc_id").alias("doc_id"), F.max("size").alias("size"), F.collect_list(F.struct("offset", "n", "crc32")).alias("s")
+        F.max("doc_id").alias("doc_id"), F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("offset", "n", "crc32"))).alias("s")
     )
-    rows = done.unionByName(parts.select("part", "begin", "doc_id", "size", joined("s").alias("crc32")))
+    schema = "part int, begin long, doc_id long, size long, crc32 long"
+    fields = arrow_schema(spark, schema)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for size, stretches in zip(batch.column("size").to_pylist(), batch.column("s").to_pylist(), strict=True):
+                crc, n = 0, 0
+                for x in stretches:
+                    crc, n = _crc_joined(crc, x["crc32"], 4 * x["n"]), n + x["n"]
+                if n != size:
+                    raise ValueError(f"a document of {size} ids is stored with {n}")
+                sums.append(crc)
+            yield record_batch({c: batch.column(c) for c in ("part", "begin", "doc_id", "size")} | {"crc32": sums}, fields)
+
+    rows = done.unionByName(parts.mapInArrow(join, schema))
     starts = spark.read.parquet(f"{path}/parts")
     return rows.join(starts, "part").select("doc_id", (F.col("start") + F.col("begin")).alias("start"), F.col("size").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
