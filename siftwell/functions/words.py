@@ -13,12 +13,16 @@ is a literal in the expression; a long one is a table, and joined.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries up to which a list is a literal of every task.
 SHORT_LIST = 1000
+#: First tokens up to which texts are searched for them beforehand.
+FEW_FIRSTS = 32
 _WORD = r"[\p{L}\p{N}]+"
 _TOKEN = rf"(?U){_WORD}|[^\s\p{{L}}\p{{N}}]"
 
@@ -78,10 +82,15 @@ def found_words(lower: Column, entries: list[Entry]) -> Column:
         return F.array().cast("array<string>")
     own = F.array(*[F.lit(e[0]) for e in entries])
     found = F.array_intersect(own, token_runs(lower, sorted({(n, w) for _, n, w, _ in entries})))
-    if all(e[0] == e[3] for e in entries):
+    if any(e[0] != e[3] for e in entries):
+        shown = F.map_from_arrays(own, F.array(*[F.lit(e[3]) for e in entries]))
+        found = F.transform(found, lambda e: F.element_at(shown, e))
+    firsts = sorted({e[0].split(" ")[0] for e in entries})
+    if len(firsts) > FEW_FIRSTS:
         return found
-    shown = F.map_from_arrays(own, F.array(*[F.lit(e[3]) for e in entries]))
-    return F.transform(found, lambda e: F.element_at(shown, e))
+    # Texts that hold no entry's first token anywhere needn't be cut into tokens.
+    holds = reduce(or_, [F.contains(lower, F.lit(w)) for w in firsts])
+    return F.when(holds, found).otherwise(F.array().cast("array<string>"))
 
 
 def join_words(rows: DataFrame, lower: str, entries: DataFrame) -> DataFrame:
