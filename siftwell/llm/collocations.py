@@ -5,7 +5,7 @@ blanks and tabs into words. All counts are per language; a null language is `und
 
 1. Local mining. Texts are dealt out in shards of about SHARD bytes, which a task mines completely:
    all phrases of 1 to LONGEST words, by hash, those of a length where both phrases one word shorter
-   are frequent in the shard. A shard that holds the share w of all bytes
+   are frequent in the shard. Only words are held; phrases' hashes are made anew for each part of their range. A shard that holds the share w of all bytes
    reports what it has at least t = ceil(w * support) times. A phrase reported by no shard
    is found less than w * support times in each, so less than `support` times in all.
 2. Union. Where a shard doesn't report a phrase, it holds it t - 1 times at most. A phrase is
@@ -28,7 +28,7 @@ row; ids aren't read; repeated rows count each; ties end in the order of the phr
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,11 @@ SLICE = 8 << 20
 SALTS = 64
 #: Numbers worked on at a time where an array is as long as a shard has words.
 STRETCH = 1 << 18
+#: Hashes that are sorted at a time, about, stripes of them that one pass over a shard finds, and the
+#: size of the table that tells frequent ones, as a power of two.
+STRIPE = 1 << 20
+PASS = 4
+MOST_TABLE = 23
 BREAKS = b".,;:!?\n\v\f\r"
 _ALPHABET = Alphabet(b" \t" + BREAKS, folded=True)
 _BREAK = np.zeros(256, bool)
@@ -68,7 +73,7 @@ class Slice:
     def __init__(self, batch: pa.RecordBatch):
         self.langs = batch.column("lang").to_pylist()
         self.data, offsets = buffer_of(batch.column("text"))
-        self.hashes, self.starts, self.ends, self.owner = words(self.data, offsets, alphabet=_ALPHABET)
+        self.hashes, self.starts, self.ends, self.owner = words(self.data, offsets, STRETCH, _ALPHABET)
         piece = np.searchsorted(np.flatnonzero(_BREAK[self.data]), self.starts)
         self.linked = (piece[1:] == piece[:-1]) & (self.owner[1:] == self.owner[:-1])
 
@@ -107,7 +112,7 @@ class Shard:
 
     def __init__(self, most: int):
         room = most // 2 + 1
-        self.hashes, self.spoken, self.linked = np.empty(room, np.uint64), np.empty(room, np.uint16), np.empty(room, bool)
+        self.hashes, self.spoken, self.linked = np.empty(room, np.uint64), np.empty(room, np.uint8), np.empty(room, bool)
         self.n, self.size, self.languages = 0, 0, {}
 
     def add(self, batch: pa.RecordBatch) -> None:
@@ -117,8 +122,10 @@ class Shard:
             self.hashes, self.spoken, self.linked = (np.concatenate([x[: self.n], np.empty(stop, x.dtype)]) for x in (self.hashes, self.spoken, self.linked))
         here = slice(self.n, stop)
         place = np.array([self.languages.setdefault(x, len(self.languages)) for x in s.langs])
-        if len(self.languages) > 1 << 16:
-            self.spoken = self.spoken.astype(np.uint32)
+        if len(self.languages) - 1 > np.iinfo(self.spoken.dtype).max:
+            wider = np.empty(len(self.spoken), np.min_scalar_type(len(self.languages) << 8))
+            wider[: self.n] = self.spoken[: self.n]
+            self.spoken = wider
         self.hashes[here], self.spoken[here] = s.hashes, place[s.owner]
         self.linked[here] = np.append(s.linked, False)[: len(s.hashes)]
         self.n, self.size = stop, self.size + text_bytes(batch)
@@ -127,7 +134,7 @@ class Shard:
 def shards(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[Shard]:
     """What a task reads in shards of up to `most` bytes, or a little more."""
     held = None
-    for piece in pieces(batches, "text", min(SLICE // 4, most)):
+    for piece in pieces(batches, "text", min(SLICE // 8, most)):
         if held is None:
             held = Shard(most + (most >> 3))
         held.add(piece)
@@ -143,41 +150,57 @@ def text_bytes(batch: pa.RecordBatch) -> int:
     return int(offsets[-1] - offsets[0])
 
 
-def _frequent(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the hashes that are there `least` times or more, and how often. Sorts its argument."""
-    hashes.sort()
-    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
-    counts = np.diff(np.append(first, len(hashes)))
-    often = counts >= least
-    return hashes[first[often]], counts[often]
+def _stretches(n: int) -> Iterator[slice]:
+    return (slice(a, min(a + STRETCH, n)) for a in range(0, n, STRETCH))
+
+
+def _phrases(shard: Shard, seeds: np.ndarray, begins: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first word, hash) of the phrases of n words that begin where they may, a stretch at a time. Hashes are not kept, so each pass makes them again."""
+    for s in _stretches(shard.n):
+        at = s.start + np.flatnonzero(begins[s])
+        found = mix(shard.hashes[at] + seeds[shard.spoken[at]])
+        for k in range(1, n):
+            found = mix(found * _STEP + shard.hashes[at + k])
+        yield at, found
+
+
+def _frequent(phrases: Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]], most: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes that are there `least` times or more, of up to `most`, and how often, a stripe of their range at a time."""
+    bits = (most // STRIPE).bit_length()
+    shift = np.uint64(64 - bits)
+    for group in range(0, 1 << bits, PASS):
+        held = [found for _, found in phrases()] if bits == 0 else [f[(top >= group) & (top < group + PASS)] for _, f in phrases() for top in [f >> shift]]
+        for k in range(group, min(group + PASS, 1 << bits)):
+            own = np.concatenate(held if bits == 0 else [f[f >> shift == k] for f in held]) if held else np.zeros(0, np.uint64)
+            own.sort()
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+            counts = np.diff(np.append(first, len(own)))
+            often = counts >= least
+            yield own[first[often]], counts[often]
 
 
 def locally_frequent(shard: Shard, total: int, support: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Hashes of the phrases of each length that a shard reports, their counts, and its local support."""
+    """Hashes of the phrases that a shard reports, their counts, and its local support. Those of a length come in stripes."""
     least = local_support(shard.size, total, support)
     seeds = np.array([language_hash(x) for x in shard.languages], np.uint64)
-    words, linked = shard.hashes[: shard.n], shard.linked
-    found = np.empty(shard.n, np.uint64)
-    for a in range(0, shard.n, STRETCH):
-        here = slice(a, a + STRETCH)
-        found[here] = mix(words[here] + seeds[shard.spoken[: shard.n][here]])
-    at = np.arange(len(words), dtype=np.int32)
+    begins = np.ones(shard.n + 1, bool)
+    begins[-1] = False
     for n in range(1, longest + 1):
-        often, counts = _frequent(found.copy(), least)
-        yield often, counts, least
-        if n == longest:
-            break
+        most = int(np.count_nonzero(begins))
         # What is not frequent here has no longer phrase that is. A table of hash bits tells nearly all of that.
-        table = np.zeros(1 << max(10, (16 * len(often)).bit_length()), bool)
+        table = np.zeros(1 << min(MOST_TABLE, max(10, (16 * most // least).bit_length())), bool)
         mask = np.uint64(len(table) - 1)
-        table[often & mask] = True
-        begins = np.zeros(len(words) + 1, bool)
-        begins[at] = table[found & mask]
-        on = begins[at] & linked[at + n - 1] & begins[at + 1]
-        at, found = at[on], found[on]
-        for a in range(0, len(at), STRETCH):
-            here = slice(a, a + STRETCH)
-            found[here] = mix(found[here] * _STEP + words[at[here] + n])
+        for often, counts in _frequent(lambda n=n: _phrases(shard, seeds, begins, n), most, least):
+            table[often & mask] = True
+            yield often, counts, least
+        if n == longest:
+            break
+        if least > 1:
+            for at, found in _phrases(shard, seeds, begins, n):
+                begins[at] = table[found & mask]
+        for s in _stretches(shard.n):
+            at = s.start + np.flatnonzero(begins[s])
+            begins[at] = begins[at + 1] & shard.linked[at + n - 1]
 
 
 def _tasks(total: int, shard: int) -> int:

@@ -110,6 +110,29 @@ def test_a_phrase_below_local_support_in_each_shard_is_not_lost():
         assert sum(x - 1 for x in least) < 30
 
 
+@pytest.mark.parametrize("support", [1, 3])
+def test_mining_a_shard_holds_little_beside_it(monkeypatch, support):
+    """Bytes for each word, where every phrase is reported and where few are; the counts are those of a whole sort."""
+    import tracemalloc
+
+    n = 3_000_000
+    shard = collocations.Shard(2 * n)
+    shard.hashes[:n] = np.random.default_rng(3).zipf(1.3, n).astype(np.uint64) % np.uint64(1 << 40)
+    shard.spoken[:n], shard.linked[:n], shard.n, shard.size, shard.languages = 0, True, n, 1, {"en": 0}
+    shard.linked[n - 1] = False
+    tracemalloc.start()
+    sizes = [(len(h), int(c.sum()), least) for h, c, least in collocations.locally_frequent(shard, 1, support, 4)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 36 * n
+    pairs = np.unique(collocations.mix(collocations.mix(shard.hashes[:n] + np.uint64(collocations.language_hash("en")))[:-1] * collocations._STEP + shard.hashes[1:n]), return_counts=True)[1]
+    words = np.unique(shard.hashes[:n], return_counts=True)[1]
+    ends = sum(c[c >= support].sum() for c in (words, pairs))
+    if support == 1:
+        assert sum(c for _, c, _ in sizes) == 4 * n - 6
+    assert sum(c for _, c, _ in sizes) >= ends and {least for *_, least in sizes} == {support}
+
+
 def test_no_phrases_in_an_empty_table(spark, phrase_rows):
     docs = spark.createDataFrame(phrase_rows, "lang string, text string")
     assert collocations.collocations(docs.filter("false")).collect() == []
