@@ -277,3 +277,16 @@ def test_jobs_don_t_grow_with_the_files(spark, tmp_path):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"merge-{n}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1]
+
+
+def test_posts_of_report_files_are_scored_by_all_tasks(spark, tmp_path, monkeypatch):
+    """One file per chunk takes one writer, but that writer doesn't read the posts."""
+    from workload import inputs
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    score = inputs.score_rules
+    monkeypatch.setattr(inputs, "score_rules", lambda *a: score(*a).withColumn("reason", F.spark_partition_id().cast("string")))
+    folder = inputs.report_files(spark, str(tmp_path))
+    got = spark.read.option("header", True).csv(f"{folder}/report_chunk_1.csv")
+    assert got.columns == ["deletion", "more", "tweet_url"]
+    assert got.select("more").distinct().count() == 4

@@ -218,11 +218,16 @@ def archive(spark: SparkSession, sf_dir: str, part_rows: int = PART_ROWS) -> str
 def report_files(spark: SparkSession, sf_dir: str) -> str:
     """A CSV file per chunk: the first with link and decision, the others with more columns, in other orders."""
     folder = new_folder(spark, "reports")
-    rows = score_rules(items(spark, sf_dir), SPEC.criteria, SPEC.url)
-    known = {"tweet_url": F.col("item_url"), "deletion": F.col("deletion"), "more": F.col("reason"), "id": F.col("item_id")}
+    # Posts are scored by all tasks; what one task writes a chunk's file from are its narrow rows only.
+    narrow = score_rules(items(spark, sf_dir), SPEC.criteria, SPEC.url).select(
+        F.col("item_url").alias("tweet_url"), "deletion", F.col("reason").alias("more"), F.col("item_id").alias("id"), "chunk_id"
+    )
+    scored = new_folder(spark, "scored-rows")
+    narrow.write.partitionBy("chunk_id").parquet(scored)
+    rows = spark.read.schema(narrow.schema).parquet(scored)
     headers = [["tweet_url", "deletion"], ["deletion", "more", "tweet_url"], ["id", "tweet_url"], ["more", "deletion", "id", "tweet_url"], ["deletion", "tweet_url"]]
     for k in range(CHUNKS):
-        own = rows.where(F.col("chunk_id") == k).select(*[known[c].alias(c) for c in headers[k]])
+        own = rows.where(F.col("chunk_id") == k).select(*headers[k])
         # Each is one file by its nature, as other tools leave it.
         published(spark, f"{folder}/report_chunk_{k}.csv", lambda f, own=own: own.coalesce(1).write.option("header", True).csv(f), single=True)
     return folder
