@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ from siftwell.schemas import ANSWERS, LEDGER, SCORED
 from siftwell.sources.ledger import ANSWER, FAULT, MARK, AnswerLedger
 from siftwell.spec import Criteria, UrlSpec
 
+_SCORED = pa.schema([("chunk_id", pa.int32()), ("key", pa.string()), ("line", pa.string()), ("submit_error", pa.string())])
+_LEDGER = pa.schema([
+    ("kind", pa.string()), ("request", pa.binary()), ("chunk_id", pa.int32()), ("key", pa.string()), ("line", pa.string()),
+    ("submit_error", pa.string()), ("attempt", pa.int32()), ("again", pa.bool_()), ("due", pa.float64()),
+])
+
 
 class Client(Protocol):
     """What a model client must offer; made once per task by its factory."""
@@ -35,6 +43,20 @@ def spread(items: DataFrame, partitions: int | None) -> DataFrame:
     return items.repartition(partitions) if partitions else items
 
 
+def _by_chunk(rows: pa.RecordBatch, size: int) -> Iterator[tuple[int | None, pa.RecordBatch]]:
+    """The rows of one chunk after the other, up to `size` at a time; no more than these become Python values at once."""
+    chunks = rows.column("chunk_id")
+    for chunk in sorted(pc.unique(chunks).to_pylist(), key=lambda c: (c is None, c or 0)):
+        own = pc.indices_nonzero(pc.is_null(chunks) if chunk is None else pc.equal(chunks, chunk))
+        for start in range(0, len(own), size):
+            yield chunk, rows.take(own.slice(start, size))
+
+
+def _filled(schema: pa.Schema, n: int, **values: list | pa.Array) -> pa.RecordBatch:
+    columns = [values.get(f.name, [None] * n) for f in schema]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def score_with_client(
     requests: DataFrame,
     client_factory: Callable[[], Client],
@@ -51,13 +73,10 @@ def score_with_client(
     if max_retries <= 0 or batch_size <= 0:
         raise ValueError("max_retries and batch_size must be > 0")
     markers = list(RATE_LIMIT_MARKERS)
-    columns = ["chunk_id", "key", "line", "submit_error"]
 
-    def ask(frames):
+    def ask(batches):
         import time
 
-        import pandas as pd
-
         wait = sleep or time.sleep
         client = None
 
@@ -73,24 +92,18 @@ def score_with_client(
                     wait(2**attempt)
             return [], error
 
-        for frame in frames:
-            if client is None and len(frame):
+        for rows in batches:
+            if client is None and rows.num_rows:
                 client = client_factory()
-            for chunk, rows in frame.groupby("chunk_id", sort=True, dropna=False):
-                for start in range(0, len(rows), batch_size):
-                    batch = rows.iloc[start : start + batch_size]
-                    answers, error = submit(batch["line"].tolist())
-                    if error is None:
-                        out = pd.DataFrame({"line": answers}, dtype=object)
-                        out["key"] = None
-                    else:
-                        out = pd.DataFrame({"key": batch["key"].tolist()}, dtype=object)
-                        out["line"] = None
-                    out["submit_error"] = error
-                    out["chunk_id"] = chunk
-                    yield out[columns]
-
-    return request_lines(requests).mapInPandas(ask, SCORED)
+            for chunk, batch in _by_chunk(rows, batch_size):
+                answers, error = submit(batch.column("line").to_pylist())
+                if error is None:
+                    yield _filled(_SCORED, len(answers), line=answers, chunk_id=[chunk] * len(answers))
+                else:
+                    n = batch.num_rows
+                    yield _filled(_SCORED, n, key=batch.column("key"), submit_error=[error] * n, chunk_id=[chunk] * n)
+
+    return request_lines(requests).mapInArrow(ask, SCORED)
 
 
 def ask(requests: DataFrame, client_factory: Callable[[], Client], batch_size: int = 1000, clock: Callable[[], float] | None = None) -> DataFrame:
@@ -104,38 +117,29 @@ def ask(requests: DataFrame, client_factory: Callable[[], Client], batch_size: i
         raise ValueError("batch_size must be > 0")
     markers = list(RATE_LIMIT_MARKERS)
 
-    def run(frames):
+    def run(batches):
         import time
 
-        import pandas as pd
-
         now = clock or time.time
-        columns = ["kind", "request", "chunk_id", "key", "line", "submit_error", "attempt", "again", "due"]
         client = None
-
-        def rows(kind, n, **values):
-            return pd.DataFrame({c: values.get(c, [None] * n) for c in columns} | {"kind": [kind] * n}, dtype=object)
-
-        for frame in frames:
-            if client is None and len(frame):
+        for rows in batches:
+            if client is None and rows.num_rows:
                 client = client_factory()
-            for chunk, own in frame.groupby("chunk_id", sort=True, dropna=False):
-                for start in range(0, len(own), batch_size):
-                    batch = own.iloc[start : start + batch_size]
-                    n, requests_ = len(batch), batch["request"].tolist()
-                    try:
-                        answers = client.run_batch(batch["line"].tolist())
-                    except Exception as e:
-                        error, tried = f"{type(e).__name__}: {e}", batch["attempt"].tolist()
-                        yield rows(
-                            FAULT, n, request=requests_, chunk_id=[chunk] * n, key=batch["key"].tolist(), submit_error=[error] * n, attempt=[t + 1 for t in tried],
-                            again=[any(m in error for m in markers)] * n, due=[now() + 2**t for t in tried],
-                        )
-                        continue
-                    yield rows(ANSWER, len(answers), line=answers, chunk_id=[chunk] * len(answers))
-                    yield rows(MARK, n, request=requests_)
-
-    return requests.mapInPandas(run, LEDGER)
+            for chunk, batch in _by_chunk(rows, batch_size):
+                n, requests_ = batch.num_rows, batch.column("request")
+                try:
+                    answers = client.run_batch(batch.column("line").to_pylist())
+                except Exception as e:
+                    error, tried = f"{type(e).__name__}: {e}", batch.column("attempt").to_pylist()
+                    yield _filled(
+                        _LEDGER, n, kind=[FAULT] * n, request=requests_, chunk_id=[chunk] * n, key=batch.column("key"), submit_error=[error] * n,
+                        attempt=[t + 1 for t in tried], again=[any(m in error for m in markers)] * n, due=[now() + 2**t for t in tried],
+                    )
+                    continue
+                yield _filled(_LEDGER, len(answers), kind=[ANSWER] * len(answers), line=answers, chunk_id=[chunk] * len(answers))
+                yield _filled(_LEDGER, n, kind=[MARK] * n, request=requests_)
+
+    return requests.mapInArrow(run, LEDGER)
 
 
 def ask_until_done(

@@ -131,3 +131,45 @@ def test_no_posts_leave_an_empty_ledger(spark, posts, spec, log, tmp_path):
     ledger = AnswerLedger(spark, str(tmp_path / "ledger"))
     found = ask_until_done(items, lambda rows: render_requests(rows, spec.criteria, spec.url), factory(log), ledger)
     assert found.collect() == [] and ledger.is_new() and not asked(log)
+
+
+def test_no_more_than_a_call_s_lines_leave_a_batch(spec):
+    """Chunks come in order, nulls last, and of 40 MB of lines only those of one call are Python texts at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from siftwell.operators.scoring import ask
+
+    n = 10_000
+    rows = pa.RecordBatch.from_arrays(
+        [
+            pa.array([None if k % 5 == 4 else (7 * k) % 5 for k in range(n)], pa.int32()), pa.array([f"p{k}" for k in range(n)]),
+            pa.array([f"{k} ".ljust(4000, "x") for k in range(n)]), pa.array([b"%d" % k for k in range(n)]), pa.array([0] * n, pa.int32()),
+        ],
+        ["chunk_id", "key", "line", "request", "attempt"],
+    )
+
+    class Client:
+        def run_batch(self, lines):
+            if lines[0].startswith("4 "):
+                raise RuntimeError("429")
+            return [x.split()[0] for x in lines]
+
+    class Requests:
+        def mapInArrow(self, run, schema):
+            return run(iter([rows]))
+
+    tracemalloc.start()
+    out = list(ask(Requests(), Client, batch_size=500, clock=lambda: 1.0))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 << 20
+    table = pa.Table.from_batches(out).to_pylist()
+    answers = [r for r in table if r["kind"] == "answer"]
+    assert [r["chunk_id"] for r in answers] == [c for c in (0, 1, 2, 4) for _ in range(2000)] + [None] * 1500
+    faults = [r for r in table if r["kind"] == "fault"]
+    assert len(faults) == 500 and {(r["chunk_id"], r["attempt"], r["again"], r["due"], r["submit_error"]) for r in faults} == {(None, 1, True, 2.0, "RuntimeError: 429")}
+    assert len(answers) == n - 500 == sum(r["kind"] == "mark" for r in table)
+    assert {r["line"] for r in answers} | {r["key"][1:] for r in faults} == {str(k) for k in range(n)}
+    assert {r["request"].decode() for r in table if r["request"]} == {str(k) for k in range(n)}
