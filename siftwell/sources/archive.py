@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from siftwell.sources import json_ranges
 _NAMES = ("file", "block", "value")
 #: Rows and bytes that a task hands on at a time.
 _EMIT_ROWS, _EMIT_BYTES = 10_000, 4 << 20
+#: Bytes that are joined and searched at a time, or one row.
+_SLICE = 1 << 20
 _POSTS = "array<array<struct<tweet: struct<id_str: string, id: string, full_text: string>, mark: string>>>"
 
 
@@ -81,13 +85,22 @@ def _ranges(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut between rows so that what is worked on at a time stays small however many rows Spark sends at once."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column("value"))), dtype=np.int64) // _SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
 def _located(spark: SparkSession, ranges: DataFrame) -> tuple[dict, dict]:
     """States of all ranges and posts per file. One small row per range comes here, as its place did when the scan was planned."""
     schema = "file string, block long, whole string, begun string"
     fields = pa.schema([("file", pa.string()), ("block", pa.int64()), ("whole", pa.string()), ("begun", pa.string())])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, block, whole, begun in json_ranges.effects(batches, _NAMES):
+        for file, block, whole, begun in json_ranges.effects(_slices(batches), _NAMES):
             columns = [[file], [block], [json.dumps(whole)], [begun and json.dumps(begun)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
@@ -143,7 +156,7 @@ def scan_archive(spark: SparkSession, path: str, max_file_bytes: int | None = No
         def emit() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), fields, strict=True)], schema=fields)
 
-        for row in json_ranges.pieces(batches, _NAMES, shared.value):
+        for row in json_ranges.pieces(_slices(batches), _NAMES, shared.value):
             held.append(row)
             size += len(row[3])
             if size > _EMIT_BYTES or len(held) == _EMIT_ROWS:

@@ -303,3 +303,26 @@ def test_chunks_of_many_small_files_are_even(spark, tmp_path):
     rows = assign_chunks(scan_archive(spark, str(tmp_path)), 5)
     assert sorted(r["count"] for r in rows.groupBy("chunk_id").count().collect()) == [6, 7, 7, 7, 7]
     assert sorted(r.number for r in rows.collect()) == list(range(34))
+
+
+def test_what_is_worked_on_at_a_time_does_not_grow_with_spark_s_batches():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from siftwell.sources import archive
+
+    post = b'{"tweet":{"id":"1","id_str":"1","full_text":"' + b"a" * 3000 + b'"'
+    values = [b"x = [" + post, *[b""] * 3, *[x for k in range(5000) for x in (b"," + post, b"")], b"]", b"y" * (3 << 20), b"z"]
+    batch = pa.RecordBatch.from_pydict({"file": ["f"] * len(values), "block": [0] * len(values), "value": values})
+    tracemalloc.start()
+    sizes, back, most = [], [], 0
+    for part in archive._slices(iter([batch, batch.slice(0, 0)])):
+        sizes.append(part.num_rows and sum(map(len, part.column("value").to_pylist())))
+        back.append(part)
+    effect = list(json_ranges.effects(archive._slices(iter([batch])), ("file", "block", "value")))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pa.Table.from_batches(back).column("value").to_pylist() == values
+    assert max(sizes) <= (4 << 20) + 4000 and most < 40 << 20
+    assert effect == list(json_ranges.effects(iter([batch]), ("file", "block", "value")))
