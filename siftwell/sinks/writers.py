@@ -1,9 +1,9 @@
 """Requests, answers of a client run, reports and failed ids.
 
-Per-chunk outputs are folders chunk_id=K. Wide rows (requests, full verdicts)
-are not shuffled for it: every task writes its share of each chunk. Narrow rows
-(report, failures) are rebalanced by chunk, so that their files come out near
-the session's advisory size: one per chunk for little data, many for much.
+Per-chunk outputs are folders chunk_id=K. Wide rows (requests, full verdicts,
+failures with their lines) are not shuffled for it: every task writes its share of
+each chunk. Narrow rows (report) are rebalanced by chunk, so that their files come
+out near the session's advisory size: one per chunk for little data, many for much.
 
 Given the number of chunks, a writer leaves something for each of them: a chunk without
 rows gets a file with the header, or with an empty JSON array, both of which read as no
@@ -93,7 +93,7 @@ def write_failures(failures: DataFrame, path: str, n: int | None = None) -> None
     """Failed ids with stage, reason and line, per chunk."""
 
     def write(folder: str) -> None:
-        _by_chunk(failures).write.partitionBy("chunk_id").json(folder)
+        failures.write.partitionBy("chunk_id").json(folder)
         _fill(failures, n, "[]", folder)
 
     published(failures.sparkSession, path, write)

@@ -147,3 +147,23 @@ def test_stored_answers_cross_one_exchange_at_most(spark, skewed, tmp_path):
     late = {(r.item_id, r.deletion) for r in found.collect()}
     whole = merge_verdicts(store.verdicts(run_id="r2"), cached_lookup(skewed, store.latest(without_run="r2")))
     assert late == {(r.item_id, r.deletion) for r in whole.collect()} and len(late) == found.count()
+
+
+def test_failures_are_written_where_they_are_and_the_log_is_zstd(spark, posts, responses, tmp_path, monkeypatch):
+    """Failed lines are as wide as answers: no exchange carries them to their chunk's files."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from siftwell.operators.responses import parse_responses
+    from siftwell.sinks import writers
+    from siftwell.sources.store import VerdictStore
+
+    store = VerdictStore.open(spark, str(tmp_path / "store"))
+    store.append(parse_responses(responses([answer("a"), "no answer", "{}"])), "r1")
+    files = [f for f in (tmp_path / "store" / "log").rglob("*.parquet") if "b-none" not in str(f)]
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+    wide = store.failures().repartition(3)
+    writers.write_failures(wide, str(tmp_path / "failures"))
+    # Both rows stay in the tasks that held them.
+    assert len(list(Path(tmp_path / "failures" / "chunk_id=0").glob("part-*"))) == wide.select(F.spark_partition_id()).distinct().count()
