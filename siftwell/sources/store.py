@@ -15,10 +15,11 @@ scan is needed, and readers of one kind never open files of the other.
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -117,8 +118,9 @@ class VerdictStore:
 
     def _commit(self, c: Commit) -> None:
         """One file in a folder of its own, so that commits of several jobs don't meet."""
-        row = self.spark.createDataFrame([(c.at, c.commit, c.kind, c.run_id, c.batch, c.drops, c.runs)], COMMITS)
-        row.coalesce(1).write.parquet(f"{self._commits}/{c.commit}")
+        # A literal, since rows from the driver would pass through a Python worker, which a stream waits for in each batch.
+        row = self.spark.range(0, 1, 1, 1).select(F.from_json(F.lit(json.dumps(asdict(c))), COMMITS).alias("c"))
+        row.select("c.*").write.parquet(f"{self._commits}/{c.commit}")
 
     def _record(self, known: Snapshot, kind: str, run_id: str, batch: str | None = None, drops: list[str] = (), runs: list[str] = ()) -> None:
         # Later than all that was seen, whatever the clocks of other machines say.

@@ -229,3 +229,21 @@ def test_snapshots_don_t_depend_on_the_order_commits_are_read(spark):
     seen = {tuple(Snapshot.of(list(p)).batches()) for p in itertools.permutations(events)}
     assert seen == {("b3",)}
     assert Snapshot.of(events).replaced == {"b3": {"r2"}}
+
+
+def test_a_commit_passes_through_no_python_worker(spark, responses, tmp_path, monkeypatch):
+    """A stream commits each of its batches, so a commit's own cost counts; what it says is kept as it is."""
+    from siftwell.operators.responses import parse_responses
+
+    store = VerdictStore.open(spark, str(tmp_path / "store"))
+    answers = parse_responses(responses([answer("a")]))
+
+    def refuse(*_, **__):
+        raise AssertionError("rows from the driver")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    for run in ("r-1.a", "r2"):
+        store.append(answers, run)
+    store.compact("r3")
+    assert VerdictStore.open(spark, store.path).snapshot == store.snapshot
+    assert [c.runs for c in store.snapshot.commits.values()] == [["r-1.a", "r2"]]

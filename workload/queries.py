@@ -24,6 +24,7 @@ from siftwell.sources.archive import scan_archive as read_archive
 from siftwell.sources.ledger import AnswerLedger
 from siftwell.sources.reports import reported_chunks, scan_reports
 from siftwell.sources.responses import scan_responses as read_responses
+from siftwell.sources.store import VerdictStore
 from siftwell.streaming.collector import collect_responses as collect
 from workload import inputs as I
 
@@ -247,11 +248,13 @@ def collect_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collect_two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two collections of one name over the same files, each with a checkpoint of its own: both stay."""
+    """Two collections of one name over the same files at once, each with a checkpoint and a handle of its own: both stay."""
     path, store = I.answer_folder(spark, I.items(spark, sf_dir)), I.new_store(spark)
-    for _ in range(2):
-        collect(spark, path, store, new_folder(spark, "checkpoint"), criteria_hash=CRITERIA.digest, max_files=2).awaitTermination()
-    return store.verdicts().select("item_id", "deletion")
+    handles = [VerdictStore.open(spark, store.path) for _ in range(2)]
+    streams = [collect(spark, path, h, new_folder(spark, "checkpoint"), criteria_hash=CRITERIA.digest, max_files=2) for h in handles]
+    for stream in streams:
+        stream.awaitTermination()
+    return VerdictStore.open(spark, store.path).verdicts().select("item_id", "deletion")
 
 
 def store_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
