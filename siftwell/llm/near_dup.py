@@ -33,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.frames import arrow_schema, mapped, only, record_batch, written
+from siftwell.llm.frames import arrow_schema, mapped, only, record_batch, tasks, written
 from siftwell.llm.word_arrays import buffer_of, mix, words
 
 SIDE = 10
@@ -48,6 +48,8 @@ BLOCK_SHINGLES = 2_000_000
 #: Members of a block of a mixed bucket, and their shingles.
 FAR_DOCS = 1024
 FAR_SHINGLES = 1_000_000
+#: Classes of a task that lists their subkeys or table keys; it counts up to SIDE * SIDE keys of each.
+KEYED_CLASSES = 8192
 #: Standard deviations by which the one-bit bound lies beyond what a pair at the least similarity differs in.
 DEVIATIONS = 5
 _FACTORS = np.random.default_rng(97).integers(1, 1 << 62, 2 * SIDE * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -226,10 +228,7 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     grouped = sketch.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("home"), F.first("a").alias("a"), F.first("b").alias("b"))
     # Classes have numbers of their own: rows that share an id may be of several classes.
     classes = written(grouped.filter("home is not null").withColumn("rep", F.monotonically_increasing_id()), "classes")
-    table = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, j, x, y))))
-    keys = classes.select("rep", "n", F.posexplode(table).alias("t", "key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    buckets = written(keys.join(shared, "key", "left_semi"), "buckets")
+    buckets = _buckets(classes)
     meeting = buckets.select("rep").distinct().join(classes.select("rep", "home", "s1", "s2"), "rep")
     schema = "rep long, n long, shingles binary, a array<long>, b array<long>, heads binary, bits binary"
 
@@ -260,6 +259,41 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _subkeyed(classes: DataFrame) -> DataFrame:
+    """The classes that may share a table key, with shared: a bit for each of their subkeys that another class has, too."""
+    dealt = classes.repartition(tasks(classes, classes.count(), KEYED_CLASSES), "rep")
+    single = dealt.select("rep", F.posexplode(F.concat("a", "b")).alias("s", "subkey")).select("rep", "s", F.xxhash64("s", "subkey").alias("h"))
+    often = single.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
+    found = single.join(often, "h", "left_semi").groupBy("rep").agg(F.expr("bit_or(shiftleft(1, s))").alias("shared"))
+    # A table needs a subkey of either collection.
+    both = F.col("shared").bitwiseAND(F.lit((1 << SIDE) - 1)) > 0, F.shiftright("shared", SIDE) > 0
+    return classes.select("rep", "n", "a", "b").join(found.filter(both[0] & both[1]), "rep")
+
+
+def _keys(subkeyed: DataFrame) -> DataFrame:
+    """rep, n, t, key: for each class the keys of the tables whose two subkeys are shared."""
+
+    def shared(name: str, first: int) -> Column:
+        numbered = F.transform(name, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        return F.filter(numbered, lambda e: F.expr(f"shiftright(shared, {first})").bitwiseAND(F.call_function("shiftleft", F.lit(1), e["i"])) != 0)
+
+    of = lambda p, q: F.struct((p["i"] * SIDE + q["i"]).alias("t"), F.xxhash64(p["i"], q["i"], p["x"], q["x"]).alias("key"))
+    dealt = subkeyed.repartition(tasks(subkeyed, subkeyed.count(), KEYED_CLASSES), "rep")
+    halves = dealt.select("rep", "n", shared("a", 0).alias("a"), shared("b", SIDE).alias("b"))
+    return halves.select("rep", "n", F.inline(F.flatten(F.transform("a", lambda p: F.transform("b", lambda q: of(p, q))))))
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """rep, n, t, key: each class in the tables where it meets another.
+
+    Classes that meet in table (i, j) agree in subkey i of the first collection and j of the second. So subkeys that only one class
+    has go first, by SIDE + SIDE rows of a class, and what is left of the SIDE * SIDE keys is counted and joined.
+    """
+    keys = _keys(written(_subkeyed(classes), "subkeyed"))
+    often = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    return written(keys.join(often, "key", "left_semi").select("rep", "n", "t", "key"), "buckets")
+
+
 def _far_links(buckets: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified links between members of one bucket that lie in different components.
 

@@ -751,3 +751,35 @@ def test_a_cut_document_that_lost_ids_is_refused(spark, monkeypatch):
     monkeypatch.setattr(token_file, "read_pieces", lambda *a: real(*a).filter("doc_id is null or offset > 0 or size = n"))
     with pytest.raises(Exception):
         token_file.read_index(spark, path).collect()
+
+
+def _classes(spark, rows):
+    return spark.createDataFrame([(r, 9, *ab) for r, ab in enumerate(rows)], "rep long, n long, a array<long>, b array<long>")
+
+
+def test_table_keys_are_listed_for_shared_subkeys_only(spark):
+    """Classes without a subkey in common list no key, and two that share one of either collection list that table's."""
+    alone = [([100 * r + k for k in range(10)], [100 * r + 50 + k for k in range(10)]) for r in range(40)]
+    assert near_dup._keys(near_dup._subkeyed(_classes(spark, alone))).count() == 0
+    alone[7][0][2], alone[7][1][5] = alone[3][0][2], alone[3][1][5]
+    alone[9][0][4] = alone[3][0][4]  # of one collection only
+    listed = near_dup._keys(near_dup._subkeyed(_classes(spark, alone))).collect()
+    assert sorted((r.rep, r.t) for r in listed) == [(3, 25), (3, 45), (7, 25)]
+    assert sorted((r.rep, r.n, r.t) for r in near_dup._buckets(_classes(spark, alone)).collect()) == [(3, 9, 25), (7, 9, 25)]
+
+
+def test_buckets_are_all_tables_in_which_two_classes_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "KEYED_CLASSES", 16)
+    random = np.random.default_rng(5)
+    rows = [(random.integers(0, 25, 10).tolist(), random.integers(0, 25, 10).tolist()) for _ in range(120)]
+    members: dict[tuple, list[int]] = {}
+    for r, (a, b) in enumerate(rows):
+        for t in range(100):
+            members.setdefault((t, a[t // 10], b[t % 10]), []).append(r)
+    want = sorted((r, key[0]) for key, own in members.items() if len(own) > 1 for r in own)
+    got = near_dup._buckets(_classes(spark, rows)).collect()
+    assert len(want) > 500 and sorted((r.rep, r.t) for r in got) == want
+    # No task lists the keys of many more classes than it is to hold.
+    listed = near_dup._keys(near_dup.written(near_dup._subkeyed(_classes(spark, rows)), "subkeyed"))
+    sizes = listed.groupBy(F.spark_partition_id()).agg(F.countDistinct("rep").alias("n")).collect()
+    assert len(sizes) > 4 and max(r.n for r in sizes) < 40
