@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
@@ -16,9 +16,14 @@ from siftwell.functions.urls import permalink
 from siftwell.functions.words import SHORT_LIST, dictionary, entry_table, found_words, join_words, lowered
 from siftwell.operators.requests import request_lines
 from siftwell.schemas import ANSWERS, LEDGER, SCORED
+from siftwell.session import arrow_rows
 from siftwell.sources.ledger import ANSWER, FAULT, MARK, AnswerLedger
 from siftwell.spec import Criteria, UrlSpec
 
+#: Rows that a client's task is handed at a time; two such batches are held while the next is read.
+ARROW_ROWS = 1000
+#: Bytes of request lines that wait in a task for others of their chunk.
+WAITING_BYTES = 32 << 20
 _SCORED = pa.schema([("chunk_id", pa.int32()), ("key", pa.string()), ("line", pa.string()), ("submit_error", pa.string())])
 _LEDGER = pa.schema([
     ("kind", pa.string()), ("request", pa.binary()), ("chunk_id", pa.int32()), ("key", pa.string()), ("line", pa.string()),
@@ -43,13 +48,39 @@ def spread(items: DataFrame, partitions: int | None) -> DataFrame:
     return items.repartition(partitions) if partitions else items
 
 
-def _by_chunk(rows: pa.RecordBatch, size: int) -> Iterator[tuple[int | None, pa.RecordBatch]]:
-    """The rows of one chunk after the other, up to `size` at a time; no more than these become Python values at once."""
-    chunks = rows.column("chunk_id")
-    for chunk in sorted(pc.unique(chunks).to_pylist(), key=lambda c: (c is None, c or 0)):
-        own = pc.indices_nonzero(pc.is_null(chunks) if chunk is None else pc.equal(chunks, chunk))
-        for start in range(0, len(own), size):
-            yield chunk, rows.take(own.slice(start, size))
+def _calls(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[int | None, pa.RecordBatch]]:
+    """Rows of one chunk, `size` of them at a time; fewer only at the end, or when rows that wait for others of their chunk pass WAITING_BYTES.
+
+    Only the rows of a call, of those that wait and of the batch at hand are held, and only a call's become Python values.
+    """
+    waiting: dict[int | None, list[pa.RecordBatch]] = {}
+    rows_of: dict[int | None, int] = {}
+    bytes_of: dict[int | None, int] = {}
+
+    def taken(chunk: int | None) -> tuple[int | None, pa.RecordBatch]:
+        del rows_of[chunk], bytes_of[chunk]
+        return chunk, pa.Table.from_batches(waiting.pop(chunk)).combine_chunks().to_batches()[0]
+
+    def in_order(chunks: Iterable[int | None]) -> list[int | None]:
+        return sorted(chunks, key=lambda c: (c is None, c or 0))
+
+    for rows in batches:
+        chunks = rows.column("chunk_id")
+        for chunk in in_order(pc.unique(chunks).to_pylist()):
+            own = pc.indices_nonzero(pc.is_null(chunks) if chunk is None else pc.equal(chunks, chunk))
+            start = 0
+            while start < len(own):
+                part = rows.take(own.slice(start, size - rows_of.get(chunk, 0)))
+                start += part.num_rows
+                waiting.setdefault(chunk, []).append(part)
+                rows_of[chunk] = rows_of.get(chunk, 0) + part.num_rows
+                bytes_of[chunk] = bytes_of.get(chunk, 0) + part.nbytes
+                if rows_of[chunk] == size:
+                    yield taken(chunk)
+        while sum(bytes_of.values()) > WAITING_BYTES:
+            yield taken(max(bytes_of, key=bytes_of.__getitem__))
+    for chunk in in_order(waiting):
+        yield taken(chunk)
 
 
 def _filled(schema: pa.Schema, n: int, **values: list | pa.Array) -> pa.RecordBatch:
@@ -92,16 +123,14 @@ def score_with_client(
                     wait(2**attempt)
             return [], error
 
-        for rows in batches:
-            if client is None and rows.num_rows:
-                client = client_factory()
-            for chunk, batch in _by_chunk(rows, batch_size):
-                answers, error = submit(batch.column("line").to_pylist())
-                if error is None:
-                    yield _filled(_SCORED, len(answers), line=answers, chunk_id=[chunk] * len(answers))
-                else:
-                    n = batch.num_rows
-                    yield _filled(_SCORED, n, key=batch.column("key"), submit_error=[error] * n, chunk_id=[chunk] * n)
+        for chunk, batch in _calls(batches, batch_size):
+            client = client_factory() if client is None else client
+            answers, error = submit(batch.column("line").to_pylist())
+            if error is None:
+                yield _filled(_SCORED, len(answers), line=answers, chunk_id=[chunk] * len(answers))
+            else:
+                n = batch.num_rows
+                yield _filled(_SCORED, n, key=batch.column("key"), submit_error=[error] * n, chunk_id=[chunk] * n)
 
     return request_lines(requests).mapInArrow(ask, SCORED)
 
@@ -122,22 +151,20 @@ def ask(requests: DataFrame, client_factory: Callable[[], Client], batch_size: i
 
         now = clock or time.time
         client = None
-        for rows in batches:
-            if client is None and rows.num_rows:
-                client = client_factory()
-            for chunk, batch in _by_chunk(rows, batch_size):
-                n, requests_ = batch.num_rows, batch.column("request")
-                try:
-                    answers = client.run_batch(batch.column("line").to_pylist())
-                except Exception as e:
-                    error, tried = f"{type(e).__name__}: {e}", batch.column("attempt").to_pylist()
-                    yield _filled(
-                        _LEDGER, n, kind=[FAULT] * n, request=requests_, chunk_id=[chunk] * n, key=batch.column("key"), submit_error=[error] * n,
-                        attempt=[t + 1 for t in tried], again=[any(m in error for m in markers)] * n, due=[now() + 2**t for t in tried],
-                    )
-                    continue
-                yield _filled(_LEDGER, len(answers), kind=[ANSWER] * len(answers), line=answers, chunk_id=[chunk] * len(answers))
-                yield _filled(_LEDGER, n, kind=[MARK] * n, request=requests_)
+        for chunk, batch in _calls(batches, batch_size):
+            client = client_factory() if client is None else client
+            n, requests_ = batch.num_rows, batch.column("request")
+            try:
+                answers = client.run_batch(batch.column("line").to_pylist())
+            except Exception as e:
+                error, tried = f"{type(e).__name__}: {e}", batch.column("attempt").to_pylist()
+                yield _filled(
+                    _LEDGER, n, kind=[FAULT] * n, request=requests_, chunk_id=[chunk] * n, key=batch.column("key"), submit_error=[error] * n,
+                    attempt=[t + 1 for t in tried], again=[any(m in error for m in markers)] * n, due=[now() + 2**t for t in tried],
+                )
+                continue
+            yield _filled(_LEDGER, len(answers), kind=[ANSWER] * len(answers), line=answers, chunk_id=[chunk] * len(answers))
+            yield _filled(_LEDGER, n, kind=[MARK] * n, request=requests_)
 
     return requests.mapInArrow(run, LEDGER)
 
@@ -167,7 +194,8 @@ def ask_until_done(
         return lines.withColumn("request", F.unhex(F.sha2("line", 256)))
 
     def submit(todo: DataFrame) -> None:
-        ledger.write(ask(spread(todo, partitions), client_factory, batch_size, clock))
+        with arrow_rows(ledger.spark, ARROW_ROWS):
+            ledger.write(ask(spread(todo, partitions), client_factory, batch_size, clock))
 
     if ledger.is_new():
         submit(requests().withColumn("attempt", F.lit(0)))

@@ -173,3 +173,69 @@ def test_no_more_than_a_call_s_lines_leave_a_batch(spec):
     assert len(answers) == n - 500 == sum(r["kind"] == "mark" for r in table)
     assert {r["line"] for r in answers} | {r["key"][1:] for r in faults} == {str(k) for k in range(n)}
     assert {r["request"].decode() for r in table if r["request"]} == {str(k) for k in range(n)}
+
+
+def test_clients_are_handed_few_rows_at_a_time(spark, posts, spec, log, tmp_path):
+    """While a client is asked Arrow batches are small, and the session is as before then; calls are as large as they may be."""
+    setting, small = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    class Ledger(AnswerLedger):
+        def write(self, rows):
+            small.append(int(spark.conf.get(setting)))
+            super().write(rows)
+
+    def make():
+        class Sizes:
+            def run_batch(self, lines):
+                note(log, f"n{len(lines)}")
+                return [answer(json.loads(x)["key"]) for x in lines]
+
+        return Sizes()
+
+    before = spark.conf.get(setting)
+    items = posts([(f"p{i}", "text") for i in range(6000)]).coalesce(1)
+    found = ask_until_done(items, lambda rows: render_requests(rows, spec.criteria, spec.url), make, Ledger(spark, str(tmp_path / "ledger")), batch_size=500, partitions=1)
+    assert small == [1000] and spark.conf.get(setting) == before
+    # Five chunks of 1,200 posts each, of which a batch of 1,000 rows has 200 or so.
+    assert asked(log) == {"n500": 10, "n200": 5}
+    assert found.select("line").distinct().count() == 6000
+
+
+def test_lines_that_wait_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    from siftwell.operators import scoring
+
+    monkeypatch.setattr(scoring, "WAITING_BYTES", 100_000)
+    rows = [pa.RecordBatch.from_pydict({"chunk_id": pa.array([(b + k) % 30 for k in range(40)], pa.int32()), "line": [f"{b} {k} ".ljust(1000, "x") for k in range(40)]}) for b in range(50)]
+    read = 0
+
+    def batches():
+        nonlocal read
+        for b in rows:
+            read += b.num_rows
+            yield b
+
+    given, seen = 0, []
+    for chunk, call in scoring._calls(batches(), 500):
+        given += call.num_rows
+        # What waits besides a batch of 40 rows.
+        assert read - given <= 100 + 40 and set(call.column("chunk_id").to_pylist()) == {chunk}
+        seen += call.column("line").to_pylist()
+    assert sorted(seen) == sorted(x for b in rows for x in b.column("line").to_pylist())
+
+
+def test_overlapping_runs_put_the_session_back(spark):
+    from siftwell.session import arrow_rows
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    first, second = arrow_rows(spark, 50), arrow_rows(spark, 50)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(setting) == "50"
+    sizes = spark.range(400).coalesce(1).mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "id long")
+    assert sizes.count() == 8
+    second.__exit__(None, None, None)
+    assert spark.conf.get(setting) == before and sizes.count() == 1
